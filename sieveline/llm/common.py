@@ -5,11 +5,13 @@ from __future__ import annotations
 import tempfile
 import uuid
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-ARROW_ROWS = 1000
-"""Rows in one Arrow batch of whole texts; keeps a Python worker's batch in tens of MB."""
+ARROW_ROWS = 4000
+ARROW_BYTES = 8 << 20
+"""Greatest rows and bytes of one Arrow batch of whole texts; a longer text is a batch alone."""
 
 
 def table(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFrame:
@@ -21,6 +23,7 @@ def table(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFra
 def small_batches(spark: SparkSession) -> None:
     """Bound the Arrow batches that carry whole texts to Python workers."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ARROW_ROWS))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(ARROW_BYTES))
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -63,3 +66,22 @@ def drop_path(spark: SparkSession, path: str) -> None:
 def text_or_empty(column: str = "text"):
     """The text column with null read as empty."""
     return F.coalesce(F.col(column), F.lit(""))
+
+
+ROW_KEY = ["__file", "__row"]
+"""Columns that tell rows apart even where ids are null or repeated."""
+
+
+def with_row_key(docs: DataFrame) -> DataFrame:
+    """Add a key that names the same row on every read.
+
+    Rows of parquet files have one already: file and position. Other inputs are
+    written to the shared folder first.
+    """
+    try:
+        keyed = docs.select("*", F.xxhash64("_metadata.file_path").alias("__file"), F.col("_metadata.row_index").alias("__row"))
+        keyed.schema  # noqa: B018  analysis happens here
+        return keyed
+    except AnalysisException:
+        stored = persist(docs, "rows")
+        return stored.select("*", F.xxhash64("_metadata.file_path").alias("__file"), F.col("_metadata.row_index").alias("__row"))

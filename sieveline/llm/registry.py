@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
-from sieveline.llm import bpe, packing, token_files
+from sieveline.llm import bpe, exact_dedup, packing, simhash, token_files
 
 QUERIES = {
+    "op2_simhash_near_dedup": simhash.op2_simhash_near_dedup,
     "op3_bpe_codec": bpe.op3_bpe_codec,
+    "op6_exact_dedup": exact_dedup.op6_exact_dedup,
     "op8_token_files": token_files.op8_token_files,
     "op9_best_fit_packing": packing.op9_best_fit_packing,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op6_exact_dedup": exact_dedup.ORACLE,
+}

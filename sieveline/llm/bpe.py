@@ -7,9 +7,10 @@ input can change it. `Decoder` turns ids back into text through an incremental
 UTF-8 state machine, so it never holds more than one token and three pending
 bytes.
 
-Text is cut at white space first: no pattern of the vocabulary crosses it, so
-each run of other characters encodes alone. Workers remember the ids of such
-runs in a dictionary of bounded size.
+Text is cut at ASCII white space first: no pattern of the vocabulary crosses it,
+so each run of other characters encodes alone. Every batch is reduced to its
+distinct runs, these to their distinct words, and workers remember the ids of
+words in dictionaries of bounded size.
 
 Edge cases: null and empty texts have no tokens (zero-length ids, the SHA-256
 of the empty string); very long runs pass through the constant window; repeated
@@ -29,18 +30,21 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame, SparkSession
 
 from sieveline.llm.common import small_batches, table, text_or_empty
 
 VOCABULARY = "word_bpe_49k.json"
-CACHE_RUNS = 250_000
-"""Entries in each of a worker's two generations of remembered runs; together about 100 MB."""
+CACHE_WORDS = 150_000
+"""Words in each of a worker's two generations of remembered words; together about 60 MB."""
 
-_EXOTIC = re.compile("[\x1c-\x1f]")
-"""Separators for ``str.split`` that the vocabulary's pattern takes as symbols."""
-_OWN_SPLIT = re.compile("[^\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000]+")
+_ODD = regex.compile(r"[\x1c-\x1f\x85\xa0\u0180-\U0010ffff]|<\|")
+"""What the quick path leaves out: separators and spaces on which libraries
+disagree, characters that normalisation may change, and openings of special
+tokens. Up to U+017F every other character is already composed and lower-cases
+alike in all Unicode versions."""
 
 
 def vocabulary_path(name: str) -> str:
@@ -184,16 +188,20 @@ class Transducer:
         yield from merge(held, self.v.ranks)
 
 
-class Encoder(dict):
-    """Ids of a run without white space, as little-endian unsigned 32-bit bytes.
+def gather(flat: np.ndarray, start: np.ndarray, size: np.ndarray, which: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The runs ``flat[start : start + size]`` that ``which`` names, one after another, and their ends from 0 on."""
+    counts = size[which]
+    ends = np.r_[0, np.cumsum(counts)]
+    return flat[np.repeat(start[which] - ends[:-1], counts) + np.arange(ends[-1])], ends
 
-    ``engine`` names what encodes a word that is not remembered: ``transducer`` is
-    this module's own, ``library`` the tokenizers model. Both give the same ids.
-    Remembered runs age in two generations, so frequent ones stay.
+
+class Encoder:
+    """Texts to ids. ``engine`` names what encodes a word that is not remembered:
+    ``transducer`` is this module's own, ``library`` the tokenizers model. Both give
+    the same ids. Words age in two generations, so frequent ones stay remembered.
     """
 
-    def __init__(self, name: str = VOCABULARY, engine: str = "transducer", limit: int = CACHE_RUNS):
-        super().__init__()
+    def __init__(self, name: str = VOCABULARY, engine: str = "transducer", limit: int = CACHE_WORDS):
         from tokenizers import Tokenizer
 
         path = vocabulary_path(name)
@@ -201,68 +209,82 @@ class Encoder(dict):
         self.limit = limit
         self.v = Vocabulary(path)
         self.transducer = Transducer(self.v)
-        self.older: dict[str, bytes] = {}
         self.words: dict[str, bytes] = {}
-        self.older_words: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
         self.alphabet = byte_alphabet()
         self.compute = self._by_library if engine == "library" else self._by_transducer
         self.specials = re.compile("(" + "|".join(map(re.escape, sorted(self.v.special, key=len, reverse=True))) + ")") if self.v.special else None
+        self.words_or_ends = regex.compile(f"{self.v.split.pattern}|\n")
 
-    def __missing__(self, run: str) -> bytes:
-        ids = self.older.get(run)
-        if ids is None:
-            ids = self._run(run)
-            if len(run) > 200:
-                return ids
-        if len(self) >= self.limit:
-            self.older = self.copy()
-            self.clear()
-        self[run] = ids
-        return ids
-
-    def _run(self, run: str) -> bytes:
-        if self.specials and "<|" in run:
-            return b"".join(self.v.special[part].to_bytes(4, "little") if part in self.v.special else self._plain(part) for part in self.specials.split(run) if part)
-        return self._plain(run)
+    def _by_library(self, word: str) -> list[int]:
+        spelled = word if word.isascii() and word.isalpha() else "".join([self.alphabet[b] for b in word.encode()])
+        return [token.id for token in self.library.model.tokenize(spelled)]
 
-    def _plain(self, run: str) -> bytes:
-        """Normalise, cut into words and encode each word.
-
-        Up to U+017F every character is already composed and lower-cases alike in
-        all Unicode versions; beyond, the vocabulary's own normaliser and pattern
-        decide.
-        """
-        if max(run) <= "\u017f":
-            words = self.v.split.findall(run.lower())
-        else:
-            parts = self.library.pre_tokenizer.pre_tokenize_str(self.library.normalizer.normalize_str(run))
-            words = [bytes(self.v.byte_of[c] for c in part).decode() for part, _ in parts]
-        return b"".join([self.words.get(word) or self._word(word) for word in words])
+    def _by_transducer(self, word: str) -> list[int]:
+        data = word.encode()
+        symbols = [self.v.inner[b] for b in data[:-1]]
+        symbols.append(self.v.last[data[-1]])
+        return list(self.transducer(symbols))
 
     def _word(self, word: str) -> bytes:
-        ids = self.older_words.get(word)
+        ids = self.words.get(word)
+        if ids is not None:
+            return ids
+        ids = self.older.get(word)
         if ids is None:
-            ids = np.array(self.compute(word.encode()), "<u4").tobytes()
+            ids = np.array(self.compute(word), "<u4").tobytes()
             if len(word) > 200:
                 return ids
         if len(self.words) >= self.limit:
-            self.older_words, self.words = self.words, {}
+            self.older, self.words = self.words, {}
         self.words[word] = ids
         return ids
 
-    def _by_library(self, data: bytes) -> list[int]:
-        return [token.id for token in self.library.model.tokenize("".join([self.alphabet[b] for b in data]))]
-
-    def _by_transducer(self, data: bytes) -> list[int]:
-        symbols = [self.v.inner[b] for b in data[:-1]]
-        symbols.append(self.v.last[data[-1]])
-        return list(self.transducer(symbols))
-
-    def encode(self, text: str) -> bytes:
-        """Ids of a whole text as little-endian unsigned 32-bit bytes."""
-        if _EXOTIC.search(text):
-            return b"".join(map(self.__getitem__, _OWN_SPLIT.findall(text)))
-        return b"".join(map(self.__getitem__, text.split()))
+    def _odd_run(self, run: str) -> bytes:
+        """Ids of any run: special tokens first, then the vocabulary's own normaliser and pattern."""
+        ids = []
+        for part in self.specials.split(run) if self.specials else [run]:
+            if self.specials and part in self.v.special:
+                ids.append(self.v.special[part].to_bytes(4, "little"))
+            elif part:
+                for word, _ in self.library.pre_tokenizer.pre_tokenize_str(self.library.normalizer.normalize_str(part)):
+                    ids.append(self._word(bytes(self.v.byte_of[c] for c in word).decode()))
+        return b"".join(ids)
+
+    def _runs(self, runs: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Ids of the runs in one array, with each run's start and size in it."""
+        joined = "\n".join(runs) + "\n"
+        odd = []
+        if _ODD.search(joined):
+            odd = [k for k, run in enumerate(runs) if _ODD.search(run)]
+            apart = [self._odd_run(runs[k]) for k in odd]
+            for k in odd:
+                runs[k] = ""
+            joined = "\n".join(runs) + "\n"
+        words = pa.array(self.words_or_ends.findall(joined.lower()), pa.string()).dictionary_encode()
+        known = [b"" if word == "\n" else self._word(word) for word in words.dictionary.to_pylist()]
+        size = np.fromiter(map(len, known), np.int64, len(known)) // 4
+        flat, ends = gather(np.frombuffer(b"".join(known), "<u4"), np.cumsum(size) - size, size, which := words.indices.to_numpy())
+        stop = ends[1:][which == words.dictionary.index("\n").as_py()]
+        start = np.r_[0, stop[:-1]]
+        size = stop - start
+        if odd:
+            size[odd] = np.fromiter(map(len, apart), np.int64, len(apart)) // 4
+            start[odd] = len(flat) + np.cumsum(size[odd]) - size[odd]
+            flat = np.concatenate([flat, np.frombuffer(b"".join(apart), "<u4")])
+        return flat, start, size
+
+    def encode_batch(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts in one array, and where each text begins and the last ends."""
+        split = pc.ascii_split_whitespace(texts)
+        first = split.offsets.to_numpy().astype(np.int64)
+        runs = split.flatten().dictionary_encode()
+        ids, ends = gather(*self._runs(runs.dictionary.to_pylist()), runs.indices.to_numpy())
+        return ids, ends[first - first[0]]
+
+    def encode(self, text: str) -> np.ndarray:
+        """Ids of one whole text."""
+        return self.encode_batch(pa.array([text], pa.string()))[0]
 
 
 class Decoder:
@@ -312,8 +334,9 @@ def encode_decode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
         decimal = [str(i) for i in range(codec.v.size)]
         for batch in batches:
             counts, first, second = [], [], []
-            for text in batch.column(1):
-                ids = np.frombuffer(codec.encode(text.as_py()), "<u4")
+            flat, at = codec.encode_batch(batch.column(1))
+            for a, b in zip(at[:-1].tolist(), at[1:].tolist()):
+                ids = flat[a:b]
                 counts.append(len(ids))
                 if digests:
                     first.append(hashlib.sha256(" ".join([decimal[i] for i in ids.tolist()]).encode()).hexdigest())

@@ -99,16 +99,17 @@ def cut(docs: DataFrame, limits: Limits, id_col: str = "doc_id", text_col: str =
     id_type = docs.select(id_col).dtypes[0][1]
 
     def run(batches):
-        codec, tail = encoder(vocabulary, "library"), end_id.to_bytes(4, "little")
+        codec, tail = encoder(vocabulary, "library"), np.array([end_id], "<u4")
         for batch in batches:
             rows, piece, length, crc = [], [], [], []
-            for k, text in enumerate(batch.column(1)):
-                data = codec.encode(text.as_py()) + tail
-                for number, at in enumerate(range(0, len(data), 4 * size)):
-                    part = data[at : at + 4 * size]
+            flat, ends = codec.encode_batch(batch.column(1))
+            for k, (a, b) in enumerate(zip(ends[:-1].tolist(), ends[1:].tolist())):
+                ids = np.concatenate([flat[a:b], tail])
+                for number, at in enumerate(range(0, len(ids), size)):
+                    part = ids[at : at + size]
                     rows.append(k)
                     piece.append(number)
-                    length.append(len(part) // 4)
+                    length.append(len(part))
                     crc.append(zlib.crc32(part))
             numbers = np.array(piece, np.int32)
             yield pa.RecordBatch.from_arrays(

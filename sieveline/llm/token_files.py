@@ -72,12 +72,12 @@ def unpack(data: bytes | memoryview, bits: int, start: int, count: int) -> np.nd
     return np.packbits(wide).view(">u4").astype("<u4")
 
 
-def block_bytes(doc_ids: list[int | None], runs: list[bytes], bits: int) -> bytes:
-    """One block; ``runs`` holds each document's ids as little-endian unsigned 32-bit bytes."""
-    offsets = np.cumsum([0] + [len(r) // 4 for r in runs], dtype="<u8")
+def block_bytes(doc_ids: list[int | None], runs: list[np.ndarray], bits: int) -> bytes:
+    """One block; ``runs`` holds each document's ids."""
+    offsets = np.cumsum([0] + [len(r) for r in runs], dtype="<u8")
     flags = np.array([d is None for d in doc_ids], np.uint8)
     numbers = np.array([d or 0 for d in doc_ids], "<i8")
-    ids = np.frombuffer(b"".join(runs), "<u4")
+    ids = np.concatenate(runs)
     return _HEAD.pack(_BLOCK, bits, len(doc_ids), len(ids)) + flags.tobytes() + numbers.tobytes() + offsets.tobytes() + pack(ids, bits)
 
 
@@ -123,7 +123,7 @@ class TokenFile:
         return Block(self.data, int(self.index[k, 0]))
 
 
-def file_lines(rows: Iterator[tuple[int | None, bytes]], bits: int, block_tokens: int) -> Iterator[bytes]:
+def file_lines(rows: Iterator[tuple[int | None, np.ndarray]], bits: int, block_tokens: int) -> Iterator[bytes]:
     """The pieces of one file, each to be followed by a newline. No rows, no pieces."""
     at, index, doc_ids, runs, held = 0, [], [], [], 0
 
@@ -140,7 +140,7 @@ def file_lines(rows: Iterator[tuple[int | None, bytes]], bits: int, block_tokens
     for doc_id, ids in rows:
         doc_ids.append(doc_id)
         runs.append(ids)
-        held += len(ids) // 4
+        held += len(ids)
         if held >= block_tokens:
             yield close()
     if doc_ids:
@@ -154,15 +154,16 @@ def file_lines(rows: Iterator[tuple[int | None, bytes]], bits: int, block_tokens
 def write_files(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", vocabulary: str = VOCABULARY, end_id: int | None = END_ID, block_tokens: int = BLOCK_TOKENS) -> None:
     """Encode every document and write the files to the folder ``path``."""
     small_batches(docs.sparkSession)
-    tail = b"" if end_id is None else end_id.to_bytes(4, "little")
+    tail = np.array([] if end_id is None else [end_id], "<u4")
 
     def run(batches):
         codec = encoder(vocabulary, "library")
 
         def rows():
             for batch in batches:
-                for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1)):
-                    yield doc_id, codec.encode(text.as_py()) + tail
+                flat, at = codec.encode_batch(batch.column(1))
+                for doc_id, a, b in zip(batch.column(0).to_pylist(), at[:-1].tolist(), at[1:].tolist()):
+                    yield doc_id, np.concatenate([flat[a:b], tail])
 
         for line in file_lines(rows(), bits_for(codec.v.size), block_tokens):
             yield pa.RecordBatch.from_arrays([pa.array([line], pa.binary())], ["line"])
@@ -174,7 +175,7 @@ def write_files(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: st
 
 def read_files(spark: SparkSession, path: str, digests: bool = True) -> DataFrame:
     """Per document: file_no, doc_id, start within the file, n_tokens, and crc32 or the ids."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
+    small_batches(spark)
     files = spark.read.format("binaryFile").load(path).select(F.regexp_extract("path", r"part-(\d+)", 1).cast("long").alias("file_no"), "content")
     schema = "file_no long, doc_id long, start long, n_tokens long, " + ("ids_crc32 long" if digests else "ids array<long>")
 

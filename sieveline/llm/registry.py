@@ -2,16 +2,23 @@
 
 from __future__ import annotations
 
-from sieveline.llm import bpe, exact_dedup, packing, simhash, token_files
+from sieveline.llm import bpe, exact_dedup, langid, packing, simhash, token_counts, token_files, topk, url_filter
 
 QUERIES = {
+    "op1_topk_search": topk.op1_topk_search,
     "op2_simhash_near_dedup": simhash.op2_simhash_near_dedup,
     "op3_bpe_codec": bpe.op3_bpe_codec,
+    "op4_token_counts": token_counts.op4_token_counts,
+    "op5_language_id": langid.op5_language_id,
     "op6_exact_dedup": exact_dedup.op6_exact_dedup,
+    "op7_url_filter": url_filter.op7_url_filter,
     "op8_token_files": token_files.op8_token_files,
     "op9_best_fit_packing": packing.op9_best_fit_packing,
 }
 
 ORACLES: dict[str, str] = {
+    "op1_topk_search": topk.ORACLE,
+    "op4_token_counts": token_counts.ORACLE,
     "op6_exact_dedup": exact_dedup.ORACLE,
+    "op7_url_filter": url_filter.ORACLE,
 }

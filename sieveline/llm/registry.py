@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from sieveline.llm import bpe, exact_dedup, langid, packing, simhash, token_counts, token_files, topk, url_filter
+from sieveline.llm import bpe, exact_dedup, langid, lm_score, packing, simhash, token_counts, token_files, topk, url_filter
 
 QUERIES = {
     "op1_topk_search": topk.op1_topk_search,
@@ -14,6 +14,7 @@ QUERIES = {
     "op7_url_filter": url_filter.op7_url_filter,
     "op8_token_files": token_files.op8_token_files,
     "op9_best_fit_packing": packing.op9_best_fit_packing,
+    "op10_lm_score": lm_score.op10_lm_score,
 }
 
 ORACLES: dict[str, str] = {

@@ -64,3 +64,19 @@ def first_by(rows: DataFrame, keys: list[str], order: list) -> DataFrame:
     """One row for each key: the first in a total order."""
     rank = F.row_number().over(Window.partitionBy(*keys).orderBy(*order))
     return rows.withColumn("__k", rank).where(F.col("__k") == 1).drop("__k")
+
+
+def containing(docs: DataFrame, needles: DataFrame, key: str, text: str, needle_key: str, needle: str) -> DataFrame:
+    """(needle_key, key) of texts that contain a needle.
+
+    A needle's inner words, those with a space on both sides, must be words of any
+    text that contains it. The longest one is an equi-join key; candidates are then
+    checked. Needles without an inner word are compared with every text.
+    """
+    inner = F.filter(F.slice(F.split(needle, " "), 2, F.greatest(F.size(F.split(needle, " ")) - 2, F.lit(0))), lambda w: w != "")
+    keyed = needles.withColumn("__word", F.array_max(F.transform(inner, lambda w: F.struct(F.length(w).alias("n"), w.alias("word"))))["word"])
+    words = docs.select(key, F.explode(F.array_distinct(F.split(text, " "))).alias("__word"))
+    near = words.join(keyed.where(F.col("__word").isNotNull()), "__word").select(key, needle_key, needle)
+    checked = docs.select(key, text).join(near, key).where(F.contains(text, F.col(needle))).select(needle_key, key)
+    bare = keyed.where(F.col("__word").isNull())
+    return checked.union(docs.join(bare, F.contains(docs[text], bare[needle])).select(needle_key, key)).distinct()

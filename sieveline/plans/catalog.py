@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from sieveline.plans import corpus  # noqa: F401  registers
+from sieveline.plans import corpus, relations, reporting  # noqa: F401  register
 from sieveline.plans.registry import ORACLES, QUERIES  # noqa: F401
 
 FLAGSHIP = "q_clone_groups"

@@ -16,6 +16,8 @@ from pyspark.sql import functions as F
 
 from sieveline.functions import policy
 from sieveline.functions import text as T
+from sieveline.operators import symbols
+from sieveline.operators.clones import ensure_checkpoint_dir
 
 FINDING = "path string, rule string, start_line long, end_line long, target string, status string, message string"
 FUNCTIONS = (ast.FunctionDef, ast.AsyncFunctionDef)
@@ -296,9 +298,8 @@ def symbol_facts(files: DataFrame) -> DataFrame:
 
 def dead_code(files: DataFrame) -> DataFrame:
     """Private functions of Python files with status WARN where nothing refers to them."""
-    from sieveline.operators import symbols
-
-    facts = symbol_facts(files).checkpoint() if files.sparkSession.sparkContext.getCheckpointDir() else symbol_facts(files)
+    ensure_checkpoint_dir(files.sparkSession)
+    facts = symbol_facts(files).checkpoint()
     of = lambda kind: facts.where(F.col("kind") == kind)
     modules = files.select(F.col("path").alias("file"), T.module_name(F.col("path")).alias("module"), F.lit(0).alias("root_rank"))
     here = modules.select("file", F.col("module").alias("here"))

@@ -8,10 +8,11 @@ hash as the other end of an edge, which is linear in the occurrences.
 from __future__ import annotations
 
 import difflib
+import tempfile
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from sieveline.functions import text as T
@@ -85,16 +86,19 @@ def star_edges(found: DataFrame, key: str) -> DataFrame:
     return once.join(least, "hash").where(F.col(key) != F.col("v")).select(F.col(key).alias("u"), "v").distinct()
 
 
+def ensure_checkpoint_dir(spark: SparkSession) -> None:
+    """Use the folder that the cluster names; only where none is named, a temporary one."""
+    if not spark.sparkContext.getCheckpointDir():
+        named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+        spark.sparkContext.setCheckpointDir(named or tempfile.mkdtemp(prefix="sieveline-"))
+
+
 def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     """(node, component): least node reachable, by label propagation with pointer jumping.
 
     Every round is written to the checkpoint folder of the cluster.
     """
-    spark = edges.sparkSession
-    if not (spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()):
-        import tempfile
-
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="sieveline-"))
+    ensure_checkpoint_dir(edges.sparkSession)
     both = edges.select("u", "v").union(edges.select("v", "u")).distinct().checkpoint()
     labels = both.groupBy(F.col("u").alias("node")).agg(F.least(F.col("u"), F.min("v")).alias("component")).checkpoint()
     for _ in range(rounds):

@@ -166,10 +166,13 @@ def exact_duplicates(docs: DataFrame, keep: list[str], id_col: str = "doc_id", t
     bad = persist(disagreeing(rows, groups, text_col, size, primes), "disagreeing").withColumn("__bad", F.lit(True))
     meta = meta.join(bad, KEY, "left").withColumn("__apart", F.when(F.col("__bad"), F.col("text_sha256")).otherwise("")).drop("__bad")
     key = [*KEY, "__apart"]
-    ends = meta.groupBy(*key).agg(F.count("*").alias("group_size"), F.max(F.struct(F.col(id_col).alias("id"), *ROW_KEY)).alias("__keep"))
-    found = meta.join(ends, key)
+    own = F.struct(F.col(id_col).alias("id"), *ROW_KEY)
+    # Written first: a join of two plain shuffles is one that adaptive execution splits where a group is hot.
+    ends = meta.groupBy(*key).agg(F.count("*").alias("__n"), F.max(own).alias("__last"))
+    ends = persist(ends.where(F.col("__n") > 1), "groups")
+    found = meta.join(ends, key, "left").withColumn("__keep", F.coalesce("__last", own))
     kept = (F.col("__file") == F.col("__keep.__file")) & (F.col("__row") == F.col("__keep.__row"))
-    return found.select(*keep, F.col("__keep.id").alias("keep_id"), "group_size", kept.alias("kept"), "text_sha256")
+    return found.select(*keep, F.col("__keep.id").alias("keep_id"), F.coalesce("__n", F.lit(1)).cast("long").alias("group_size"), kept.alias("kept"), "text_sha256")
 
 
 def drop_exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

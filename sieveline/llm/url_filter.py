@@ -3,8 +3,9 @@
 Every labelled page is a good or bad outcome for its host. Hosts with few
 outcomes borrow from their registered domain, domains from their suffix, and
 suffixes from all pages: each level is a beta-binomial whose prior mean is the
-shrunken rate of the level above and whose prior strength is estimated from the
-spread of the level's own rates by the method of moments. A host is blocked when
+shrunken rate of the level above, its own outcomes left out so that none counts
+twice, and whose prior strength is estimated from the spread of the level's own
+rates by the method of moments. A host is blocked when
 the lower bound of its posterior bad rate, ``z`` standard deviations below the
 mean, exceeds ``threshold``: little evidence never blocks.
 
@@ -129,13 +130,17 @@ def host_verdicts(pages: DataFrame, outcomes: DataFrame, method: Reputation) ->
     whole = suffixes.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.coalesce(F.sum("bad"), F.lit(0)).alias("bad")).first()
     mean = whole["bad"] / whole["n"] if whole["n"] else 0.0
     m_suffix, m_domain, m_host = (strength(level, mean, method) for level in (suffixes, domains, hosts))
-    by_suffix = suffixes.select("suffix", ((F.col("bad") + m_suffix * mean) / (F.col("n") + m_suffix)).alias("suffix_mean"))
-    by_domain = domains.join(by_suffix, "suffix").select("domain", "suffix", ((F.col("bad") + m_domain * F.col("suffix_mean")) / (F.col("n") + m_domain)).alias("domain_mean"))
-    a = F.col("bad") + m_host * F.col("domain_mean")
+    above = suffixes.select("suffix", F.col("n").alias("ns"), F.col("bad").alias("bs"))
+    by_domain = domains.select("domain", "suffix", F.col("n").alias("nd"), F.col("bad").alias("bd")).join(above, "suffix")
+    suffix_mean = (F.col("bs") - F.col("bd") + m_suffix * mean) / (F.col("ns") - F.col("nd") + m_suffix)
+    by_domain = by_domain.select("domain", "suffix", "nd", "bd", suffix_mean.alias("suffix_mean"))
+    joined = hosts.join(by_domain, ["domain", "suffix"])
+    domain_mean = (F.col("bd") - F.col("bad") + m_domain * F.col("suffix_mean")) / (F.col("nd") - F.col("n") + m_domain)
+    a = F.col("bad") + m_host * domain_mean
     total = F.col("n") + F.lit(m_host)
     posterior = a / total
     bound = posterior - method.z * F.sqrt(posterior * (1 - posterior) / (total + 1))
-    scored = hosts.join(by_domain, ["domain", "suffix"]).select("host", bound.alias("bound"))
+    scored = joined.select("host", bound.alias("bound"))
     return scored.withColumn("method_verdict", F.when(F.col("bound") > method.threshold, "block").otherwise("allow"))
 
 
@@ -191,12 +196,12 @@ WITH parsed AS (
 ), suffixes AS (
   SELECT suffix, CAST(sum(n) AS BIGINT) AS n, CAST(sum(bad) AS BIGINT) AS bad FROM domains GROUP BY ALL
 ), ms AS ({_strength_sql("suffixes")}), md AS ({_strength_sql("domains")}), mh AS ({_strength_sql("hosts")}),
-by_suffix AS (
-  SELECT suffix, (bad + m * p) / (n + m) AS suffix_mean FROM suffixes, ms
-), by_domain AS (
-  SELECT domain, suffix, (bad + m * suffix_mean) / (n + m) AS domain_mean FROM domains JOIN by_suffix USING (suffix), md
+by_domain AS (
+  SELECT d.domain, d.suffix, d.n AS nd, d.bad AS bd, (s.bad - d.bad + m * p) / (s.n - d.n + m) AS suffix_mean FROM domains d JOIN suffixes s USING (suffix), ms
+), priors AS (
+  SELECT host, n, bad, (bd - bad + m * suffix_mean) / (nd - n + m) AS domain_mean FROM hosts JOIN by_domain USING (domain, suffix), md
 ), scored AS (
-  SELECT host, (bad + m * domain_mean) / (n + m) AS post, n + m AS total FROM hosts JOIN by_domain USING (domain, suffix), mh
+  SELECT host, (bad + m * domain_mean) / (n + m) AS post, n + m AS total FROM priors, mh
 ), verdicts AS (
   SELECT host, CASE WHEN post - 1.645 * sqrt(post * (1 - post) / (total + 1)) > 0.25 THEN 'block' ELSE 'allow' END AS method_verdict FROM scored
 ), ruled AS (

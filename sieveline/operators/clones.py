@@ -172,6 +172,51 @@ def unsubsumed(matches: DataFrame) -> DataFrame:
     return matches.groupBy("a", "b").applyInPandas(keep, matches.schema)
 
 
+def self_matches(lines: DataFrame, found: DataFrame, key: str, size: int = WINDOW) -> DataFrame:
+    """`self_runs` with line numbers, in the columns of `matched_blocks`."""
+    placed = self_runs(found, key, size).join(lines.select(F.col(key).alias("a"), "lines"), "a")
+    line = lambda pos: F.expr(f"lines[cast({pos} as int)].line_no")
+    return placed.select("a", F.col("a").alias("b"), line("a_pos").alias("a_start"), line("a_pos + length - 1").alias("a_end"), line("b_pos").alias("b_start"), line("b_pos + length - 1").alias("b_end"), "length")
+
+
+def interval_groups(matches: DataFrame) -> DataFrame:
+    """(group_id, lines_count, n_occurrences, occurrences) of matched intervals that hang together.
+
+    Groups rank by their longest match, then by occurrences, then by the first one;
+    occurrences stand in order of text and start.
+    """
+    node = lambda s: F.struct(F.col(s).alias("key"), F.col(f"{s}_start").alias("start_line"), F.col(f"{s}_end").alias("end_line"))
+    edges = matches.select(node("a").alias("u"), node("b").alias("v"), "length")
+    longest = edges.select(F.explode(F.array("u", "v")).alias("node"), "length").groupBy("node").agg(F.max("length").alias("length"))
+    parts = components(edges.select("u", "v")).join(longest, "node")
+    groups = parts.groupBy("component").agg(F.max("length").alias("lines_count"), F.count("*").alias("n_occurrences"), F.array_sort(F.collect_list("node")).alias("occurrences"))
+    rank = F.row_number().over(Window.orderBy(F.desc("lines_count"), F.desc("n_occurrences"), "component"))
+    return groups.select(rank.cast("long").alias("group_id"), "lines_count", "n_occurrences", "occurrences")
+
+
+def repeated_lines(groups: DataFrame) -> DataFrame:
+    """Distinct (key, line_no) of all occurrences but the first of each group."""
+    rest = groups.select(F.explode(F.slice("occurrences", 2, F.greatest(F.size("occurrences") - 1, F.lit(0)))).alias("o"))
+    return rest.select("o.key", F.explode(F.sequence("o.start_line", "o.end_line")).alias("line_no")).distinct()
+
+
+def clone_findings(groups: DataFrame, docs: DataFrame, key: str, text: str = "text") -> DataFrame:
+    """One WARN row for each occurrence, with the first occurrence's lines as snippet (300 characters)."""
+    rep = groups.withColumn("__rep", F.element_at("occurrences", 1)).join(docs.select(F.col(key).alias("__key"), F.col(text).alias("__text")), F.col("__rep.key") == F.col("__key"))
+    lines = F.slice(T.lines_of(F.col("__text")), F.col("__rep.start_line").cast("int"), (F.col("__rep.end_line") - F.col("__rep.start_line") + 1).cast("int"))
+    each = rep.select("group_id", "lines_count", "n_occurrences", F.substring(F.rtrim(F.array_join(lines, "\n")), 1, 300).alias("snippet"), F.explode("occurrences").alias("o"))
+    said = F.format_string("%d repeated lines in %d places", "lines_count", "n_occurrences")
+    return each.select("group_id", F.col("o.key").alias(key), "o.start_line", "o.end_line", F.lit("WARN").alias("status"), said.alias("message"), "snippet")
+
+
+def clone_report(docs: DataFrame, key: str, text: str = "text", size: int = WINDOW, **options) -> DataFrame:
+    """From texts to ranked groups: windows, matches within and between texts, subsumption, components."""
+    lines = code_lines(docs, key, text, **options)
+    found = windows(lines, key, size)
+    matches = self_matches(lines, found, key, size).unionByName(matched_blocks(lines, candidate_pairs(found, key), key, size))
+    return interval_groups(unsubsumed(matches))
+
+
 def plain(line: Column) -> Column:
     """A normalisation for prose: lower case, digits as zero, white space removed."""
     return F.regexp_replace(F.regexp_replace(F.lower(line), "[0-9]+", "0"), r"[ \t]+", "")

@@ -198,3 +198,11 @@ def q_clone_exact(spark, sf_dir):
     code = clones.code_lines(docs, "doc_id", skip=COMMENTS, normalise=clones.plain)
     pairs = clones.candidate_pairs(clones.windows(code, "doc_id"), "doc_id")
     return clones.unsubsumed(clones.matched_blocks(code, pairs, "doc_id"))
+
+
+@query()
+def q_clone_report(spark, sf_dir):
+    """Ranked groups of matched intervals within and between documents."""
+    docs = read(spark, sf_dir, "documents", "doc_id", "text")
+    groups = clones.clone_report(docs, "doc_id", skip=COMMENTS, normalise=clones.plain)
+    return groups.select("group_id", "lines_count", "n_occurrences", F.col("occurrences").cast("string").alias("occurrences"))

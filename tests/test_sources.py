@@ -207,3 +207,22 @@ def test_clones_within_one_file(spark):
     files = spark.createDataFrame([("a.py", body("abcd") + "x = 1\n" + body("efgh"))], "path string, text string")
     found = clones.windows(clones.code_lines(files, "path"), "path")
     assert [(r["a_pos"], r["b_pos"], r["length"]) for r in clones.self_runs(found, "path").collect()] == [(0, 10, 9)]
+
+
+def test_clone_report(spark):
+    files = spark.createDataFrame([("a.py", body("abcd") + "x = 1\n" + body("efgh")), ("b.py", "# c\n" + body(["total", "items", "acc", "it"])), ("c.py", "y = 2\n")], "path string, text string")
+    groups = clones.clone_report(files, "path")
+    rows = groups.collect()
+    assert [(r["group_id"], r["lines_count"], r["n_occurrences"]) for r in rows] == [(1, 9, 3)]
+    assert [(o["key"], o["start_line"], o["end_line"]) for o in rows[0]["occurrences"]] == [("a.py", 1, 9), ("a.py", 11, 19), ("b.py", 2, 10)]
+    assert clones.repeated_lines(groups).count() == 18
+    found = clones.clone_findings(groups, files, "path").collect()
+    assert len(found) == 3 and all(r["snippet"].startswith("def a(b):") for r in found)
+
+
+def test_inserted_line(spark):
+    whole = body("abcd")
+    lines_ = whole.splitlines(keepends=True)
+    files = spark.createDataFrame([("a.py", whole), ("b.py", "".join(lines_[:7]) + "extra = [1]\n" + "".join(lines_[7:]))], "path string, text string")
+    rows = clones.clone_report(files, "path").collect()
+    assert [(o["key"], o["start_line"], o["end_line"]) for o in rows[0]["occurrences"]] == [("a.py", 1, 7), ("b.py", 1, 7)]

@@ -109,3 +109,22 @@ def effectiveness(line: Column, branch: Column, estimated: Column, function: Col
 def shown_score(score: Column, most: Column, summary: Column) -> Column:
     """``score/most``, else the score, else the summary, else a dash."""
     return F.coalesce(F.format_string("%.2f/%.1f", score, most), F.when(score.isNotNull(), F.format_string("%.2f", score)), summary, F.lit("-"))
+
+
+def coverage_colour(percent_: Column) -> Column:
+    return F.when(percent_ >= 90, "green").when(percent_ >= 75, "yellow").when(percent_.isNotNull(), "red").otherwise("grey")
+
+
+def formatter_verdict(timed_out: Column, truncated: Column, returncode: Column, well_formed: Column, n_files: Column) -> Column:
+    """What a formatter's run says: cut-off or odd output is an error, files to change a warning."""
+    lost = timed_out | truncated | returncode.isNull() | ~returncode.isin(0, 1)
+    return F.when(lost, ERROR).when((returncode == 1) & (~well_formed | (n_files == 0)), ERROR).when(returncode == 1, WARN).when(n_files > 0, ERROR).otherwise(PASS)
+
+
+def evidence_rows(runs: DataFrame) -> DataFrame:
+    """One row for each tool attempt with what went wrong, null if nothing did.
+
+    ``runs`` has name, returncode, timed_out, truncated and error.
+    """
+    wrong = F.coalesce(F.col("error"), F.when(F.col("timed_out"), "timed out"), F.when(F.col("truncated"), "output cut off"), F.when(F.col("returncode").isNull(), "did not start"), F.when(F.col("returncode") < 0, F.format_string("ended by signal %d", -F.col("returncode"))))
+    return runs.withColumn("problem", wrong)

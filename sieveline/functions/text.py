@@ -148,3 +148,29 @@ def resolved_import(package: Column, level: Column, name: Column) -> Column:
     parts = F.split(package, r"\.")
     base = F.array_join(F.slice(parts, 1, F.greatest(F.size(parts) - level + 1, F.lit(0))), ".")
     return F.when(level == 0, name).when(F.coalesce(name, F.lit("")) == "", base).when(base == "", name).otherwise(F.concat(base, F.lit("."), name))
+
+
+def url_quoted(text: Column) -> Column:
+    """Percent-encoded but for letters, digits and ``_.-~/``."""
+    return replaced(F.url_encode(text), [("+", "%20"), ("*", "%2A"), ("%7E", "~"), ("%2F", "/")])
+
+
+def permalink(base: Column, revision: Column, path: Column, start: Column, end: Column) -> Column:
+    """A link to lines of a file at a revision; null unless the base is an http(s) address."""
+    link = F.concat(F.rtrim(base, F.lit("/")), F.lit("/blob/"), url_quoted(revision), F.lit("/"), url_quoted(path), anchor(start, end))
+    return F.when(base.rlike(r"^https?://[^/\s]+"), link)
+
+
+def release_name(version: Column) -> Column:
+    """``v`` and the version; null for what is no version."""
+    return F.when(version.rlike(r"^v?\d+(\.\d+)*[A-Za-z0-9.+-]*$"), F.concat(F.lit("v"), F.regexp_replace(version, "^v", "")))
+
+
+def simple_code_lines(text: Column) -> Column:
+    """Lines that are neither blank nor start with ``#``, ``//`` or ``/*``; no block state."""
+    return F.size(F.filter(F.transform(lines_of(text), stripped), lambda s: (s != "") & ~starts_with_any(s, ("#", "//", "/*")))).cast("long")
+
+
+def within(path: Column, root: str) -> Column:
+    """Whether a normal path lies below ``root``; one that climbs out does not."""
+    return F.startswith(path, F.lit(root.rstrip("/") + "/")) & ~F.array_contains(path_parts(path), "..")

@@ -8,6 +8,7 @@ one row saying so.
 from __future__ import annotations
 
 import ast
+import re
 from collections.abc import Iterator
 
 import pandas as pd
@@ -297,7 +298,10 @@ def symbol_facts(files: DataFrame) -> DataFrame:
 
 
 def dead_code(files: DataFrame) -> DataFrame:
-    """Private functions of Python files with status WARN where nothing refers to them."""
+    """Private functions of Python files with status WARN where nothing refers to them.
+
+    If any file does not parse, only the files that do not are reported.
+    """
     ensure_checkpoint_dir(files.sparkSession)
     facts = symbol_facts(files).checkpoint()
     of = lambda kind: facts.where(F.col("kind") == kind)
@@ -312,7 +316,8 @@ def dead_code(files: DataFrame) -> DataFrame:
     refs, qualified = of("ref").select("file", "name"), of("qualified").select("file", F.col("name").alias("ref"))
     keys = symbols.referenced_keys(symbols.first_roots(modules), imports, refs, qualified)
     defs = of("def").select("file", "name", "line", (F.col("detail") == "decorated").alias("decorated"))
-    return symbols.private_usage(defs, refs, of("export").select("file", "name"), keys)
+    errors = of("error").select("file", "name", "line", F.lit(policy.ERROR).alias("status"))
+    return aborting(symbols.private_usage(defs, refs, of("export").select("file", "name"), keys), errors)
 
 
 def masked_source(text: str) -> str:
@@ -372,3 +377,35 @@ def native_exception_rows(files: DataFrame) -> DataFrame:
     gaps = F.regexp_extract_all("m", F.lit(f"({pattern})"), F.lit(1))
     lines = F.when(F.size(pieces) > 1, F.transform(before, lambda s, k: F.length(s) - F.length(F.replace(s, F.lit("\n"), F.lit(""))) + F.aggregate(F.slice(gaps, F.lit(1), k), F.lit(0), lambda a, g: a + F.length(g) - F.length(F.replace(g, F.lit("\n"), F.lit("")))) + 1))
     return found.select("path", F.explode(lines).alias("start_line")).select("path", F.col("start_line").cast("long").alias("start_line"), F.lit(policy.FAIL).alias("status"))
+
+
+_DESTRUCTOR = re.compile(r"~\s*[A-Za-z_]\w*\s*\([^)]*\)[^;{}]*\{")
+_THROW = re.compile(r"\bthrow\b")
+
+
+def throwing_destructors(masked: str) -> list[int]:
+    """Lines of throw statements within destructor bodies of masked source."""
+    found = []
+    for start in _DESTRUCTOR.finditer(masked):
+        depth_, at = 1, start.end()
+        while at < len(masked) and depth_:
+            depth_ += {"{": 1, "}": -1}.get(masked[at], 0)
+            at += 1
+        found += [masked.count("\n", 0, start.end() + m.start()) + 1 for m in _THROW.finditer(masked[start.end() : at])]
+    return sorted(set(found))
+
+
+def destructor_rows(files: DataFrame) -> DataFrame:
+    """Throws in destructors of C-like files: (path, start_line, status)."""
+
+    @F.pandas_udf("array<long>")
+    def lines(contents: pd.Series) -> pd.Series:
+        return contents.fillna("").map(lambda c: throwing_destructors(masked_source(c)))
+
+    return files.select("path", F.explode(lines("content")).alias("start_line")).withColumn("status", F.lit(policy.FAIL))
+
+
+def aborting(rows: DataFrame, errors: DataFrame) -> DataFrame:
+    """``rows`` unless there is any error; then the errors alone (a run that read only a part says nothing)."""
+    failed = errors.select(F.lit(1).alias("__one")).limit(1)
+    return rows.withColumn("__one", F.lit(1)).join(failed, "__one", "left_anti").drop("__one").unionByName(errors)

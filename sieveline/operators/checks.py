@@ -87,3 +87,24 @@ def with_empty_scopes(scopes: DataFrame, findings: DataFrame, key: str, message:
     """Findings and one SKIP row for each selected scope that has none."""
     silent = scopes.join(findings.select(key).distinct(), key, "left_anti").select(key, F.lit("SKIP").alias("status"), F.lit(message).alias("message"))
     return findings.select(key, "status", "message").unionByName(silent)
+
+
+def suite_json(checks: DataFrame, findings: DataFrame, key: str) -> DataFrame:
+    """The whole suite as one JSON object: status, counts and every check with its findings.
+
+    ``checks`` has key, status, required and evidence; checks are few, findings nest
+    within theirs.
+    """
+    each = json_report(checks, findings, key).agg(F.array_sort(F.collect_list(F.struct(key, "json"))).alias("r"))
+    rows = F.concat(F.lit("["), F.array_join(F.transform("r", lambda s: s["json"]), ","), F.lit("]"))
+    suite = policy.suite_status(checks)
+    head = F.to_json(F.struct(*suite.columns))
+    joined = suite.select(head.alias("head")).join(each.select(rows.alias("rows")))
+    return joined.select(F.concat(F.expr("substring(head, 1, length(head) - 1)"), F.lit(',"results":'), "rows", F.lit("}")).alias("json"))
+
+
+def summary_rows(checks: DataFrame, findings: DataFrame, key: str) -> DataFrame:
+    """One row for each check with its issues inlined, in order."""
+    bad = findings.where(F.col("status") != "PASS").groupBy(key).agg(F.array_sort(F.collect_list(F.struct("target", "status"))).alias("issues"))
+    empty = F.array().cast(dict(bad.dtypes)["issues"])
+    return checks.join(bad, key, "left").withColumn("issues", F.coalesce("issues", empty))

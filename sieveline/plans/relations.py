@@ -261,5 +261,6 @@ def q_ast_rules(spark, sf_dir):
 
 @query()
 def q_dead_code(spark, sf_dir):
-    """Private functions of the same sources that nothing refers to."""
-    return ast_rules.dead_code(spark.createDataFrame(list(SNIPPETS.items()), "path string, content string"))
+    """Private functions that nothing refers to, of the same sources that parse."""
+    sound = [(path, content) for path, content in SNIPPETS.items() if path != "pkg/c.py"]
+    return ast_rules.dead_code(spark.createDataFrame(sound, "path string, content string"))

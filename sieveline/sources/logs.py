@@ -161,3 +161,24 @@ def gcov_functions(files: DataFrame, key: str, text: str = "content") -> DataFra
 def collapsed_repeats(notes: DataFrame, keys: list[str], order: str) -> DataFrame:
     """Repeated rows as their first position and a count."""
     return notes.groupBy(*keys).agg(F.min(order).alias("first_at"), F.count("*").alias("n"))
+
+
+def executed(log: Column) -> Column:
+    """Whether a test log says that any test ran."""
+    return log.rlike(r"(?i)\b[1-9]\d*\s+(?:passed|failed|xfailed|xpassed)\b") | log.rlike(r"\bRan [1-9]\d* tests?\b")
+
+
+def first_occurrences(rows: DataFrame, key: str, value: str, order: str) -> DataFrame:
+    """Distinct values of each key in the order in which they first occur: one array."""
+    once = rows.groupBy(key, value).agg(F.min(order).alias("__at"))
+    return once.groupBy(key).agg(F.transform(F.array_sort(F.collect_list(F.struct("__at", F.col(value).alias("v")))), lambda s: s["v"]).alias("values"))
+
+
+def merged_totals(parts: DataFrame) -> DataFrame:
+    """Totals (passed, total, has_failure) over languages or runners."""
+    return parts.agg(F.coalesce(F.sum("passed"), F.lit(0)).alias("passed"), F.coalesce(F.sum("total"), F.lit(0)).alias("total"), F.coalesce(F.bool_or("has_failure"), F.lit(False)).alias("has_failure"))
+
+
+def pattern_count(files: DataFrame, text: str, pattern: str) -> DataFrame:
+    """Matches of a pattern over all files, and whether there is exactly one."""
+    return files.agg(F.coalesce(F.sum(F.regexp_count(text, F.lit(pattern)).cast("long")), F.lit(0)).alias("n")).withColumn("once", F.col("n") == 1)

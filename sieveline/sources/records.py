@@ -77,3 +77,19 @@ def key_values(docs: DataFrame, key: str, text: str) -> DataFrame:
 def lowest_rank(layers: DataFrame, keys: list[str], rank: str) -> DataFrame:
     """Layered settings: for each key the value of the layer with the highest rank."""
     return layers.groupBy(*keys).agg(F.max_by("value", rank).alias("value"))
+
+
+FORMATTED = T.ArrayType(T.StructType([T.StructField("filename", T.StringType()), T.StructField("message", T.StringType()), T.StructField("code", T.StringType())]))
+
+
+def formatter_findings(runs: DataFrame, key: str, json: str) -> DataFrame:
+    """(key, file_path, well_formed) of files that a formatter's JSON output would change."""
+    parsed = runs.select(key, F.from_json(json, FORMATTED).alias("r"))
+    good = F.coalesce(F.col("r").isNotNull() & F.forall("r", lambda x: x["filename"].isNotNull()), F.lit(False))
+    return parsed.select(key, F.explode_outer(F.when(good, F.array_distinct(F.transform("r", lambda x: x["filename"])))).alias("file_path"), good.alias("well_formed"))
+
+
+def capabilities(found: DataFrame, overrides: DataFrame, key: str, required: tuple[str, ...]) -> DataFrame:
+    """Tool rows (key, name, available); overrides win, and each row says whether it is required."""
+    both = found.withColumn("__rank", F.lit(0)).unionByName(overrides.withColumn("__rank", F.lit(1)))
+    return both.groupBy(key, "name").agg(F.max_by("available", "__rank").alias("available")).withColumn("required", F.col("name").isin(*required))

@@ -37,8 +37,8 @@ from pyspark.sql import DataFrame, SparkSession
 from sieveline.llm.common import small_batches, table, text_or_empty
 
 VOCABULARY = "word_bpe_49k.json"
-CACHE_WORDS = 150_000
-"""Words in each of a worker's two generations of remembered words; together about 60 MB."""
+CACHE_WORDS = 120_000
+"""Words in each of a worker's two generations of remembered words; together about 50 MB."""
 
 _ODD = regex.compile(r"[\x1c-\x1f\x85\xa0\u0180-\U0010ffff]|<\|")
 """What the quick path leaves out: separators and spaces on which libraries

@@ -26,6 +26,7 @@ import functools
 import hashlib
 import json
 import re
+from array import array
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -192,7 +193,8 @@ def gather(flat: np.ndarray, start: np.ndarray, size: np.ndarray, which: np.ndar
     """The runs ``flat[start : start + size]`` that ``which`` names, one after another, and their ends from 0 on."""
     counts = size[which]
     ends = np.r_[0, np.cumsum(counts)]
-    return flat[np.repeat(start[which] - ends[:-1], counts) + np.arange(ends[-1])], ends
+    kind = np.int32 if max(ends[-1], len(flat)) < 1 << 31 else np.int64
+    return flat[np.repeat((start[which] - ends[:-1]).astype(kind), counts) + np.arange(ends[-1], dtype=kind)], ends
 
 
 class Encoder:
@@ -232,7 +234,7 @@ class Encoder:
             return ids
         ids = self.older.get(word)
         if ids is None:
-            ids = np.array(self.compute(word), "<u4").tobytes()
+            ids = array("I", self.compute(word)).tobytes()
             if len(word) > 200:
                 return ids
         if len(self.words) >= self.limit:
@@ -251,11 +253,14 @@ class Encoder:
                     ids.append(self._word(bytes(self.v.byte_of[c] for c in word).decode()))
         return b"".join(ids)
 
-    def _runs(self, runs: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    def _runs(self, distinct: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Ids of the runs in one array, with each run's start and size in it."""
-        joined = "\n".join(runs) + "\n"
+        joined = pc.binary_join(pa.ListArray.from_arrays(pa.array([0, len(distinct)], pa.int32()), distinct), "\n")[0].as_py() + "\n"
         odd = []
+        if not len(distinct):
+            return np.zeros(0, "<u4"), np.zeros(0, np.int64), np.zeros(0, np.int64)
         if _ODD.search(joined):
+            runs = distinct.to_pylist()
             odd = [k for k, run in enumerate(runs) if _ODD.search(run)]
             apart = [self._odd_run(runs[k]) for k in odd]
             for k in odd:
@@ -279,7 +284,7 @@ class Encoder:
         split = pc.ascii_split_whitespace(texts)
         first = split.offsets.to_numpy().astype(np.int64)
         runs = split.flatten().dictionary_encode()
-        ids, ends = gather(*self._runs(runs.dictionary.to_pylist()), runs.indices.to_numpy())
+        ids, ends = gather(*self._runs(runs.dictionary), runs.indices.to_numpy())
         return ids, ends[first - first[0]]
 
     def encode(self, text: str) -> np.ndarray:

@@ -38,8 +38,9 @@ from pyspark.sql import DataFrame, SparkSession
 from sieveline.llm.common import small_batches, table, text_or_empty
 
 VOCABULARY = "word_bpe_49k.json"
-CACHE_WORDS = 120_000
-"""Words in each of a worker's two generations of remembered words; together about 50 MB."""
+CACHE_WORDS = {"library": 120_000, "transducer": 350_000}
+"""Words in each of a worker's two generations of remembered words, about 50 and 140 MB
+together; a word that is not remembered costs this module's own engine more."""
 
 _ODD = regex.compile(r"[\x1c-\x1f\x85\xa0\u0180-\U0010ffff]|<\|")
 """What the quick path leaves out: separators and spaces on which libraries
@@ -69,9 +70,9 @@ def byte_alphabet() -> list[str]:
 
 
 class Vocabulary:
-    """Tokens, merge ranks and split pattern of a tokenizers JSON file."""
+    """Tokens, split pattern and, unless left out, merge ranks of a tokenizers JSON file."""
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, merges: bool = True):
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         model = spec["model"]
@@ -84,7 +85,7 @@ class Vocabulary:
         for token, i in [*self.ids.items(), *self.special.items()]:
             self.tokens[i] = token
         self.ranks: dict[tuple[int, int], tuple[int, int]] = {}
-        for rank, pair in enumerate(model["merges"]):
+        for rank, pair in enumerate(model["merges"] if merges else []):
             left, right = pair if isinstance(pair, list) else pair.split(" ")
             self.ranks[self.ids[left], self.ids[right]] = (rank, self.ids[left + right])
         alphabet = byte_alphabet()
@@ -136,26 +137,22 @@ def lookahead(ranks: dict[tuple[int, int], tuple[int, int]], lengths: dict[int,
     return greatest + max(lengths.values(), default=1)
 
 
+_NEVER = (1 << 62, -1)
+
+
 def merge(symbols: list[int], ranks: dict[tuple[int, int], tuple[int, int]]) -> list[int]:
-    """Apply the merge list to a short run of symbols, best rank first, left to right."""
-    while len(symbols) > 1:
-        best = None
-        for pair in zip(symbols, symbols[1:]):
-            found = ranks.get(pair)
-            if found is not None and (best is None or found < best[0]):
-                best = (found, pair)
-        if best is None:
-            break
-        (_, made), (left, right) = best
-        out, i, n = [], 0, len(symbols)
-        while i < n:
-            if symbols[i] == left and i + 1 < n and symbols[i + 1] == right:
-                out.append(made)
-                i += 2
-            else:
-                out.append(symbols[i])
-                i += 1
-        symbols = out
+    """Apply the merge list to a short run of symbols: best rank first, leftmost of equals."""
+    symbols, get = list(symbols), ranks.get
+    pairs = [get(pair, _NEVER) for pair in zip(symbols, symbols[1:])]
+    while pairs and (best := min(pairs)) is not _NEVER:
+        i = pairs.index(best)
+        made = best[1]
+        symbols[i : i + 2] = [made]
+        del pairs[i]
+        if i:
+            pairs[i - 1] = get((symbols[i - 1], made), _NEVER)
+        if i < len(pairs):
+            pairs[i] = get((made, symbols[i + 1]), _NEVER)
     return symbols
 
 
@@ -203,14 +200,15 @@ class Encoder:
     the same ids. Words age in two generations, so frequent ones stay remembered.
     """
 
-    def __init__(self, name: str = VOCABULARY, engine: str = "transducer", limit: int = CACHE_WORDS):
+    def __init__(self, name: str = VOCABULARY, engine: str = "transducer", limit: int | None = None):
         from tokenizers import Tokenizer
 
         path = vocabulary_path(name)
         self.library = Tokenizer.from_file(path)
-        self.limit = limit
-        self.v = Vocabulary(path)
-        self.transducer = Transducer(self.v)
+        self.limit = limit or CACHE_WORDS[engine]
+        own = engine != "library"
+        self.v = Vocabulary(path, merges=own)
+        self.transducer = Transducer(self.v) if own else None
         self.words: dict[str, bytes] = {}
         self.older: dict[str, bytes] = {}
         self.alphabet = byte_alphabet()
@@ -285,6 +283,8 @@ class Encoder:
         first = split.offsets.to_numpy().astype(np.int64)
         runs = split.flatten().dictionary_encode()
         ids, ends = gather(*self._runs(runs.dictionary), runs.indices.to_numpy())
+        del split, runs
+        pa.default_memory_pool().release_unused()
         return ids, ends[first - first[0]]
 
     def encode(self, text: str) -> np.ndarray:

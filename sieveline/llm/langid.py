@@ -24,11 +24,11 @@ from repeatedly; an empty table gives no rows.
 
 from __future__ import annotations
 
-import re
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -37,7 +37,7 @@ from sieveline.llm.common import persist, small_batches, table
 BUCKET_BITS = 15
 SLICE = 1 << 20
 UNKNOWN = "und"
-_LETTER = re.compile(r"[^\W\d_]")
+_LETTER = regex.compile(r"\p{L}")
 _MIX = (np.uint32(0x9E3779B1), np.uint32(0x85EBCA77), np.uint32(0xC2B2AE3D))
 
 
@@ -181,7 +181,7 @@ def fold(id_col: str):
     return F.crc32(F.coalesce(F.col(id_col).cast("string"), F.lit("")).cast("binary")) % 5
 
 
-def keep_identified(docs: DataFrame, model: Model, text_col: str = "text", least_share: float = 0.5) -> DataFrame:
+def keep_identified(docs: DataFrame, model: Model, text_col: str = "text", least_share: float = 1 / 3) -> DataFrame:
     """Rows of ``docs`` in which one language has at least ``least_share``; undetermined rows go."""
     found = predict(docs, model, text_col, lang_as="__lang", score_as="__share")
     return found.where((F.col("__lang") != UNKNOWN) & (F.col("__share") >= least_share)).select(*docs.columns)

@@ -69,7 +69,7 @@ def labelled(spark):
         lang = pick.choice(list(SEEDS))
         words = SEEDS[lang].split()
         rows.append((k, lang, " ".join(pick.choice(words) for _ in range(pick.randint(3, 60))), 0.0))
-    rows += [(200, "aa", None, 0.0), (201, None, "zwölf kühe", 0.0), (202, "aa", "", 0.0), (203, "aa", "12 !! 3", 0.0), (None, "aa", "lorem ipsum", 0.0)]
+    rows += [(200, "aa", None, 0.0), (201, None, "zwölf kühe", 0.0), (202, "aa", "", 0.0), (203, "aa", "12 !! Ⅻ_3", 0.0), (None, "aa", "lorem ipsum", 0.0)]
     return spark.createDataFrame(rows, "doc_id long, lang string, text string, score double")
 
 

@@ -32,9 +32,13 @@ def lines_of(text: Column, breaks: str = FILE_BREAK) -> Column:
     return F.when(F.element_at(parts, -1) == "", F.slice(parts, 1, F.size(parts) - 1)).otherwise(parts)
 
 
+#: Every character that counts as white space.
+WHITE_SPACE = " \t\n\r\x0b\x0c\x1c\x1d\x1e\x1f\x85\xa0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u2028\u2029\u202f\u205f\u3000"
+
+
 def stripped(line: Column) -> Column:
     """Without white space of any kind at both ends."""
-    return F.regexp_replace(line, r"(?U)^[\s\x1c-\x1f]+|[\s\x1c-\x1f]+$", "")
+    return F.btrim(line, F.lit(WHITE_SPACE))
 
 
 def starts_with_any(line: Column, starts: tuple[str, ...] | list[str]) -> Column:

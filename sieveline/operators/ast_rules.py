@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from sieveline.functions import policy
 from sieveline.functions import text as T
 from sieveline.operators import symbols
-from sieveline.operators.clones import ensure_checkpoint_dir
+from sieveline.operators.storage import stored
 
 FINDING = "path string, rule string, start_line long, end_line long, target string, status string, message string"
 FUNCTIONS = (ast.FunctionDef, ast.AsyncFunctionDef)
@@ -302,8 +302,7 @@ def dead_code(files: DataFrame) -> DataFrame:
 
     If any file does not parse, only the files that do not are reported.
     """
-    ensure_checkpoint_dir(files.sparkSession)
-    facts = symbol_facts(files).checkpoint()
+    facts = stored(symbol_facts(files))
     of = lambda kind: facts.where(F.col("kind") == kind)
     modules = files.select(F.col("path").alias("file"), T.module_name(F.col("path")).alias("module"), F.lit(0).alias("root_rank"))
     here = modules.select("file", F.col("module").alias("here"))

@@ -8,14 +8,14 @@ hash as the other end of an edge, which is linear in the occurrences.
 from __future__ import annotations
 
 import difflib
-import tempfile
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sieveline.functions import text as T
+from sieveline.operators.storage import stored
 
 WINDOW = 6
 
@@ -86,26 +86,19 @@ def star_edges(found: DataFrame, key: str) -> DataFrame:
     return once.join(least, "hash").where(F.col(key) != F.col("v")).select(F.col(key).alias("u"), "v").distinct()
 
 
-def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Use the folder that the cluster names; only where none is named, a temporary one."""
-    if not spark.sparkContext.getCheckpointDir():
-        named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-        spark.sparkContext.setCheckpointDir(named or tempfile.mkdtemp(prefix="sieveline-"))
-
-
 def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     """(node, component): least node reachable, by label propagation with pointer jumping.
 
-    Every round is written to the checkpoint folder of the cluster.
+    Every round is written to the folder that the cluster shares.
     """
-    ensure_checkpoint_dir(edges.sparkSession)
-    both = edges.select("u", "v").union(edges.select("v", "u")).distinct().checkpoint()
-    labels = both.groupBy(F.col("u").alias("node")).agg(F.least(F.col("u"), F.min("v")).alias("component")).checkpoint()
+    both = stored(edges.select("u", "v").union(edges.select("v", "u")).distinct())
+    labels = both.groupBy(F.col("u").alias("node")).agg(F.least(F.col("u"), F.min("v")).alias("component"))
     for _ in range(rounds):
         near = both.join(labels, both["v"] == labels["node"]).groupBy(F.col("u").alias("node")).agg(F.min("component").alias("__near"))
         lower = labels.join(near, "node").select("node", F.least("component", "__near").alias("__low"), F.col("component").alias("__old"))
         jump = labels.select(F.col("node").alias("__low"), F.col("component").alias("__jump"))
-        moved = lower.join(jump, "__low").select("node", F.least("__low", "__jump").alias("component"), "__old").checkpoint()
+        moved = lower.join(jump, "__low").select("node", F.least("__low", "__jump").alias("component"), "__old")
+        moved = stored(moved)
         changed = moved.where(F.col("component") != F.col("__old")).limit(1).count()
         labels = moved.select("node", "component")
         if not changed:
@@ -118,6 +111,7 @@ def clone_groups(found: DataFrame, key: str) -> DataFrame:
 
     Groups rank by shared windows, then members, then the first member.
     """
+    found = stored(found.select(key, "hash"))
     parts = components(star_edges(found, key))
     repeated = found.groupBy("hash").agg(F.countDistinct(key).alias("__n")).where(F.col("__n") > 1).select("hash")
     shared = found.join(repeated, "hash").groupBy(key).agg(F.countDistinct("hash").alias("__w"))
@@ -211,8 +205,8 @@ def clone_findings(groups: DataFrame, docs: DataFrame, key: str, text: str = "te
 
 def clone_report(docs: DataFrame, key: str, text: str = "text", size: int = WINDOW, **options) -> DataFrame:
     """From texts to ranked groups: windows, matches within and between texts, subsumption, components."""
-    lines = code_lines(docs, key, text, **options)
-    found = windows(lines, key, size)
+    lines = stored(code_lines(docs, key, text, **options))
+    found = stored(windows(lines, key, size))
     matches = self_matches(lines, found, key, size).unionByName(matched_blocks(lines, candidate_pairs(found, key), key, size))
     return interval_groups(unsubsumed(matches))
 

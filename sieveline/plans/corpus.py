@@ -109,7 +109,7 @@ _WINDOWS = (
     _LINES
     + r""", code AS (
   SELECT doc_id, line_no, norm, row_number() OVER (PARTITION BY doc_id ORDER BY line_no) - 1 AS pos FROM (
-    SELECT doc_id, line_no, regexp_replace(regexp_replace(lower(bare), '[0-9]+', '0', 'g'), '[ \t]+', '', 'g') AS norm FROM lines
+    SELECT doc_id, line_no, regexp_replace(regexp_replace(lower(bare), '[1-9]', '0', 'g'), '[ \t]+', '', 'g') AS norm FROM lines
     WHERE bare <> '' AND NOT (starts_with(bare, 'The ') OR starts_with(bare, 'And '))) WHERE norm <> ''
 ), windows AS (
   SELECT doc_id, pos, start_line, end_line, sha256(joined) AS hash FROM (

@@ -13,8 +13,9 @@ more than ``dense`` distinct fingerprints share are not paired: their members
 link through common neighbours instead. Two fingerprints differ in at most two
 bits exactly when some word lies within one bit of both, so each member names its
 own 65 words and members of a word link to the least of them. This is linear in
-the members and loses no component. (For distances other than two the words are
-those within ceil(distance / 2) bits, followed by an exact check.)
+the members and loses no component. For other even distances the words are those
+within half the distance. For odd distances no such words exist, and all members
+of a key are paired.
 
 Edge cases: null and empty texts, and texts of white space, have fingerprint zero
 and link like any other; shorter texts than a shingle hash whole; repeated rows

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 ARROW_ROWS = 4000
-ARROW_BYTES = 8 << 20
+ARROW_BYTES = 5 << 20
 """Greatest rows and bytes of one Arrow batch of whole texts; a longer text is a batch alone."""
 
 

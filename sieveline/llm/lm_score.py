@@ -6,14 +6,15 @@ then token within the class) gives normalised probabilities. The score of a
 document is the sum of the log-probabilities of all its tokens, each masked in
 turn.
 
-The vocabulary is the most frequent words of the whole corpus; all other words
-share hashed buckets. Training covers every document once: each task runs
+Tokens are the subword ids of the public vocabulary, which spells every word, so
+the score is of the tokens themselves and no two words share one. (Only a caller
+that gives a ``Shape`` of its own has words: the most frequent ones, and hashed
+buckets for the rest.) Training covers every document once: each task runs
 gradient descent in numpy over the documents it reads, from a common start, and
 sends its parameters, weighted by its tokens; their average is the model. Sums
 are of scaled integers, so their order does not matter. What is gathered grows
-with the corpus (word counts, and one set of parameters for each task); what the
-driver holds and workers receive is one set of parameters, 22,000 numbers with
-the defaults.
+with the corpus by one set of parameters for each task; what the driver holds and
+workers receive is one set, four million numbers for the public vocabulary.
 
 Edge cases: null, empty and blank texts have no tokens, log-probability 0 and no
 mean; contexts beyond either end of a document are a padding token; very long
@@ -25,15 +26,18 @@ read.
 
 from __future__ import annotations
 
+import math
 import zlib
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from sieveline.llm.bpe import VOCABULARY, encoder
 from sieveline.llm.common import persist, small_batches, table, text_or_empty
 
 PAD = 2
@@ -64,7 +68,7 @@ class Network:
     def __init__(self, shape: Shape, values: np.ndarray | None = None):
         self.shape = shape
         v, d, c, k = shape.tokens, shape.hidden, shape.classes, shape.per_class
-        sizes = {"context": (v + 1, 4 * d), "bias": (d,), "by_class": (d, c), "class_bias": (c,), "by_token": (c, d, k), "token_bias": (c, k)}
+        self.sizes = sizes = {"context": (v + 1, 4 * d), "bias": (d,), "by_class": (d, c), "class_bias": (c,), "by_token": (c, d, k), "token_bias": (c, k)}
         n = sum(int(np.prod(s)) for s in sizes.values())
         if values is None:
             values = np.random.default_rng(shape.seed).normal(0, 0.1, n)
@@ -108,20 +112,33 @@ class Network:
 
     def gradient(self, stream: np.ndarray) -> tuple[np.ndarray, int]:
         """Gradient of the mean log-probability, and the number of tokens."""
+        n, words, rows, rest = self.sums(stream)
+        out = np.zeros_like(self.values)
+        if n:
+            cut = self.part["context"].size
+            out[:cut].reshape(self.part["context"].shape)[words] = rows / n
+            out[cut:] = rest / n
+        return out, n
+
+    def sums(self, stream: np.ndarray) -> tuple[int, np.ndarray, np.ndarray, np.ndarray]:
+        """Number of tokens; summed gradient as context rows of the words that occur, and all other parameters."""
         shape, part = self.shape, self.part
         k, d = shape.per_class, shape.hidden
-        grad = Network(shape, np.zeros_like(self.values))
+        rest, grad, at = np.zeros(len(self.values) - part["context"].size, np.float32), {}, 0
+        for name, size in self.sizes.items():
+            if name != "context":
+                grad[name] = rest[at : (at := at + int(np.prod(size)))].reshape(size)
         h, targets = self.hidden(stream), stream[PAD:-PAD]
         order, bounds = self._groups(targets)
         n = len(order)
         if not n:
-            return grad.values, 0
+            return 0, np.empty(0, np.int64), np.empty((0, 4 * d), np.float32), rest
         hs, ts = h[order], targets[order]
         error = np.exp(hs @ part["by_class"] + part["class_bias"])
         error /= -error.sum(axis=1, keepdims=True)
         error[np.arange(n), ts // k] += 1
-        grad.part["by_class"][:] = hs.T @ error
-        grad.part["class_bias"][:] = error.sum(axis=0)
+        grad["by_class"][:] = hs.T @ error
+        grad["class_bias"][:] = error.sum(axis=0)
         back = error @ part["by_class"].T
         for c in range(shape.classes):
             a, b = bounds[c], bounds[c + 1]
@@ -129,20 +146,20 @@ class Network:
                 inner = np.exp(hs[a:b] @ part["by_token"][c] + part["token_bias"][c])
                 inner /= -inner.sum(axis=1, keepdims=True)
                 inner[np.arange(b - a), ts[a:b] - c * k] += 1
-                grad.part["by_token"][c] = hs[a:b].T @ inner
-                grad.part["token_bias"][c] = inner.sum(axis=0)
+                grad["by_token"][c] = hs[a:b].T @ inner
+                grad["token_bias"][c] = inner.sum(axis=0)
                 back[a:b] += inner @ part["by_token"][c].T
         back *= 1 - hs * hs
-        grad.part["bias"][:] = back.sum(axis=0)
+        grad["bias"][:] = back.sum(axis=0)
         # Errors at their positions, with room for contexts that reach beyond the targets.
         placed = np.zeros((len(stream) + 2 * PAD, d), np.float32)
         placed[2 * PAD + order] = back
         by_word = np.argsort(stream, kind="stable")
         words, first = np.unique(stream[by_word], return_index=True)
+        rows = np.empty((len(words), 4 * d), np.float32)
         for place, shift in enumerate((2, 1, -1, -2)):
-            grad.part["context"][words, place * d : (place + 1) * d] = np.add.reduceat(placed[by_word + PAD + shift], first)
-        grad.values /= n
-        return grad.values, n
+            rows[:, place * d : (place + 1) * d] = np.add.reduceat(placed[by_word + PAD + shift], first)
+        return n, words, rows, rest
 
 
 class Trainer:
@@ -154,10 +171,19 @@ class Trainer:
         self.tokens = 0
 
     def step(self, stream: np.ndarray) -> None:
-        grad, n = self.net.gradient(stream)
-        self.squares += grad * grad
-        self.net.values += self.net.shape.rate * grad / np.sqrt(self.squares)
-        np.clip(self.net.values, -self.net.shape.limit, self.net.shape.limit, out=self.net.values)
+        n, words, rows, rest = self.net.sums(stream)
+        if not n:
+            return
+        context = self.net.part["context"]
+        cut = context.size
+        # Rows of words that do not occur have no gradient and stay as they are.
+        for values, squares, place, grad in (
+            (context, self.squares[:cut].reshape(context.shape), words, rows / n),
+            (self.net.values[cut:], self.squares[cut:], slice(None), rest / n),
+        ):
+            squares[place] += grad * grad
+            moved = values[place] + self.net.shape.rate * grad / np.sqrt(squares[place])
+            values[place] = np.clip(moved, -self.net.shape.limit, self.net.shape.limit)
         self.tokens += n
 
     def learn(self, stream: np.ndarray) -> None:
@@ -221,11 +247,30 @@ class Words:
         return out, starts, counts
 
 
+class Subwords:
+    """Texts to ids of the public vocabulary, by each worker's own encoder."""
+
+    def __init__(self, name: str = VOCABULARY):
+        self.name = name
+        n = len(encoder(name, "library").v.tokens)
+        side = math.isqrt(n - 1) + 1
+        self.shape = Shape(classes=side, per_class=side, buckets=0)
+
+    def stream(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Padded ids of all texts, and each text's first position and length."""
+        flat, ends = encoder(self.name, "library").encode_batch(texts)
+        counts = np.diff(ends)
+        starts = ends[:-1] + PAD * (np.arange(len(counts)) + 1)
+        out = np.full(int(ends[-1]) + PAD * (len(counts) + 1), self.shape.tokens, np.int32)
+        out[np.repeat(starts - ends[:-1], counts) + np.arange(len(flat))] = flat
+        return out, starts, counts
+
+
 @dataclass
 class Scorer:
     """A vocabulary and a trained network."""
 
-    words: Words
+    words: Words | Subwords
     net: Network
 
     def score(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -237,31 +282,40 @@ class Scorer:
 
 
 _SCALE = 1 << 16
+_PIECE = 2048
+"""Parameters in one row of what a task sends."""
 
 
 def train(docs: DataFrame, text_col: str = "text", shape: Shape | None = None) -> Scorer:
     """Vocabulary and network from every document of ``docs``."""
-    shape = shape or Shape()
     spark = docs.sparkSession
-    top = word_counts(docs, text_col).orderBy(F.desc("n"), "word").limit(shape.tokens - shape.buckets).collect()
-    words = Words([r["word"] for r in top], shape)
+    small_batches(spark)
+    if shape:
+        top = word_counts(docs, text_col).orderBy(F.desc("n"), "word").limit(shape.tokens - shape.buckets).collect()
+        words = Words([r["word"] for r in top], shape)
+    else:
+        words = Subwords()
+        shape = words.shape
     shared = spark.sparkContext.broadcast(words)
 
     def run(batches):
         trainer = Trainer(shape)
         for batch in batches:
             trainer.learn(shared.value.stream(batch.column(0))[0])
-        if trainer.tokens:
-            weighted = np.rint(trainer.net.values.astype(np.float64) * _SCALE).astype(np.int64) * trainer.tokens
-            yield pa.RecordBatch.from_arrays([pa.array(np.arange(-1, len(weighted), dtype=np.int32)), pa.array(np.r_[trainer.tokens, weighted])], ["at", "value"])
-
-    sent = docs.select(text_or_empty(text_col).alias("text")).mapInArrow(run, "at int, value long")
-    summed = persist(sent.groupBy("at").agg(F.sum("value").alias("value")), "parameters").collect()
-    values = {r["at"]: r["value"] for r in summed}
-    if not values:
+        for at in range(0, len(trainer.net.values) if trainer.tokens else 0, _PIECE):
+            weighted = np.rint(trainer.net.values[at : at + _PIECE].astype(np.float64) * _SCALE).astype(np.int64) * trainer.tokens
+            yield pa.RecordBatch.from_arrays([pa.array([at], pa.int32()), pa.array([trainer.tokens], pa.int64()), pa.array([weighted])], ["at", "tokens", "value"])
+
+    def total(rows: pd.DataFrame) -> pd.DataFrame:
+        return pd.DataFrame({"at": rows["at"].iloc[:1], "tokens": [rows["tokens"].sum()], "value": [np.sum(rows["value"].tolist(), axis=0)]})
+
+    schema = "at int, tokens long, value array<long>"
+    sent = docs.select(text_or_empty(text_col).alias("text")).mapInArrow(run, schema)
+    summed = persist(sent.groupBy("at").applyInPandas(total, schema), "parameters").orderBy("at").toArrow()
+    if not len(summed):
         return Scorer(words, Network(shape))
-    weight = values.pop(-1) * _SCALE
-    return Scorer(words, Network(shape, np.array([values[k] / weight for k in range(len(values))])))
+    values = pa.concat_arrays([c.flatten() for c in summed["value"].chunks]).to_numpy()
+    return Scorer(words, Network(shape, values / (summed["tokens"][0].as_py() * _SCALE)))
 
 
 def score(docs: DataFrame, scorer: Scorer, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -253,3 +253,22 @@ def test_slices_of_a_stream_predict_every_position_once():
     stream = np.arange(30)
     pieces = list(lm_score.windows(stream, 7))
     assert np.concatenate([p[2:-2] for p in pieces]).tolist() == list(range(2, 28))
+
+
+def test_rare_words_are_told_apart(spark):
+    pick = random.Random(3)
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    words = sorted({"".join(pick.choices(letters, k=pick.randint(3, 9))) for _ in range(3000)})
+    docs = spark.createDataFrame([(k, " ".join(words[20 * k : 20 * k + 20])) for k in range(len(words) // 20)], "doc_id long, text string")
+    scorer = lm_score.train(docs)
+    ids = {w: tuple(scorer.words.stream(lm_score.pa.array([w]))[0].tolist()) for w in words}
+    assert len(set(ids.values())) == len(words)
+    for r in lm_score.score(docs, scorer).orderBy("doc_id").limit(5).collect():
+        stream, starts, counts = scorer.words.stream(lm_score.pa.array([" ".join(words[20 * r["doc_id"] : 20 * r["doc_id"] + 20])]))
+        assert r["n_tokens"] == counts[0]
+        assert r["log_prob"] == pytest.approx(float(scorer.net.log_probabilities(stream).sum()), abs=1e-2)
+    net, pad = scorer.net, scorer.words.shape.tokens
+    every = np.full(3 * pad + 2, pad, np.int32)
+    every[2::3] = np.arange(pad)
+    total = np.exp(net.log_probabilities(every)[::3].astype(float)).sum()
+    assert total == pytest.approx(1, abs=1e-2)

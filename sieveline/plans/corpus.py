@@ -100,6 +100,15 @@ def q_normalise_lines(spark, sf_dir):
     return docs.select("doc_id", F.size("lines").cast("long").alias("n_lines"), F.md5(F.array_join(normed, "\n").cast("binary")).alias("digest"))
 
 
+@query()
+def q_normalise_all_lines(spark, sf_dir):
+    """Digest of each document's normalised lines, whatever their characters; documents without lines have none."""
+    docs = read(spark, sf_dir, "documents", "doc_id", "text")
+    bare = F.filter(F.transform(T.lines_of(F.col("text")), T.stripped), lambda s: s != "")
+    normed = F.transform("lines", T.normalised_tokens)
+    return docs.select("doc_id", bare.alias("lines")).select("doc_id", F.size("lines").cast("long").alias("n_lines"), F.md5(F.array_join(normed, "\n").cast("binary")).alias("digest"))
+
+
 def _windows(spark, sf_dir):
     found = clones.code_lines(read(spark, sf_dir, "documents", "doc_id", "text"), "doc_id", skip=COMMENTS, normalise=clones.plain)
     return clones.windows(found, "doc_id")

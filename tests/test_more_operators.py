@@ -1,5 +1,8 @@
+import hashlib
 import json
+import re
 
+from conftest import SF
 from pyspark.sql import functions as F
 
 from sieveline.functions import policy
@@ -7,6 +10,7 @@ from sieveline.functions import text as T
 from sieveline.operators import ast_rules as A
 from sieveline.operators import checks as C
 from sieveline.operators import coverage, intervals, structure
+from sieveline.plans import catalog
 from sieveline.sources import logs, records
 
 
@@ -85,3 +89,31 @@ def test_destructors(spark):
 def test_a_broken_file_silences_the_rest(spark):
     files = spark.createDataFrame([("a.py", "def _x(): pass\n"), ("b.py", "def (\n")], "path string, content string")
     assert [(r["file"], r["status"]) for r in A.dead_code(files).collect()] == [("b.py", "ERROR")]
+
+
+def normalised(line):
+    """One token at a time, in plain Python with Unicode classes."""
+
+    def piece(found):
+        token = found.group(0)
+        if token[0] in "'\"" and len(token) > 1 or token[0].isdecimal():
+            return "LIT"
+        if re.match(r"[A-Za-z_]", token):
+            return token if token in T.KEPT_WORDS else "ID"
+        return token
+
+    tokens = r"""'(?:[^'\\]|\\.)*'|"(?:[^"\\]|\\.)*"|\b\d+(?:\.\d+)?\b|\b[A-Za-z_]\w*\b|."""
+    return "".join(c for c in re.sub(tokens, piece, line) if not c.isspace())
+
+
+def test_all_lines_are_normalised(spark, tmp_path):
+    texts = ["Der Hund für die Straße 12.5\n\n  été = 'où' + \"ñandú\"  \nif Ça_va: return x1", "été\r\nплюс 3 für", "plain words only\n日本 x", "", " \n\t", None]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    want = {}
+    for path, rows in ((str(tmp_path), list(enumerate(texts))), (SF, [tuple(r) for r in spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text").collect()])):
+        for k, text in rows:
+            lines = [x.strip() for x in re.split(r"\r\n|\n|\r", text or "") if x.strip()]
+            want[k] = (len(lines), hashlib.md5("\n".join(map(normalised, lines)).encode()).hexdigest())
+        got = {r["doc_id"]: (r["n_lines"], r["digest"]) for r in catalog.QUERIES["q_normalise_all_lines"](spark, path).collect()}
+        assert got == want
+        want = {}

@@ -117,3 +117,12 @@ def test_all_lines_are_normalised(spark, tmp_path):
         got = {r["doc_id"]: (r["n_lines"], r["digest"]) for r in catalog.QUERIES["q_normalise_all_lines"](spark, path).collect()}
         assert got == want
         want = {}
+
+
+def test_whole_pages_are_reported(spark, tmp_path):
+    html = "x" * 300 + "<a|b>`100%\r\nend"
+    spark.createDataFrame([(1, "http://h/a", html)], "page_id long, url string, html string").write.parquet(f"{tmp_path}/pages.parquet")
+    spark.createDataFrame([(1, 0, 1)], "doc_id long, quality long, toxic long").write.parquet(f"{tmp_path}/labels.parquet")
+    annotation = catalog.QUERIES["q_annotations_whole"](spark, str(tmp_path)).first()["annotation"]
+    assert annotation.endswith("x" * 300 + "<a|b>`100%25%0D%0Aend")
+    assert catalog.QUERIES["q_markdown_rows_whole"](spark, str(tmp_path)).first()["row"].endswith("x" * 300 + "&lt;a&#124;b&gt;&#96;100%<br>end |")

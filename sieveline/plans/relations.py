@@ -218,6 +218,13 @@ def q_contains_join(spark, sf_dir):
     return intervals.containing(read(spark, sf_dir, "documents", "doc_id", "text"), items, "doc_id", "text", "item_id", "start")
 
 
+@query("""SELECT b.item_id, d.doc_id FROM benchmark b JOIN documents d ON contains(d.text, b.text)""")
+def q_contains_join_whole(spark, sf_dir):
+    """Benchmark items whose whole text, of any length, stands in a document."""
+    items = read(spark, sf_dir, "benchmark", "item_id", F.col("text").alias("item"))
+    return intervals.containing(read(spark, sf_dir, "documents", "doc_id", "text"), items, "doc_id", "text", "item_id", "item")
+
+
 @query("""SELECT doc_id, source FROM (SELECT doc_id, source, row_number() OVER (PARTITION BY md5(coalesce(text, '')) ORDER BY CAST(substr(source, 4) AS BIGINT), doc_id) AS k FROM documents) WHERE k = 1""")
 def q_first_wins(spark, sf_dir):
     """One document for each text: that of the first source."""

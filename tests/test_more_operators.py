@@ -126,3 +126,10 @@ def test_whole_pages_are_reported(spark, tmp_path):
     annotation = catalog.QUERIES["q_annotations_whole"](spark, str(tmp_path)).first()["annotation"]
     assert annotation.endswith("x" * 300 + "<a|b>`100%25%0D%0Aend")
     assert catalog.QUERIES["q_markdown_rows_whole"](spark, str(tmp_path)).first()["row"].endswith("x" * 300 + "&lt;a&#124;b&gt;&#96;100%<br>end |")
+
+
+def test_whole_items_are_contained(spark, tmp_path):
+    item = "a passage that opens with these same words and then goes on"
+    spark.createDataFrame([(1, item), (2, "a short one")], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    spark.createDataFrame([(1, f"x {item} y"), (2, item[:45] + " elsewhere"), (3, "not a short one at all")], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    assert sorted(map(tuple, catalog.QUERIES["q_contains_join_whole"](spark, str(tmp_path)).collect())) == [(1, 1), (2, 3)]

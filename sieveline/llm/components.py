@@ -3,8 +3,8 @@
 Both steps replace edges by edges to the least known neighbour; the number of
 rounds grows with the logarithm of the component size, not with its diameter.
 Every round is written to the shared folder, so lineage stays short and a lost
-executor repeats one round at most. Nothing is collected but two numbers that
-tell whether a round changed anything.
+executor repeats one round at most; the round before is then deleted. Nothing is
+collected but two numbers that tell whether a round changed anything.
 """
 
 from __future__ import annotations
@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sieveline.llm.common import persist
+from sieveline.llm.common import persist, release
 
 
 def _to_least(edges: DataFrame) -> DataFrame:
@@ -50,7 +50,9 @@ def connected_components(edges: DataFrame, rounds: int = 100) -> DataFrame:
         if now == before or not now[0]:
             break
         before = now
-        current = persist(small_star(large_star(current)), "edges")
+        following = persist(small_star(large_star(current)), "edges")
+        release(current)
+        current = following
     else:
         raise RuntimeError(f"components did not settle within {rounds} rounds")
     return current.select(F.col("u").alias("node"), F.col("v").alias("root")).union(current.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())

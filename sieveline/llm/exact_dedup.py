@@ -1,17 +1,21 @@
 """Exact duplicates by composable polynomial fingerprints.
 
 A text's bytes are the coefficients of a polynomial, evaluated modulo two primes.
-Chunks of a text hash on their own, in any order and on any machine, and combine
-by length-shifted arithmetic: hash(ab) = hash(a) * base^len(b) + hash(b). Spark
-cuts texts into chunks before they reach Python, so a worker holds chunks, never
-a whole huge document.
+Spark cuts texts into chunks before they reach Python. A chunk is a row of its own
+that knows its place, so it hashes alone, in any order and on any machine:
+hash(ab) = hash(a) * base^len(b) + hash(b), and a chunk's share of the whole is its
+hash times the base to the number of bytes behind it. A sum by document, partial
+sums first, makes the fingerprint. The chunks of documents beyond ``apart`` bytes
+are dealt over all tasks.
 
 Equal fingerprints only propose copies. The chunks of every proposed group are
 then compared byte for byte: a group is one text exactly when the least and the
 greatest chunk at every position are the same. Least and greatest combine before
 the shuffle, so a group that holds a third of all rows sends one chunk for each
 task and position. Groups that fail (a collision of fingerprints) are told apart
-by SHA-256.
+by SHA-256. Whether a text's group is proposed is known only once it is hashed: of
+a text of more than ``HELD`` chunks they pass twice, first to hash and then to be
+sent, so a worker never holds more than that.
 
 Edge cases: null text is empty, and all empty texts are copies of each other;
 rows repeated under one id are copies like others, and one of them stays; a null
@@ -28,9 +32,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sieveline.llm.common import ROW_KEY, persist, small_batches, table, text_or_empty, with_row_key
+from sieveline.llm.common import ROW_KEY, persist, release, restored, small_batches, table, with_row_key
 
 CHUNK = 65_536
+HELD = 16
+"""Most chunks of one text that a worker holds."""
+APART = 32 << 20
+"""Bytes beyond which the chunks of one text hash in different tasks."""
 PRIMES = (2_147_483_647, 2_147_483_629)
 BASES = (1_181_783_497, 914_709_557)
 FILTER_BITS = 1 << 26
@@ -68,6 +76,11 @@ class ChunkHasher:
                 x = x * base % prime
             self.powers.append(np.array(powers[::-1], np.uint64))
 
+    def shares(self, data, behind: int) -> tuple[int, int]:
+        """What a chunk with ``behind`` bytes after it adds to both hashes of its text."""
+        own = self(data)
+        return tuple(h * pow(b, behind, p) % p for h, b, p in zip((own.h1, own.h2), BASES, self.primes))
+
     def __call__(self, data) -> Fingerprint:
         values = np.frombuffer(data, np.uint8).astype(np.uint64)
         n = len(values)
@@ -76,38 +89,56 @@ class ChunkHasher:
         return Fingerprint(h1, h2, n)
 
 
-def chunks(docs: DataFrame, keep: list, text_col: str, size: int) -> DataFrame:
-    """The ``keep`` columns with one row for each chunk: n_bytes, last, chunk. In order, narrow."""
-    data = text_or_empty(text_col).cast("binary")
-    rows = docs.select(*keep, data.alias("__data"), F.octet_length(text_or_empty(text_col)).cast("long").alias("n_bytes"))
-    count = F.greatest(F.lit(1), F.ceil(F.col("n_bytes") / size)).cast("int")
-    cut = F.transform(F.sequence(F.lit(0), count - 1), lambda i: F.substring(F.col("__data"), i * size + 1, F.lit(size)))
-    names = [c for c in rows.columns if c not in ("__data", "n_bytes")]
-    return rows.select(*names, "n_bytes", count.alias("__count"), F.posexplode(cut).alias("chunk_no", "chunk")).select(*names, "n_bytes", (F.col("chunk_no") == F.col("__count") - 1).alias("last"), "chunk")
-
+def chunks(rows: DataFrame, keep: list[str], size: int, held: int | None = None) -> DataFrame:
+    """``keep`` of rows with a text, and one row for each chunk: n_bytes, n_chunks, at, chunk. In order, narrow.
 
-def fingerprinted(docs: DataFrame, keep: list[str], text_col: str = "text", size: int = CHUNK, primes: tuple[int, int] = PRIMES) -> DataFrame:
-    """The ``keep`` columns of every row with h1, h2, n_bytes and text_sha256."""
-    small_batches(docs.sparkSession)
-    rows = chunks(docs, [*keep, F.sha2(text_or_empty(text_col), 256).alias("text_sha256")], text_col, size)
-    schema = ", ".join(f"`{n}` {t}" for n, t in rows.dtypes if n not in ("last", "chunk", "n_bytes")) + ", h1 long, h2 long, n_bytes long"
-    width = len(keep) + 1
+    Of texts with more than ``held`` chunks they come twice, with ``at`` counting on.
+    """
+    data = rows.select(*keep, F.coalesce("text", F.lit("")).cast("binary").alias("data"))
+    sized = data.select("*", F.octet_length("data").cast("long").alias("n_bytes"))
+    counted = sized.select("*", F.greatest(F.lit(1), F.ceil(F.col("n_bytes") / size)).cast("int").alias("n_chunks"))
+    last = F.col("n_chunks") - 1
+    if held is not None:
+        last = F.when(F.col("n_chunks") > held, 2 * F.col("n_chunks") - 1).otherwise(last)
+    each = counted.select("*", F.explode(F.sequence(F.lit(0), last)).alias("at"))
+    chunk = F.substring("data", (F.col("at") % F.col("n_chunks")) * size + 1, F.lit(size))
+    return each.select(*keep, "n_bytes", "n_chunks", "at", chunk.alias("chunk"))
+
+
+def _summed(cut: DataFrame, keep: list[str], size: int, primes: tuple[int, int]) -> DataFrame:
+    """``keep``, h1, h2 and n_bytes of every text from its chunks, in whatever order and tasks they are."""
+    width = len(keep)
+    kinds = dict(cut.dtypes)
+    schema = ", ".join(f"{n} {kinds[n]}" for n in keep) + ", n_bytes long, h1 long, h2 long"
 
     def run(batches):
-        hasher, held = ChunkHasher(size, primes), Fingerprint()
+        hasher = ChunkHasher(size, primes)
         for batch in batches:
-            done, found = [], []
-            for k, (last, chunk) in enumerate(zip(batch.column(width + 1).to_pylist(), batch.column(width + 2))):
-                held = held.append(hasher(chunk.as_buffer()), primes)
-                if last:
-                    done.append(k)
-                    found.append(held)
-                    held = Fingerprint()
-            kept = batch.take(pa.array(done, pa.int64()))
-            columns = [pa.array([getattr(f, a) for f in found], pa.int64()) for a in ("h1", "h2", "length")]
-            yield pa.RecordBatch.from_arrays([*kept.columns[:width], *columns], [*batch.schema.names[:width], *KEY])
-
-    return rows.mapInArrow(run, schema)
+            places = zip(batch.column(width).to_pylist(), batch.column(width + 2).to_pylist(), batch.column(width + 3))
+            shares = [hasher.shares(chunk.as_buffer(), max(0, n - (at + 1) * size)) for n, at, chunk in places]
+            columns = [pa.array([s[k] for s in shares], pa.int64()) for k in range(2)]
+            yield pa.RecordBatch.from_arrays([*batch.columns[: width + 1], *columns], [*keep, "n_bytes", "h1", "h2"])
+
+    hashed = cut.mapInArrow(run, schema).groupBy(*keep, "n_bytes").agg(F.sum("h1").alias("h1"), F.sum("h2").alias("h2"))
+    return hashed.select(*keep, "n_bytes", *[(F.col(f"h{k + 1}") % p).alias(f"h{k + 1}") for k, p in enumerate(primes)])
+
+
+def fingerprinted(rows: DataFrame, keep: list[str], size: int = CHUNK, primes: tuple[int, int] = PRIMES, apart: int = APART) -> DataFrame:
+    """``keep``, h1, h2, n_bytes and text_sha256 of rows with a text and the row key in ``keep``; written."""
+    small_batches(rows.sparkSession)
+    digested = rows.select(*keep, F.sha2(F.coalesce("text", F.lit("")), 256).alias("text_sha256"), "text")
+    names = [*keep, "text_sha256"]
+    cut = chunks(digested, names, size)
+    # One empty row stands for a text whose chunks are dealt out below.
+    here = cut.where((F.col("n_bytes") <= apart) | (F.col("at") == 0)).withColumn("chunk", F.when(F.col("n_bytes") <= apart, F.col("chunk")).otherwise(F.lit("").cast("binary")))
+    whole = persist(_summed(here, names, size, primes), "fingerprints")
+    if whole.where(F.col("n_bytes") > apart).isEmpty():
+        return whole
+    huge = chunks(digested.where(F.octet_length("text") > apart), names, size)
+    dealt = _summed(huge.repartition(*ROW_KEY, "at"), names, size, primes)
+    both = persist(whole.where(F.col("n_bytes") <= apart).unionByName(dealt), "fingerprints")
+    release(whole)
+    return both
 
 
 def group_filter(groups: DataFrame, limit: int = FILTER_BITS) -> np.ndarray:
@@ -124,63 +155,78 @@ def group_filter(groups: DataFrame, limit: int = FILTER_BITS) -> np.ndarray:
     return out
 
 
-def disagreeing(docs: DataFrame, groups: DataFrame, text_col: str = "text", size: int = CHUNK, primes: tuple[int, int] = PRIMES) -> DataFrame:
+def disagreeing(rows: DataFrame, groups: DataFrame, size: int = CHUNK, primes: tuple[int, int] = PRIMES, held: int = HELD) -> DataFrame:
     """Keys of proposed groups whose texts are not all the same, by chunkwise comparison."""
-    spark = docs.sparkSession
+    spark = rows.sparkSession
     small_batches(spark)
     known = spark.sparkContext.broadcast(group_filter(groups))
-    rows = chunks(docs, [], text_col, size)
 
     def run(batches):
         hasher, words = ChunkHasher(size, primes), known.value
         mask = np.uint64(64 * len(words) - 1)
-        held, parts = Fingerprint(), []
+        h1 = h2 = 0
+        parts: list[bytes] = []
+        wanted = False
         for batch in batches:
             out: list[tuple] = []
-            for last, chunk in zip(batch.column(1).to_pylist(), batch.column(2)):
-                held = held.append(hasher(chunk.as_buffer()), primes)
-                parts.append(chunk.as_py())
-                if last:
-                    at = np.uint64(held.h2) & mask
-                    if words[at >> np.uint64(6)] >> (at & np.uint64(63)) & np.uint64(1):
-                        out += [(held.h1, held.h2, held.length, k, part) for k, part in enumerate(parts)]
-                    held, parts = Fingerprint(), []
+            for n, count, at, chunk in zip(*(batch.column(k).to_pylist() for k in range(3)), batch.column(3)):
+                if at == 0:
+                    h1, h2, parts = 0, 0, []
+                if at < count:
+                    share = hasher.shares(chunk.as_buffer(), max(0, n - (at + 1) * size))
+                    h1, h2 = (h1 + share[0]) % primes[0], (h2 + share[1]) % primes[1]
+                    if count <= held:
+                        parts.append(chunk.as_py())
+                    if at == count - 1:
+                        place = np.uint64(h2) & mask
+                        wanted = bool(words[place >> np.uint64(6)] >> (place & np.uint64(63)) & np.uint64(1))
+                        if wanted:
+                            out += [(h1, h2, n, k, part) for k, part in enumerate(parts)]
+                elif wanted:
+                    out.append((h1, h2, n, at - count, chunk.as_py()))
             kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary())
             yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in out], kind) for k, kind in enumerate(kinds)], [*KEY, "chunk_no", "chunk"])
 
-    proposed = rows.mapInArrow(run, "h1 long, h2 long, n_bytes long, chunk_no int, chunk binary")
+    proposed = chunks(rows, [], size, held).mapInArrow(run, "h1 long, h2 long, n_bytes long, chunk_no int, chunk binary")
     span = proposed.groupBy(*KEY, "chunk_no").agg(F.min("chunk").alias("least"), F.max("chunk").alias("greatest"))
     return span.where(F.col("least") != F.col("greatest")).select(*KEY).distinct()
 
 
-def exact_duplicates(docs: DataFrame, keep: list[str], id_col: str = "doc_id", text_col: str = "text", size: int = CHUNK, primes: tuple[int, int] = PRIMES) -> DataFrame:
-    """Every row's ``keep`` columns with keep_id, group_size, kept and text_sha256.
+def _grouped(rows: DataFrame, keep: list[str], own: str, size: int, primes: tuple[int, int], held: int = HELD, apart: int = APART) -> DataFrame:
+    """``keep``, which holds the row key, with keep_id, group_size, kept and text_sha256. ``own`` is the id."""
+    meta = fingerprinted(rows, keep, size, primes, apart)
+    groups = meta.groupBy(*KEY).agg(F.count("*").alias("n")).where("n > 1")
+    bad = persist(disagreeing(rows, groups, size, primes, held), "disagreeing").withColumn("bad", F.lit(True))
+    meta = meta.join(bad, KEY, "left").withColumn("apart", F.when(F.col("bad"), F.col("text_sha256")).otherwise("")).drop("bad")
+    key = [*KEY, "apart"]
+    mine = F.struct(F.col(own).alias("id"), *ROW_KEY)
+    # Written first: a join of two plain shuffles is one that adaptive execution splits where a group is hot.
+    ends = meta.groupBy(*key).agg(F.count("*").alias("n"), F.max(mine).alias("last"))
+    ends = persist(ends.where("n > 1"), "groups")
+    found = meta.join(ends, key, "left").withColumn("stays", F.coalesce("last", mine))
+    kept = (F.col(ROW_KEY[0]) == F.col(f"stays.{ROW_KEY[0]}")) & (F.col(ROW_KEY[1]) == F.col(f"stays.{ROW_KEY[1]}"))
+    return found.select(*keep, F.col("stays.id").alias("keep_id"), F.coalesce("n", F.lit(1)).cast("long").alias("group_size"), kept.alias("kept"), "text_sha256")
+
+
+def exact_duplicates(docs: DataFrame, keep: list[str], id_col: str = "doc_id", text_col: str = "text", size: int = CHUNK, primes: tuple[int, int] = PRIMES, held: int = HELD, apart: int = APART) -> DataFrame:
+    """Every row's ``keep`` columns, the id among them, with keep_id, group_size, kept and text_sha256.
 
     Of equal texts the row with the largest id stays; among rows that share it,
     the last in an arbitrary but fixed order.
     """
-    own_key = all(c in keep for c in ROW_KEY)
-    rows = docs if own_key else docs.select(*keep, text_col, F.lit(0).cast("long").alias("__file"), F.monotonically_increasing_id().alias("__row"))
-    meta = persist(fingerprinted(rows, list(dict.fromkeys([*keep, *ROW_KEY])), text_col, size, primes), "fingerprints")
-    groups = meta.groupBy(*KEY).agg(F.count("*").alias("__n")).where(F.col("__n") > 1)
-    bad = persist(disagreeing(rows, groups, text_col, size, primes), "disagreeing").withColumn("__bad", F.lit(True))
-    meta = meta.join(bad, KEY, "left").withColumn("__apart", F.when(F.col("__bad"), F.col("text_sha256")).otherwise("")).drop("__bad")
-    key = [*KEY, "__apart"]
-    own = F.struct(F.col(id_col).alias("id"), *ROW_KEY)
-    # Written first: a join of two plain shuffles is one that adaptive execution splits where a group is hot.
-    ends = meta.groupBy(*key).agg(F.count("*").alias("__n"), F.max(own).alias("__last"))
-    ends = persist(ends.where(F.col("__n") > 1), "groups")
-    found = meta.join(ends, key, "left").withColumn("__keep", F.coalesce("__last", own))
-    kept = (F.col("__file") == F.col("__keep.__file")) & (F.col("__row") == F.col("__keep.__row"))
-    return found.select(*keep, F.col("__keep.id").alias("keep_id"), F.coalesce("__n", F.lit(1)).cast("long").alias("group_size"), kept.alias("kept"), "text_sha256")
+    rows = with_row_key(docs, [*keep, text_col]).withColumnRenamed(f"c{len(keep)}", "text")
+    names = [f"c{k}" for k in range(len(keep))]
+    found = _grouped(rows, [*names, *ROW_KEY], f"c{keep.index(id_col)}", size, primes, held, apart)
+    return restored(found, keep, "keep_id", "group_size", "kept", "text_sha256")
 
 
 def drop_exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Rows of ``docs`` with one row of each text, all columns as they are."""
     columns = docs.columns
     keyed = with_row_key(docs)
-    found = exact_duplicates(keyed, [id_col, *ROW_KEY], id_col, text_col)
-    return keyed.join(found.where("kept").select(*ROW_KEY), ROW_KEY, "left_semi").select(*columns)
+    own, text = f"c{columns.index(id_col)}", f"c{columns.index(text_col)}"
+    found = _grouped(keyed.select(F.col(own).alias("id"), F.col(text).alias("text"), *ROW_KEY), ["id", *ROW_KEY], "id", CHUNK, PRIMES)
+    return restored(keyed.join(found.where("kept").select(*ROW_KEY), ROW_KEY, "left_semi"), columns)
 
 
 def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

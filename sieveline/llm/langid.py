@@ -24,6 +24,7 @@ from repeatedly; an empty table gives no rows.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -32,7 +33,7 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sieveline.llm.common import persist, small_batches, table
+from sieveline.llm.common import persist, positional, quoted, release, restored, small_batches, table
 
 BUCKET_BITS = 15
 SLICE = 1 << 20
@@ -52,21 +53,22 @@ class Settings:
 
 
 def trigrams(text: str, bits: int) -> np.ndarray:
-    """Bucket of every trigram of code points of the lower-cased text between spaces."""
-    points = np.frombuffer(f" {text.lower()} ".encode("utf-32-le", "surrogatepass"), "<u4")
+    """Bucket of every trigram of code points of a lower-cased stretch."""
+    points = np.frombuffer(text.lower().encode("utf-32-le", "surrogatepass"), "<u4")
     mixed = points[:-2] * _MIX[0] + points[1:-1] * _MIX[1] + points[2:] * _MIX[2]
     return mixed >> np.uint32(32 - bits)
 
 
-def slices(text: str) -> list[str]:
-    """Stretches of a long text that share no trigram and leave none out but those on their borders."""
-    return [text[at : at + SLICE] for at in range(0, len(text), SLICE)] or [""]
+def slices(text: str, size: int = SLICE) -> Iterator[str]:
+    """Stretches of the text between spaces that together have each of its trigrams once."""
+    for at in range(0, max(1, len(text)), size):
+        yield " " * (at == 0) + text[max(at - 1, 0) : at + size + 1] + " " * (at + size >= len(text))
 
 
 def training_counts(docs: DataFrame, lang_col: str, text_col: str, bits: int) -> DataFrame:
     """(lang, bucket, n) over all rows with a text and a label. Partial sums leave each task."""
     small_batches(docs.sparkSession)
-    labelled = docs.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(lang_col).cast("string").alias("lang"), text_col)
+    labelled = docs.select(F.col(quoted(lang_col)).cast("string").alias("lang"), F.col(quoted(text_col)).alias("text")).dropna()
 
     def run(batches):
         held: dict[str, np.ndarray] = {}
@@ -118,7 +120,7 @@ class Model:
         grams = None
         weights = None
         if len(text) <= buckets:
-            grams = trigrams(text, self.settings.bits)
+            grams = trigrams(f" {text} ", self.settings.bits)
             n = len(grams)
         else:
             counts = sum(np.bincount(trigrams(part, self.settings.bits), minlength=buckets) for part in slices(text))
@@ -156,22 +158,30 @@ def train(docs: DataFrame, lang_col: str = "lang", text_col: str = "text", setti
     place = {lang: k for k, lang in enumerate(languages)}
     for row in counts.toLocalIterator():
         matrix[place[row["lang"]], row["bucket"]] = row["n"]
+    release(counts)
     return Model(languages, matrix, settings)
 
 
 def predict(docs: DataFrame, model: Model, text_col: str = "text", keep: list[str] | None = None, lang_as: str = "lang_pred", score_as: str = "score") -> DataFrame:
     """The ``keep`` columns (all by default) with the predicted language and score. Narrow."""
+    keep = docs.columns if keep is None else keep
+    return restored(_predicted(docs, model, text_col, keep), keep, F.col("lang").alias(lang_as), F.col("share").alias(score_as))
+
+
+def _predicted(docs: DataFrame, model: Model, text_col: str, keep: list[str]) -> DataFrame:
+    """Positional ``keep`` columns, lang and share."""
     spark = docs.sparkSession
     small_batches(spark)
-    keep = docs.columns if keep is None else keep
-    rows = docs.select(*keep, F.col(text_col).alias("__text"))
-    schema = ", ".join(f"`{n}` {t}" for n, t in rows.dtypes[:-1]) + f", `{lang_as}` string, `{score_as}` double"
+    width = len(keep)
+    rows = docs.select(*positional(docs, keep), F.col(quoted(text_col)).alias("text"))
+    names = [*rows.columns[:-1], "lang", "share"]
+    schema = ", ".join(f"{n} {t}" for n, t in rows.dtypes[:-1]) + ", lang string, share double"
     shared = spark.sparkContext.broadcast(model)
 
     def run(batches):
         for batch in batches:
-            found = [shared.value.predict(t.as_py()) for t in batch.column(len(keep))]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array([x for x, _ in found], pa.string()), pa.array([s for _, s in found], pa.float64())], [*keep, lang_as, score_as])
+            found = [shared.value.predict(t.as_py()) for t in batch.column(width)]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array([x for x, _ in found], pa.string()), pa.array([s for _, s in found], pa.float64())], names)
 
     return rows.mapInArrow(run, schema)
 
@@ -183,8 +193,9 @@ def fold(id_col: str):
 
 def keep_identified(docs: DataFrame, model: Model, text_col: str = "text", least_share: float = 1 / 3) -> DataFrame:
     """Rows of ``docs`` in which one language has at least ``least_share``; undetermined rows go."""
-    found = predict(docs, model, text_col, lang_as="__lang", score_as="__share")
-    return found.where((F.col("__lang") != UNKNOWN) & (F.col("__share") >= least_share)).select(*docs.columns)
+    columns = docs.columns
+    found = _predicted(docs, model, text_col, columns)
+    return restored(found.where((F.col("lang") != UNKNOWN) & (F.col("share") >= least_share)), columns)
 
 
 def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -7,6 +7,12 @@ norm of the capacities left after placing it, or by the greatest weighted dot
 product of the piece with the capacities left. If none allows it, a new sequence
 opens.
 
+The attention cost of a sequence of at most ``tokens`` tokens never exceeds
+``tokens`` squared, nor its documents ``tokens``; a caller that sets the other two
+capacities lower makes them bind. With the defaults they only weigh, lightly, in
+the choice between sequences that all have room: nothing but tokens may cost a
+sequence where as few as possible are wanted.
+
 Texts never move: they are encoded where they are read, and only one short row
 for each piece (id, start, length, checksum) is dealt evenly into blocks of a
 fixed number of pieces. Blocks pack independently, so memory is bounded and no
@@ -31,7 +37,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sieveline.llm.bpe import VOCABULARY, encoder
-from sieveline.llm.common import persist, small_batches, table, text_or_empty
+from sieveline.llm.common import persist, positional, quoted, small_batches, table, text_or_empty
 
 END_ID = 0
 
@@ -96,7 +102,7 @@ def cut(docs: DataFrame, limits: Limits, id_col: str = "doc_id", text_col: str =
     """One row for each piece: id, piece, start, length, ids_crc32. Narrow, no shuffle."""
     small_batches(docs.sparkSession)
     size = limits.tokens
-    id_type = docs.select(id_col).dtypes[0][1]
+    texts = docs.select(*positional(docs, [id_col]), text_or_empty(text_col).alias("text"))
 
     def run(batches):
         codec, tail = encoder(vocabulary, "library"), np.array([end_id], "<u4")
@@ -114,10 +120,11 @@ def cut(docs: DataFrame, limits: Limits, id_col: str = "doc_id", text_col: str =
             numbers = np.array(piece, np.int32)
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0).take(pa.array(rows, pa.int64())), pa.array(numbers), pa.array(numbers.astype(np.int64) * size), pa.array(length, pa.int64()), pa.array(crc, pa.int64())],
-                [id_col, "piece", "start", "length", "ids_crc32"],
+                ["c0", "piece", "start", "length", "ids_crc32"],
             )
 
-    return docs.select(id_col, text_or_empty(text_col).alias(text_col)).mapInArrow(run, f"`{id_col}` {id_type}, piece int, start long, length long, ids_crc32 long")
+    cut_up = texts.mapInArrow(run, f"c0 {texts.dtypes[0][1]}, piece int, start long, length long, ids_crc32 long")
+    return cut_up.withColumnRenamed("c0", id_col)
 
 
 def pack_round(pieces: DataFrame, blocks: int, limits: Limits, series: int) -> DataFrame:
@@ -126,7 +133,7 @@ def pack_round(pieces: DataFrame, blocks: int, limits: Limits, series: int) -> D
     ``series`` keeps the numbers of different rounds apart.
     """
     names = pieces.columns
-    schema = ", ".join(f"`{n}` {t}" for n, t in pieces.dtypes) + ", sequence_id long, offset long, __fill double"
+    schema = ", ".join(f"{quoted(n)} {t}" for n, t in pieces.dtypes) + ", sequence_id long, offset long, __fill double"
 
     def run(batches):
         task = TaskContext.get().partitionId()
@@ -166,7 +173,7 @@ def pack_round(pieces: DataFrame, blocks: int, limits: Limits, series: int) -> D
 
 def pack_pieces(pieces: DataFrame, limits: Limits) -> DataFrame:
     """Pack written pieces in two rounds; adds sequence_id and offset."""
-    columns = pieces.columns
+    columns = [quoted(c) for c in pieces.columns]
     blocks = max(1, -(-pieces.count() // limits.block))
     once = persist(pack_round(pieces, blocks, limits, 0), "pack")
     if blocks == 1:

@@ -8,14 +8,19 @@ first l segments differ in at most floor(l * distance / segments) bits. Chains s
 short that the budget is zero give an exact key to join on; longer chains prune
 within the join condition before the full distance is checked.
 
-Fingerprints are made distinct first, so copies cost nothing further. Keys that
-more than ``dense`` distinct fingerprints share are not paired: their members
-link through common neighbours instead. Two fingerprints differ in at most two
-bits exactly when some word lies within one bit of both, so each member names its
-own 65 words and members of a word link to the least of them. This is linear in
-the members and loses no component. For other even distances the words are those
-within half the distance. For odd distances no such words exist, and all members
-of a key are paired.
+Fingerprints are made distinct first, so copies cost nothing further. Members of
+a key agree on its bits, so whatever they differ in lies in the bits it leaves
+free. Where more than ``crowd`` fingerprints share a key, the free bits are
+therefore cut into a ring of their own, of ``distance + 1`` segments, whose chains
+make longer keys. Keys that many share by chance end there, however many
+fingerprints there are. Members of a longer key that is still crowded lie close
+together, in the extreme all within a few bits, where any ring pairs nearly all
+with all. These link through words between them: two fingerprints differ in at
+most 2r bits exactly when some word lies within r bits of both, and in at most
+2r + 1 when some word lies within r bits of one and r + 1 of the other. Each names
+its own words, and all members of a word link to the least near one. No link's
+effect is lost, at any distance; the work is linear in the fingerprints, and no
+crowded key is ever paired.
 
 Edge cases: null and empty texts, and texts of white space, have fingerprint zero
 and link like any other; shorter texts than a shingle hash whole; repeated rows
@@ -26,15 +31,18 @@ not read.
 
 from __future__ import annotations
 
+import functools
 import math
+from collections.abc import Iterable
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sieveline.llm.common import ROW_KEY, persist, small_batches, table, text_or_empty, with_row_key
+from sieveline.llm.common import ROW_KEY, persist, positional, release, restored, small_batches, table, text_or_empty, with_row_key
 from sieveline.llm.components import connected_components
 
 BITS = 64
@@ -67,16 +75,19 @@ def simhash(text: str, words_per_shingle: int = 3, seed: int = SEED) -> int:
     return int(np.packbits(bits, bitorder="little").view("<u8")[0])
 
 
-def fingerprints(docs: DataFrame, keep: list[str], text_col: str = "text", words_per_shingle: int = 3) -> DataFrame:
-    """The ``keep`` columns of every row with its fingerprint as a signed long. Narrow."""
+def fingerprints(docs: DataFrame, columns: list[str], text_col: str = "text", words_per_shingle: int = 3) -> DataFrame:
+    """``columns`` of every row as ``c0``, ``c1``, ... with its fingerprint as a signed long. Narrow."""
     small_batches(docs.sparkSession)
-    kept = docs.select(*keep, text_or_empty(text_col).alias("__text"))
-    schema = ", ".join(f"`{n}` {t}" for n, t in kept.dtypes[:-1]) + ", fp long"
+    kept = docs.select(*positional(docs, columns), text_or_empty(text_col).alias("text"))
+    width = len(columns)
+    names = [*kept.columns[:-1], "fp"]
+    schema = ", ".join(f"{n} {t}" for n, t in kept.dtypes[:-1]) + ", fp long"
 
     def run(batches):
         for batch in batches:
-            found = np.array([simhash(t.as_py(), words_per_shingle) for t in batch.column(len(keep))], np.uint64)
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(found.view(np.int64))], [*keep, "fp"])
+            found = np.fromiter((simhash(t.as_py(), words_per_shingle) for t in batch.column(width)), np.uint64, batch.num_rows)
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(found.view(np.int64))], names)
+            pa.default_memory_pool().release_unused()
 
     return kept.mapInArrow(run, schema)
 
@@ -85,89 +96,137 @@ def _signed(value: int) -> int:
     return value - (1 << BITS) if value >> (BITS - 1) else value
 
 
-def ring_masks(segments: int) -> list[list[int]]:
-    """``masks[i][l]``: the bits of the l segments from segment i on, around the ring."""
-    edges = [BITS * k // segments for k in range(segments + 1)]
-    single = [((1 << edges[k + 1]) - 1) ^ ((1 << edges[k]) - 1) for k in range(segments)]
-    masks = []
-    for i in range(segments):
-        row = [0]
-        for step in range(segments):
-            row.append(row[-1] | single[(i + step) % segments])
-        masks.append(row)
-    return masks
+def _mask(bits: Iterable[int]) -> int:
+    return sum(1 << b for b in bits)
 
 
-def ring_keys(fps: DataFrame, distance: int, segments: int) -> DataFrame:
-    """(fp, chain, key): the segments that have no budget for a difference, for each start."""
-    exact = math.ceil(segments / max(distance, 1)) - 1 if distance else segments
-    if exact < 1:
-        raise ValueError("more segments than differing bits are needed")
-    masks = ring_masks(segments)
-    keys = [F.struct(F.lit(i).alias("chain"), F.col("fp").bitwiseAND(F.lit(_signed(masks[i][exact]))).alias("key")) for i in range(segments)]
-    return fps.select("fp", F.explode(F.array(*keys)).alias("k")).select("fp", "k.chain", "k.key")
+@dataclass(frozen=True)
+class Chain:
+    """A start in a ring: bits that a key fixes, bits it leaves free, and the budgets of longer chains."""
+
+    fixed: tuple[int, ...]
+    free: tuple[int, ...]
+    budgets: tuple[tuple[int, int], ...]
+
 
+def ring(fixed: tuple[int, ...], free: tuple[int, ...], distance: int, segments: int) -> list[Chain]:
+    """The chains of ``segments`` consecutive cuts of the free bits, one for each start.
 
-def ring_passes(a: Column, b: Column, chain: Column, distance: int, segments: int) -> Column:
-    """Whether every longer chain from ``chain`` on stays within its budget, then the distance."""
-    masks = ring_masks(segments)
-    exact = math.ceil(segments / max(distance, 1)) - 1 if distance else segments
-    differ = a.bitwiseXOR(b)
-    passes = F.lit(True)
-    for length in range(exact + 1, segments):
-        table_of = F.array(*[F.lit(_signed(masks[i][length])) for i in range(segments)])
-        passes = passes & (F.bit_count(differ.bitwiseAND(F.get(table_of, chain))) <= length * distance // segments)
-    return passes & (F.bit_count(differ) <= distance)
+    Segments without a budget for a difference join the key; a chain of l segments
+    may differ in floor(l * distance / segments) bits.
+    """
+    exact = math.ceil(segments / distance) - 1
+    if exact < 1:
+        raise ValueError("more segments than differing bits are needed")
+    edges = [len(free) * k // segments for k in range(segments + 1)]
+    cut = [free[a:b] for a, b in zip(edges, edges[1:])]
+    chains = []
+    for start in range(segments):
+        turn = [cut[(start + k) % segments] for k in range(segments)]
+        upto = [sum(turn[:n], ()) for n in range(segments + 1)]
+        budgets = tuple((_mask(upto[n]), n * distance // segments) for n in range(exact + 1, segments))
+        chains.append(Chain((*fixed, *upto[exact]), sum(turn[exact:], ()), budgets))
+    return chains
+
+
+def _named(rows: DataFrame, first: int, chains: list[list[Chain]]) -> DataFrame:
+    """(fp, chain, key) of every row's chains. ``chains`` holds those of each value of ``parent``.
+
+    A key is a hash of the chain's number and the fixed bits: a collision only
+    proposes one pair more.
+    """
+    width = len(chains[0])
+    keys = []
+    for k in range(width):
+        masks = F.array(*[F.lit(_signed(_mask(row[k].fixed))) for row in chains])
+        number = (F.col("parent") * width + (first + k)).cast("int")
+        keys.append(F.struct(number.alias("chain"), F.xxhash64(number, F.col("fp").bitwiseAND(F.get(masks, F.col("parent")))).alias("key")))
+    return rows.select("fp", F.explode(F.array(*keys)).alias("k")).select("fp", "k.chain", "k.key")
 
 
 def near_words(fps: DataFrame, radius: int) -> DataFrame:
-    """(fp, word): the words within ``radius`` bits of each fingerprint."""
-    out = fps.select("fp", F.col("fp").alias("word"), F.lit(-1).alias("__top"))
+    """(fp, word, far): the words within ``radius`` bits of each fingerprint, and how many bits away."""
+    out = fps.select("fp", F.col("fp").alias("word"), F.lit(-1).alias("top"), F.lit(0).alias("far"))
+    flips = F.array(*[F.struct(F.lit(k).alias("k"), F.lit(_signed(1 << k)).alias("flip")) for k in range(BITS)])
     for _ in range(radius):
-        flips = F.filter(F.array(*[F.struct(F.lit(k).alias("k"), F.lit(_signed(1 << k)).alias("flip")) for k in range(BITS)]), lambda s: s["k"] > F.col("__top"))
-        more = F.transform(flips, lambda s: F.struct(F.col("word").bitwiseXOR(s["flip"]).alias("word"), s["k"].alias("__top")))
-        grown = F.concat(F.array(F.struct("word", F.lit(BITS).alias("__top"))), more)
-        out = out.select("fp", F.explode(grown).alias("w")).select("fp", "w.word", "w.__top")
-    return out.select("fp", "word")
-
-
-def links(fps: DataFrame, distance: int = 2, segments: int = 5, dense: int = 32) -> DataFrame:
-    """Edges (u, v) between distinct fingerprints with the components of the full link graph."""
-    if distance % 2 and distance:
-        dense = 1 << 62  # common neighbours are exact for even distances only
-    keys = ring_keys(fps, distance, segments)
-    crowded = keys.groupBy("chain", "key").agg(F.count("*").alias("__n")).where(F.col("__n") > dense).select("chain", "key", F.lit(True).alias("__dense"))
-    marked = persist(keys.join(crowded, ["chain", "key"], "left"), "ring-keys")
-    sparse = marked.where(F.col("__dense").isNull())
-    a = sparse.select("chain", "key", F.col("fp").alias("u"))
-    b = sparse.select(F.col("chain").alias("__chain"), F.col("key").alias("__key"), F.col("fp").alias("v"))
-    meet = (F.col("chain") == F.col("__chain")) & (F.col("key") == F.col("__key")) & (F.col("u") > F.col("v"))
-    pairs = a.join(b, meet & ring_passes(F.col("u"), F.col("v"), F.col("chain"), distance, segments)).select("u", "v")
-    hot = marked.where(F.col("__dense")).select("fp").distinct()
-    words = near_words(hot, distance // 2)
-    least = words.groupBy("word").agg(F.min("fp").alias("v"), F.count("*").alias("__n")).where(F.col("__n") > 1)
-    stars = words.join(least, "word").where(F.col("fp") != F.col("v")).select(F.col("fp").alias("u"), "v")
-    return pairs.union(stars)
-
-
-def near_duplicates(docs: DataFrame, keep: list[str], id_col: str = "doc_id", text_col: str = "text", words_per_shingle: int = 3, distance: int = 2, segments: int = 5, dense: int = 32) -> DataFrame:
-    """The ``keep`` columns of every row, its fingerprint, and its component's least id."""
-    kept = persist(fingerprints(docs, keep, text_col, words_per_shingle), "fingerprints")
-    fps = persist(kept.groupBy("fp").agg(F.min(id_col).alias("__least")), "distinct-fingerprints")
-    roots = connected_components(links(fps.select("fp"), distance, segments, dense))
-    rooted = fps.join(roots, fps["fp"] == roots["node"], "left").select("fp", "__least", F.coalesce("root", "fp").alias("__root"))
-    least = rooted.groupBy("__root").agg(F.min("__least").alias("component_id"))
-    return kept.join(rooted.select("fp", "__root").join(least, "__root").select("fp", "component_id"), "fp")
-
-
-def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
+        more = F.transform(F.filter(flips, lambda s: s["k"] > F.col("top")), lambda s: F.struct(F.col("word").bitwiseXOR(s["flip"]).alias("word"), s["k"].alias("top"), (F.col("far") + 1).alias("far")))
+        grown = F.concat(F.array(F.struct("word", F.lit(BITS).alias("top"), "far")), more)
+        out = out.select("fp", F.explode(grown).alias("w")).select("fp", "w.*")
+    return out.select("fp", "word", "far")
+
+
+def word_links(fps: DataFrame, distance: int) -> DataFrame:
+    """Edges (u, v) with the components of all links between ``fps``, by the words between them."""
+    words = persist(near_words(fps, (distance + 1) // 2), "near-words")
+    least = words.groupBy("word").agg(F.min(F.when(F.col("far") <= distance // 2, F.col("fp"))).alias("v"), F.count("*").alias("n"))
+    least = persist(least.where((F.col("n") > 1) & F.col("v").isNotNull()).select("word", "v"), "least-of-words")
+    return words.join(least, "word").where(F.col("fp") != F.col("v")).select(F.col("fp").alias("u"), "v")
+
+
+def links(fps: DataFrame, distance: int = 2, segments: int = 5, crowd: int = 32) -> DataFrame:
+    """Edges (u, v), all between distinct fingerprints that differ in at most ``distance`` bits, with the components of all such links."""
+    if not distance:
+        return fps.select(F.col("fp").alias("u"), F.col("fp").alias("v")).limit(0)
+    outer = ring((), tuple(range(BITS)), distance, segments)
+    inner = [ring(c.fixed, c.free, distance, distance + 1) for c in outer]
+    known = [*outer, *sum(inner, [])]
+    settled = []
+    rows = fps.select("fp", F.lit(0).alias("parent"))
+    for first, level in ((0, [outer]), (len(outer), inner)):
+        keyed = _named(rows, first, level)
+        counts = persist(keyed.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"), "ring-counts")
+        met = persist(keyed.join(counts, "key"), "ring-members")
+        release(counts)
+        settled.append(met.where(F.col("n") <= crowd).select("key", "chain", "fp"))
+        crowded = met.where(F.col("n") > crowd)
+        rows = crowded.select("fp", F.col("chain").alias("parent"))
+        if rows.isEmpty():
+            break
+    members = functools.reduce(DataFrame.union, settled)
+    a = members.select("key", "chain", F.col("fp").alias("u"))
+    b = members.select(F.col("key").alias("__key"), F.col("fp").alias("v"))
+    differ = F.col("u").bitwiseXOR(F.col("v"))
+    near = F.bit_count(differ) <= distance
+    for n in reversed(range(max(len(c.budgets) for c in known))):
+        masks, most = zip(*[c.budgets[n] if n < len(c.budgets) else (0, 0) for c in known])
+        within = F.bit_count(differ.bitwiseAND(F.get(F.array(*[F.lit(_signed(m)) for m in masks]), F.col("chain")))) <= F.get(F.array(*map(F.lit, most)), F.col("chain"))
+        near = within & near
+    pairs = a.join(b, (F.col("key") == F.col("__key")) & (F.col("u") > F.col("v")) & near).select("u", "v")
+    if rows.isEmpty():
+        return pairs
+    return pairs.union(word_links(rows.select("fp").distinct(), distance))
+
+
+def near_duplicates(docs: DataFrame, keep: list[str], id_col: str = "doc_id", text_col: str = "text", words_per_shingle: int = 3, distance: int = 2, segments: int = 5, crowd: int = 32) -> DataFrame:
+    """The ``keep`` columns of every row, its fingerprint ``fp``, and its component's least id ``component_id``."""
+    found = _components(docs, keep, id_col, text_col, words_per_shingle, distance, segments, crowd)
+    return restored(found, keep, "fp", "component_id")
+
+
+def _components(docs: DataFrame, columns: list[str], id_col: str, text_col: str, words_per_shingle: int, distance: int, segments: int, crowd: int) -> DataFrame:
+    """Positional ``columns``, fp and component_id."""
+    own = f"c{columns.index(id_col)}"
+    kept = persist(fingerprints(docs, columns, text_col, words_per_shingle), "fingerprints")
+    fps = persist(kept.groupBy("fp").agg(F.min(own).alias("least")), "distinct-fingerprints")
+    roots = connected_components(links(fps.select("fp"), distance, segments, crowd))
+    linked = fps.join(roots, fps["fp"] == roots["node"])
+    # Sides that are written first are plain scans, which adaptive execution splits where a key is hot.
+    least = persist(linked.groupBy("root").agg(F.min("least").alias("component_id")), "component-ids")
+    named = roots.join(least, "root").select("node", "component_id")
+    named = persist(fps.join(named, fps["fp"] == named["node"], "left").select("fp", F.coalesce("component_id", "least").alias("component_id")), "named-fingerprints")
+    return kept.join(named, "fp")
+
+
+def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words_per_shingle: int = 3, distance: int = 2, segments: int = 5, crowd: int = 32) -> DataFrame:
     """Rows of ``docs`` with one row of each component: that of the least id, then of the first row."""
     columns = docs.columns
     keyed = with_row_key(docs)
-    found = near_duplicates(keyed, [id_col, *ROW_KEY], id_col, text_col, **options)
-    first = found.groupBy("component_id", F.when(F.col("component_id").isNull(), F.col("fp")).alias("__fp")).agg(F.min(F.struct(F.col(id_col).isNull().alias("none"), F.col(id_col).alias("id"), *ROW_KEY)).alias("first"))
-    kept = first.select(*[F.col(f"first.{c}").alias(c) for c in ROW_KEY])
-    return keyed.join(kept, ROW_KEY, "left_semi").select(*columns)
+    own, text = f"c{columns.index(id_col)}", f"c{columns.index(text_col)}"
+    found = _components(keyed, [own, *ROW_KEY], own, text, words_per_shingle, distance, segments, crowd)
+    first = F.min(F.struct(F.col("c0").isNull().alias("none"), "c0", "c1", "c2")).alias("first")
+    nameless = F.when(F.col("component_id").isNull(), F.col("fp")).alias("nameless")
+    kept = found.groupBy("component_id", nameless).agg(first).select(F.col("first.c1").alias(ROW_KEY[0]), F.col("first.c2").alias(ROW_KEY[1]))
+    return restored(keyed.join(kept, ROW_KEY, "left_semi"), columns)
 
 
 def op2_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

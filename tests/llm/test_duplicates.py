@@ -2,6 +2,8 @@ import hashlib
 import random
 import re
 
+import numpy as np
+import pandas as pd
 import pytest
 import xxhash
 from pyspark.sql import functions as F
@@ -57,8 +59,8 @@ def classes(pairs, nodes):
     return {n: find(n) for n in nodes}
 
 
-@pytest.mark.parametrize("distance, segments, dense", [(2, 5, 32), (2, 5, 2), (2, 3, 4), (1, 4, 32), (3, 7, 32), (0, 4, 32), (4, 9, 3)])
-def test_links_against_all_pairs(spark, distance, segments, dense):
+@pytest.mark.parametrize("distance, segments, crowd", [(2, 5, 32), (2, 5, 1), (2, 3, 4), (1, 4, 1), (3, 7, 2), (0, 4, 32), (4, 9, 3)])
+def test_links_against_all_pairs(spark, distance, segments, crowd):
     pick = random.Random(distance * 100 + segments)
     values = {pick.getrandbits(64) for _ in range(60)}
     for v in list(values)[:25]:
@@ -67,15 +69,39 @@ def test_links_against_all_pairs(spark, distance, segments, dense):
     signed = sorted(v - 2**64 if v >> 63 else v for v in values)
     fps = spark.createDataFrame([(v,) for v in signed], "fp long")
     want = classes([(a, b) for k, a in enumerate(signed) for b in signed[:k] if bin((a ^ b) & (2**64 - 1)).count("1") <= distance], signed)
-    edges = simhash.links(fps, distance, segments, dense)
+    edges = simhash.links(fps, distance, segments, crowd)
     got = {n: n for n in signed} | {r["node"]: r["root"] for r in components.connected_components(edges).collect()}
     assert got == want
 
 
+def test_a_crowded_key_loses_no_link(spark):
+    # Ten thousand near copies of one fingerprint: most keys of the first rings are crowded.
+    pick = random.Random(12)
+    base = pick.getrandbits(64)
+    values = set()
+    while len(values) < 10_000:
+        values.add(base ^ sum(1 << b for b in pick.sample(range(64), pick.randint(0, 5))))
+    signed = np.array(sorted(values), np.uint64)
+    want = []
+    for k, v in enumerate(signed):
+        want += [(int(other), int(v)) for other in signed[np.flatnonzero(np.bitwise_count(signed[:k] ^ v) <= 2)]]
+    fps = spark.createDataFrame(pd.DataFrame({"fp": signed.view(np.int64)}))
+    for crowd in (32, 500):
+        edges = [(r["u"] & (2**64 - 1), r["v"] & (2**64 - 1)) for r in simhash.links(fps, 2, 5, crowd).collect()]
+        assert all((u ^ v).bit_count() <= 2 for u, v in edges)
+        assert classes(edges, signed.tolist()) == classes(want, signed.tolist())
+    assert len(set(classes(want, signed.tolist()).values())) > 500
+
+
 def test_ring_budgets():
-    masks = simhash.ring_masks(5)
-    assert all(m[5] == 2**64 - 1 for m in masks)
-    assert [bin(masks[0][n]).count("1") for n in range(6)] == [0, 12, 25, 38, 51, 64]
+    chains = simhash.ring((), tuple(range(64)), 2, 5)
+    assert [len(c.fixed) for c in chains] == [25, 26, 26, 26, 25] and all(set(c.fixed) | set(c.free) == set(range(64)) for c in chains)
+    assert [[(bin(mask).count("1"), most) for mask, most in c.budgets] for c in chains[:1]] == [[(38, 1), (51, 1)]]
+    inner = simhash.ring(chains[0].fixed, chains[0].free, 2, 3)
+    assert [len(c.fixed) for c in inner] == [38, 38, 38] and all(len(c.free) == 26 for c in inner)
+    assert [len(c.budgets) for c in inner] == [1, 1, 1]
+    with pytest.raises(ValueError):
+        simhash.ring((), tuple(range(64)), 2, 2)
 
 
 def test_near_duplicates_frame(spark, docs):
@@ -146,6 +172,34 @@ def test_colliding_texts_of_one_length(spark):
     assert {(r["doc_id"], r["keep_id"], r["group_size"]) for r in found} == {(k, k % 50 + 100, 3) for k in range(150)}
 
 
+def test_huge_texts_hash_in_parts(spark):
+    # Chunks of 64 bytes: texts of up to 2000 chunks, held by 3, dealt over tasks beyond 10,000 bytes.
+    pick = random.Random(4)
+    texts = [pick.randbytes(n).hex() for n in (0, 31, 32, 33, 96, 97, 5000, 64_000)]
+    texts += [texts[-1], texts[-1][:-1] + "x", texts[-2], None]
+    rows = [(k, t) for k, t in enumerate(texts)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    for primes in (exact_dedup.PRIMES, (3, 2)):
+        found = exact_dedup.exact_duplicates(frame, ["doc_id"], size=64, primes=primes, held=3, apart=10_000).collect()
+        assert {(r["doc_id"], r["keep_id"]) for r in found} == {(k, max(j for j, u in rows if (u or "") == (t or ""))) for k, t in rows}
+    kept = exact_dedup.with_row_key(frame).select(F.col("c0"), *exact_dedup.ROW_KEY, F.col("c1").alias("text"))
+    names = ["c0", *exact_dedup.ROW_KEY]
+    one, many = ({(r["c0"], r["h1"], r["h2"], r["n_bytes"]) for r in exact_dedup.fingerprinted(kept, names, 64, apart=apart).collect()} for apart in (1 << 30, 100))
+    whole = exact_dedup.ChunkHasher(1 << 18)
+    assert one == many == {(k, f.h1, f.h2, f.length) for k, t in rows for f in [whole((t or "").encode())]}
+
+
+def test_clashing_names(spark):
+    names = ["doc_id", "text", "__file", "__row", "id", "c0", "c1", "fp", "h1", "n_bytes", "text_sha256", "kept", "chunk", "_metadata", "a`b.c"]
+    rows = [(k, "same text here" if k < 3 else f"other {k}", *[k] * 13) for k in range(6)]
+    docs = spark.createDataFrame(rows, ", ".join(f"`{n.replace('`', '``')}` {'string' if n == 'text' else 'long'}" for n in names))
+    assert sorted(r["doc_id"] for r in exact_dedup.drop_exact_duplicates(docs).collect()) == [2, 3, 4, 5]
+    kept = simhash.drop_near_duplicates(docs)
+    assert kept.columns == names and sorted(r["doc_id"] for r in kept.collect()) == [0, 3, 4, 5]
+    found = simhash.near_duplicates(docs, ["doc_id", "h1", "c1"]).collect()
+    assert all(r["doc_id"] == r["h1"] == r["c1"] for r in found)
+
+
 def test_drop_exact(spark, docs):
     kept = exact_dedup.drop_exact_duplicates(docs)
     assert kept.columns == docs.columns

@@ -48,12 +48,15 @@ def test_stages(spark, tmp_path):
 
 
 def test_odd_documents_pass_through(spark):
-    schema = "doc_id long, text string, lang string, source string, n_chars long, __file long"
+    clashing = ["__file", "__row", "__lang", "__text", "__share", "node", "group", "c0", "c1", "id", "fp", "h1", "d0", "own", "first", "chunk", "ids", "piece0", "_metadata", "a`b.c"]
+    schema = "doc_id long, text string, lang string, source string, n_chars long, " + ", ".join(f"`{n.replace('`', '``')}` long" for n in clashing)
     rows = [(1, "der hund und die katze", "de", "s", 1, 0), (1, "der hund und die katze", "de", "s", 1, 0), (2, None, None, None, None, None), (None, "the dog and the cat", "en", None, 0, 0), (3, "", "en", "s", 0, 0), (4, "the dog and the cat " * 3000, "en", "s", 0, 0)]
     for some in (rows, []):
-        docs = spark.createDataFrame(some, schema).drop("__file")
-        for _, stage in corpus_pipeline.STAGES:
+        docs = spark.createDataFrame([r[:5] + (7,) * len(clashing) for r in some], schema)
+        for k, (_, stage) in enumerate(corpus_pipeline.STAGES):
+            columns = docs.columns
             docs = stage(spark, docs, SF)
+            assert k == 3 or docs.columns == columns
         ids = [r["doc_id"] for r in docs.select("doc_id").distinct().collect()]
         assert sorted(ids, key=str) == ([1, 4, None] if some else [])
 

@@ -10,7 +10,11 @@ bytes.
 Text is cut at ASCII white space first: no pattern of the vocabulary crosses it,
 so each run of other characters encodes alone. Every batch is reduced to its
 distinct runs, these to their distinct words, and workers remember the ids of
-words in dictionaries of bounded size.
+words in dictionaries of bounded size. Texts longer than ``PIECE`` characters pass
+in pieces cut at white space, a run longer than that word by word, and a long word
+symbol by symbol; their ids and their decoded text leave in pieces too, so beyond
+the text itself memory does not grow with its length. (Only a run of characters
+that normalisation may change has to pass whole.)
 
 Edge cases: null and empty texts have no tokens (zero-length ids, the SHA-256
 of the empty string); very long runs pass through the constant window; repeated
@@ -24,6 +28,7 @@ import bisect
 import codecs
 import functools
 import hashlib
+import itertools
 import json
 import re
 from array import array
@@ -35,13 +40,19 @@ import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame, SparkSession
 
-from sieveline.llm.common import small_batches, table, text_or_empty
+from sieveline.llm.common import ARROW_BYTES, positional, small_batches, table, text_or_empty
 
 VOCABULARY = "word_bpe_49k.json"
 CACHE_WORDS = {"library": 120_000, "transducer": 350_000}
 """Words in each of a worker's two generations of remembered words, about 50 and 140 MB
 together; a word that is not remembered costs this module's own engine more."""
 
+PIECE = 1 << 20
+"""Characters of a text that are encoded at once."""
+IDS = 65_536
+"""Ids of a long word that leave at once."""
+WHITE = " \t\n\r\x0b\x0c"
+
 _ODD = regex.compile(r"[\x1c-\x1f\x85\xa0\u0180-\U0010ffff]|<\|")
 """What the quick path leaves out: separators and spaces on which libraries
 disagree, characters that normalisation may change, and openings of special
@@ -220,11 +231,16 @@ class Encoder:
         spelled = word if word.isascii() and word.isalpha() else "".join([self.alphabet[b] for b in word.encode()])
         return [token.id for token in self.library.model.tokenize(spelled)]
 
+    def _symbols(self, word: str) -> Iterator[int]:
+        """The symbols of a word, of which only a stretch is in bytes at a time."""
+        for at in range(0, len(word) - 1, IDS):
+            yield from map(self.v.inner.__getitem__, word[at : min(at + IDS, len(word) - 1)].encode())
+        end = word[-1].encode()
+        yield from map(self.v.inner.__getitem__, end[:-1])
+        yield self.v.last[end[-1]]
+
     def _by_transducer(self, word: str) -> list[int]:
-        data = word.encode()
-        symbols = [self.v.inner[b] for b in data[:-1]]
-        symbols.append(self.v.last[data[-1]])
-        return list(self.transducer(symbols))
+        return list(self.transducer(self._symbols(word)))
 
     def _word(self, word: str) -> bytes:
         ids = self.words.get(word)
@@ -291,6 +307,44 @@ class Encoder:
         """Ids of one whole text."""
         return self.encode_batch(pa.array([text], pa.string()))[0]
 
+    def _long_run(self, run: str) -> Iterator[np.ndarray]:
+        """Ids of a run without white space, in pieces."""
+        if _ODD.search(run):
+            yield np.frombuffer(self._odd_run(run), "<u4")
+            return
+        held: list[bytes] = []
+        size = 0
+        for match in self.v.split.finditer(run.lower()):
+            word = match.group()
+            if self.transducer and len(word) > IDS:
+                yield np.frombuffer(b"".join(held), "<u4")
+                held, size, ids = [], 0, self.transducer(self._symbols(word))
+                while some := array("I", itertools.islice(ids, IDS)):
+                    yield np.frombuffer(some.tobytes(), "<u4")
+                continue
+            held.append(self._word(word))
+            size += len(held[-1])
+            if size >= 4 * IDS:
+                yield np.frombuffer(b"".join(held), "<u4")
+                held, size = [], 0
+        yield np.frombuffer(b"".join(held), "<u4")
+
+    def pieces(self, text: str, limit: int = PIECE) -> Iterator[np.ndarray]:
+        """Ids of a text of any length, in pieces; only a stretch of it is encoded at a time."""
+        at = 0
+        while at < len(text):
+            end = min(at + limit, len(text))
+            if end < len(text):
+                gap = max(text.rfind(c, at, end) for c in WHITE)
+                if gap <= at:
+                    gap = min((g for c in WHITE if (g := text.find(c, end)) >= 0), default=len(text))
+                    stretch, at = text[at:gap], gap
+                    yield from self._long_run(stretch.strip(WHITE))
+                    continue
+                end = gap
+            yield self.encode(text[at:end])
+            at = end
+
 
 class Decoder:
     """Ids to text: a token's bytes pass one by one through a UTF-8 state machine.
@@ -309,12 +363,16 @@ class Decoder:
             self.parts = [bytes(map(vocabulary.byte_of.__getitem__, t)) if all(c in vocabulary.byte_of for c in t) else t.encode() for t in vocabulary.tokens]
             self.gap = b""
 
-    def decode(self, ids: np.ndarray, step: int = 65_536) -> Iterator[str]:
-        """Text in pieces, each of at most ``step`` tokens."""
+    def decode(self, pieces: Iterable[np.ndarray], step: int = 65_536) -> Iterator[str]:
+        """Text of ids that come in pieces, in parts of at most ``step`` tokens each."""
         self.machine.reset()
-        for at in range(0, len(ids), step):
-            piece = self.gap.join([self.parts[i] for i in ids[at : at + step].tolist()])
-            yield self.machine.decode((self.gap if at else b"") + piece, final=at + step >= len(ids))
+        gap = b""
+        for ids in pieces:
+            for at in range(0, len(ids), step):
+                part = self.gap.join([self.parts[i] for i in ids[at : at + step].tolist()])
+                yield self.machine.decode(gap + part)
+                gap = self.gap
+        yield self.machine.decode(b"", final=True)
 
 
 @functools.lru_cache(maxsize=4)
@@ -329,34 +387,54 @@ def encode_decode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     Narrow: no shuffle, one pass over the texts.
     """
     small_batches(docs.sparkSession)
-    types = {f.name: f.dataType for f in docs.schema.fields}
-    id_type = types[id_col].simpleString()
-    schema = f"`{id_col}` {id_type}, n_tokens long, " + ("ids_sha256 string, decoded_sha256 string" if digests else "ids array<int>, decoded string")
+    rows = docs.select(*positional(docs, [id_col]), text_or_empty(text_col).alias("text"))
+    names = ["c0", "n_tokens", *(("ids_sha256", "decoded_sha256") if digests else ("ids", "decoded"))]
+    schema = f"c0 {rows.dtypes[0][1]}, n_tokens long, " + ("ids_sha256 string, decoded_sha256 string" if digests else "ids array<int>, decoded string")
 
     def run(batches):
         codec = encoder(vocabulary, "transducer")
         decoder = Decoder(codec.v)
         decimal = [str(i) for i in range(codec.v.size)]
-        for batch in batches:
-            counts, first, second = [], [], []
+
+        def texts(batch):
+            """The ids of each text, in pieces."""
+            if batch.nbytes > 2 * ARROW_BYTES:
+                for text in batch.column(1):
+                    yield codec.pieces(text.as_py())
+                return
             flat, at = codec.encode_batch(batch.column(1))
             for a, b in zip(at[:-1].tolist(), at[1:].tolist()):
-                ids = flat[a:b]
-                counts.append(len(ids))
-                if digests:
-                    first.append(hashlib.sha256(" ".join([decimal[i] for i in ids.tolist()]).encode()).hexdigest())
-                    digest = hashlib.sha256()
-                    for piece in decoder.decode(ids):
-                        digest.update(piece.encode())
-                    second.append(digest.hexdigest())
-                else:
-                    first.append(ids.astype(np.int32))
-                    second.append("".join(decoder.decode(ids)))
+                yield [flat[a:b]]
+
+        for batch in batches:
+            counts, first, second = [], [], []
+            for pieces in texts(batch):
+                n, ids, digest = 0, hashlib.sha256(), hashlib.sha256()
+                kept: list[np.ndarray] = []
+
+                def passing():
+                    nonlocal n
+                    for piece in pieces:
+                        if digests and len(piece):
+                            ids.update((" " * bool(n) + " ".join([decimal[i] for i in piece.tolist()])).encode())
+                        elif not digests:
+                            kept.append(piece.astype(np.int32))
+                        n += len(piece)
+                        yield piece
+
+                parts = []
+                for part in decoder.decode(passing()):
+                    if digests:
+                        digest.update(part.encode())
+                    else:
+                        parts.append(part)
+                counts.append(n)
+                first.append(ids.hexdigest() if digests else np.concatenate([np.empty(0, np.int32), *kept]))
+                second.append(digest.hexdigest() if digests else "".join(parts))
             kinds = (pa.string(), pa.string()) if digests else (pa.list_(pa.int32()), pa.string())
-            names = [id_col, "n_tokens", *(("ids_sha256", "decoded_sha256") if digests else ("ids", "decoded"))]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(counts, pa.int64()), pa.array(first, kinds[0]), pa.array(second, kinds[1])], names)
 
-    return docs.select(id_col, text_or_empty(text_col).alias(text_col)).mapInArrow(run, schema)
+    return rows.mapInArrow(run, schema).withColumnRenamed("c0", id_col)
 
 
 def op3_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,3 +1,4 @@
+import hashlib
 import random
 import zlib
 
@@ -33,7 +34,7 @@ def test_same_ids_and_text_as_the_library(text):
     codec = bpe.encoder(bpe.VOCABULARY, "transducer")
     ids = codec.encode(text)
     assert ids.tolist() == library_ids(codec, text)
-    assert "".join(bpe.Decoder(codec.v).decode(ids, step=3)) == codec.library.decode(ids.tolist(), skip_special_tokens=False)
+    assert "".join(bpe.Decoder(codec.v).decode([ids], step=3)) == codec.library.decode(ids.tolist(), skip_special_tokens=False)
 
 
 def test_engines_agree_and_forget(codec):
@@ -70,8 +71,8 @@ def test_lookahead_of_a_small_list():
 
 def test_byte_decoder(codec):
     d = bpe.Decoder(codec.v, spaced=False)
-    assert "".join(d.decode(np.array([codec.v.inner[b] for b in "é".encode()]))) == "é"
-    assert "".join(d.decode(np.array([codec.v.inner[0xC3]]))) == "�"
+    assert "".join(d.decode([np.array([codec.v.inner[b]]) for b in "é".encode()])) == "é"
+    assert "".join(d.decode([np.array([codec.v.inner[0xC3]])])) == "�"
 
 
 def test_encode_decode_frame(spark, docs, codec):
@@ -80,6 +81,32 @@ def test_encode_decode_frame(spark, docs, codec):
     assert bpe.encode_decode(docs.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("engine", ["transducer", "library"])
+def test_pieces_of_long_texts(engine, monkeypatch):
+    codec = bpe.encoder(bpe.VOCABULARY, engine)
+    monkeypatch.setattr(bpe, "IDS", 50)
+    pick = random.Random(6)
+    letters = "abcdefghijklmnop"
+    words = ["".join(pick.choices(letters, k=pick.choice((3, 8, 30)))) for _ in range(200)]
+    texts = ["", " ", " \n" * 90, " ".join(words), "".join(words), "-".join(words), "x" * 3000 + " y", " " + "Don'T" * 400, "é" * 900 + "日本" * 60, "".join(pick.choices(letters, k=9000))]
+    for text in texts:
+        for limit in (17, 100, 1 << 20):
+            got = list(codec.pieces(text, limit))
+            assert np.concatenate([np.empty(0, np.uint32), *got]).tolist() == library_ids(codec, text), (text[:20], limit)
+    got = list(codec.pieces(" ".join(words), 100))
+    assert max(map(len, got)) <= 100 and len(got) > 10
+
+
+def test_a_long_text_leaves_the_worker_in_pieces(spark, codec, monkeypatch):
+    text = "The quick brown fox, jumps over 12 lazy dogs! " * 300_000
+    rows = spark.createDataFrame([(1, text), (2, "short")], "doc_id long, text string")
+    got = {r["doc_id"]: r for r in bpe.encode_decode(rows, digests=True).collect()}
+    ids = library_ids(codec, text[: 46 * 1000])
+    assert got[1]["n_tokens"] == len(ids) * 300
+    digest = hashlib.sha256(" ".join(map(str, ids * 300)).encode()).hexdigest()
+    assert got[1]["ids_sha256"] == digest and got[2]["n_tokens"] == len(library_ids(codec, "short"))
+
+
 @settings(max_examples=60, deadline=None)
 @given(st.integers(1, 32), st.data())
 def test_bit_packing(bits, data):
@@ -104,11 +131,29 @@ def test_files_round_trip(spark, docs, codec, tmp_path):
         want.append((doc_id, at, len(ids), zlib.crc32(ids.tobytes())))
         at += len(ids)
     assert [(r["doc_id"], r["start"], r["n_tokens"], r["ids_crc32"]) for r in rows] == want
-    # Random access through the index of one file.
-    parts = sorted((tmp_path / "files").glob("part-*"))
-    file = token_files.TokenFile(next(p.read_bytes() for p in parts if p.stat().st_size))
-    block = file.block(len(file) - 1)
-    assert block.ids(0).tolist() == block.ids()[: len(block.ids(0))].tolist()
+    # Random access through the index of one file, in memory and by ranges.
+    place = next(p for p in sorted((tmp_path / "files").glob("part-*")) if p.stat().st_size)
+    file, remote = token_files.TokenFile(place.read_bytes()), token_files.RemoteFile(spark, f"file://{place}")
+    assert len(file) == len(remote) and file.index.tolist() == remote.index.tolist()
+    for k in range(len(file)):
+        block = file.block(k)
+        assert block.ids(0).tolist() == block.ids()[: len(block.ids(0))].tolist()
+        assert remote.block(k).ids().tolist() == block.ids().tolist() and remote.block(k).doc_ids == block.doc_ids
+    broken = bytearray(place.read_bytes())
+    broken[60] ^= 1
+    with pytest.raises(ValueError):
+        token_files.TokenFile(bytes(broken)).block(0)
+
+
+def test_files_roll_by_size(spark, tmp_path):
+    docs = spark.createDataFrame([(k % 40, f"word{k} and some more of it " * 20) for k in range(400)], "doc_id long, text string")
+    path = f"file://{tmp_path}/part-7/files"
+    token_files.write_files(docs, path, file_bytes=20_000)
+    sizes = [p.stat().st_size for p in (tmp_path / "part-7/files").glob("part-*")]
+    assert len(sizes) > 5 and max(sizes) < 20_000
+    rows = token_files.with_global_starts(token_files.read_files(spark, path)).orderBy("start").collect()
+    assert [r["doc_id"] for r in rows] == sorted(k % 40 for k in range(400))
+    assert [r["start"] for r in rows] == np.cumsum([0] + [r["n_tokens"] for r in rows])[:-1].tolist()
 
 
 def test_empty_table_of_files(spark, docs, tmp_path):

@@ -15,11 +15,12 @@ QUERIES = {
     "op8_token_files": token_files.op8_token_files,
     "op9_best_fit_packing": packing.op9_best_fit_packing,
     "op10_lm_score": lm_score.op10_lm_score,
+    "rollup_words_bytes": token_counts.rollup_words_bytes,
 }
 
 ORACLES: dict[str, str] = {
     "op1_topk_search": topk.ORACLE,
-    "op4_token_counts": token_counts.ORACLE,
+    "rollup_words_bytes": token_counts.ORACLE,
     "op6_exact_dedup": exact_dedup.ORACLE,
     "op7_url_filter": url_filter.ORACLE,
 }

@@ -34,8 +34,33 @@ from sieveline.llm.common import persist, table
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
-#: Suffixes of two labels under which names are registered.
-TWO_LABEL_SUFFIXES = ("co.uk", "org.uk", "ac.uk", "com.au", "co.jp", "com.br", "co.nz", "co.za")
+
+@dataclass(frozen=True)
+class Suffixes:
+    """Under which suffixes names are registered.
+
+    By rule: under a country's two letters, labels that name a kind of registrant
+    make a suffix of two labels. ``also`` holds further suffixes of several labels,
+    of which the longest that fits counts, ``never`` hosts that the rule would take
+    for suffixes. Everything else is registered under its last label.
+    """
+
+    kinds: tuple[str, ...] = ("ac", "co", "com", "edu", "gob", "gov", "go", "gouv", "govt", "id", "info", "ltd", "mil", "ne", "net", "nom", "or", "org", "plc", "sch", "school")
+    also: tuple[str, ...] = ()
+    never: tuple[str, ...] = ()
+
+    def labels(self, host: Column) -> Column:
+        """How many labels the suffix of a host has."""
+        parts = F.split(host, r"\.")
+        last, before = F.element_at(parts, -1), F.try_element_at(parts, F.lit(-2))
+        two = last.rlike(r"^[a-z]{2}\z") & F.coalesce(before.isin(*self.kinds), F.lit(False))
+        if self.never:
+            two = two & ~F.substring_index(host, ".", -2).isin(*self.never)
+        found = F.when(two, 2).otherwise(1)
+        for suffix in sorted(self.also, key=lambda s: s.count(".")):
+            fits = (host == suffix) | F.endswith(host, F.lit("." + suffix))
+            found = F.when(fits, suffix.count(".") + 1).otherwise(found)
+        return found
 
 
 @dataclass(frozen=True)
@@ -69,6 +94,7 @@ class Reputation:
     z: float = 1.645
     least_strength: float = 1.0
     greatest_strength: float = 10_000.0
+    suffixes: Suffixes = Suffixes()
 
 
 def host_and_path(url: Column) -> tuple[Column, Column]:
@@ -79,16 +105,14 @@ def host_and_path(url: Column) -> tuple[Column, Column]:
     return host, F.regexp_extract(rest, r"^[^/?#]*([^?#]*)", 1)
 
 
-def suffix_of(host: Column) -> Column:
-    """The last label, or the last two where names are registered under two."""
-    two = F.substring_index(host, ".", -2)
-    return F.when(two.isin(*TWO_LABEL_SUFFIXES), two).otherwise(F.substring_index(host, ".", -1))
+def suffix_of(host: Column, suffixes: Suffixes = Suffixes()) -> Column:
+    """The labels under which names are registered."""
+    return F.array_join(F.slice(F.split(host, r"\."), -F.least(suffixes.labels(host), F.size(F.split(host, r"\."))), F.lit(64)), ".")
 
 
-def registered_domain(host: Column) -> Column:
+def registered_domain(host: Column, suffixes: Suffixes = Suffixes()) -> Column:
     """The suffix and one label more."""
-    two = F.substring_index(host, ".", -2)
-    return F.when(two.isin(*TWO_LABEL_SUFFIXES), F.substring_index(host, ".", -3)).otherwise(two)
+    return F.array_join(F.slice(F.split(host, r"\."), -F.least(suffixes.labels(host) + 1, F.size(F.split(host, r"\."))), F.lit(64)), ".")
 
 
 def rule_column(host: Column, path: Column, rules: tuple[Rule, ...], value: str) -> Column:
@@ -124,7 +148,7 @@ def host_verdicts(pages: DataFrame, outcomes: DataFrame, method: Reputation) ->
     """
     labelled = pages.join(outcomes, "page_id", "left")
     hosts = labelled.groupBy("host").agg(F.count("bad").alias("n"), F.coalesce(F.sum("bad"), F.lit(0)).alias("bad"))
-    hosts = persist(hosts.withColumns({"domain": registered_domain(F.col("host")), "suffix": suffix_of(F.col("host"))}), "hosts")
+    hosts = persist(hosts.withColumns({"domain": registered_domain(F.col("host"), method.suffixes), "suffix": suffix_of(F.col("host"), method.suffixes)}), "hosts")
     domains = hosts.groupBy("domain", "suffix").agg(F.sum("n").alias("n"), F.sum("bad").alias("bad"))
     suffixes = domains.groupBy("suffix").agg(F.sum("n").alias("n"), F.sum("bad").alias("bad"))
     whole = suffixes.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.coalesce(F.sum("bad"), F.lit(0)).alias("bad")).first()
@@ -162,7 +186,7 @@ def op7_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge(table(spark, sf_dir, "pages", "page_id", "url"), labels.select(F.col("doc_id").alias("page_id"), bad.alias("bad")))
 
 
-_TWO = ", ".join(f"'{s}'" for s in TWO_LABEL_SUFFIXES)
+_KINDS = ", ".join(f"'{kind}'" for kind in Suffixes().kinds)
 
 
 def _strength_sql(level: str) -> str:
@@ -186,9 +210,10 @@ WITH parsed AS (
 ), parts AS (
   SELECT page_id, host, string_split(host, '.') AS l FROM parsed
 ), named AS (
-  SELECT page_id, host, array_to_string(l[-2:], '.') AS two, array_to_string(l[-3:], '.') AS three, l[-1] AS one FROM parts
+  SELECT page_id, host, array_to_string(l[-2:], '.') AS two, array_to_string(l[-3:], '.') AS three, l[-1] AS one,
+         regexp_full_match(l[-1], '[a-z]{{2}}') AND len(l) > 1 AND coalesce(l[-2], '') IN ({_KINDS}) AS deep FROM parts
 ), hosts AS (
-  SELECT host, CASE WHEN two IN ({_TWO}) THEN three ELSE two END AS domain, CASE WHEN two IN ({_TWO}) THEN two ELSE one END AS suffix,
+  SELECT host, CASE WHEN deep THEN three ELSE two END AS domain, CASE WHEN deep THEN two ELSE one END AS suffix,
          count(bad) AS n, CAST(coalesce(sum(bad), 0) AS BIGINT) AS bad
   FROM named LEFT JOIN outcomes USING (page_id) GROUP BY ALL
 ), domains AS (

@@ -15,7 +15,7 @@ def two_thresholds(value: Column, warn, fail, gated: Column | None = None) -> Co
     return F.when(gate & (value > fail), FAIL).when(gate & (value > warn), WARN).otherwise(PASS)
 
 
-def complexity_status(complexity: Column, nesting: Column, warn=15, fail=25, warn_nesting=5) -> Column:
+def complexity_status(complexity: Column, nesting: Column, warn=15, fail=25, warn_nesting=4) -> Column:
     """Complexity strictly above its limits, nesting from its limit on."""
     return F.when(complexity > fail, FAIL).when((complexity > warn) | (nesting >= warn_nesting), WARN).otherwise(PASS)
 
@@ -52,9 +52,9 @@ def scope_status(errors: Column, measured: Column, skipped: Column, has_fail: Co
 
 
 def below_threshold(score: Column, branch: Column, function: Column, least_score, least_branch, least_function, has_fail: Column, optional_missing: Column) -> Column:
-    """Whether a measured score warns: not judged after failures, forced where a part is missing."""
+    """Whether a measured score warns: forced where an optional part is missing, not judged after failures."""
     low = (score < least_score) | (branch < least_branch) | (function < least_function)
-    return F.when(has_fail, F.lit(False)).otherwise(optional_missing | F.coalesce(low, F.lit(False)))
+    return F.when(optional_missing | has_fail, optional_missing).otherwise(F.coalesce(low, F.lit(False)))
 
 
 def exit_code(status: Column) -> Column:
@@ -107,14 +107,23 @@ def effectiveness(line: Column, branch: Column, estimated: Column, function: Col
 
 
 def shown_score(score: Column, most: Column, summary: Column) -> Column:
-    """``score/most``, else the score, else the summary, else a dash."""
-    return F.coalesce(F.format_string("%.2f/%.1f", score, most), F.when(score.isNotNull(), F.format_string("%.2f", score)), summary, F.lit("-"))
+    """Score of the most there is, else the score, else the summary, else a dash."""
+    alone = F.when(score.isNotNull(), F.format_string("%.2f", score))
+    return F.coalesce(F.when(score.isNotNull() & most.isNotNull(), F.format_string("%.2f / %.2f", score, most)), alone, summary, F.lit("-"))
 
 
 def coverage_colour(percent_: Column) -> Column:
     return F.when(percent_ >= 90, "green").when(percent_ >= 75, "yellow").when(percent_.isNotNull(), "red").otherwise("grey")
 
 
+#: Marks of the statuses.
+STATUS_COLOURS = {PASS: "#10b981", WARN: "#f59e0b", FAIL: "#ef4444", ERROR: "#dc2626", SKIP: "#9ca3af"}
+
+
+def status_colour(status: Column) -> Column:
+    return F.element_at(F.create_map(*[F.lit(x) for pair in STATUS_COLOURS.items() for x in pair]), status)
+
+
 def formatter_verdict(timed_out: Column, truncated: Column, returncode: Column, well_formed: Column, n_files: Column) -> Column:
     """What a formatter's run says: cut-off or odd output is an error, files to change a warning."""
     lost = timed_out | truncated | returncode.isNull() | ~returncode.isin(0, 1)

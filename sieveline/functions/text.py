@@ -48,25 +48,26 @@ def starts_with_any(line: Column, starts: tuple[str, ...] | list[str]) -> Column
     return found
 
 
-_STRING = r"'(?:[^'\\]|\\.)*'|\"(?:[^\"\\]|\\.)*\""
-_NUMBER = r"\b\d+(?:\.\d+)?\b"
-_WORD = r"\b[A-Za-z_]\w*\b"
-_SPLIT = f"(?U)({_STRING}|{_NUMBER}|{_WORD}|.|\n)"
+#: Tokens that normalisation replaces, as patterns over word characters W.
+WORD_CHARACTERS = r"\p{L}\p{N}_"
+STRING_TOKEN = r"""'(?:[^'\\]|\\.)*'|"(?:[^"\\]|\\.)*\""""
+NUMBER_TOKEN = r"(?<![W])\p{Nd}+(?:\.\p{Nd}+)?(?![W])"
+NAME_TOKEN = r"(?<![W])(?!(?:KEPT)(?![W]))[A-Za-z_][W]*"
 
 
 def normalised_tokens(line: Column) -> Column:
-    """Strings and numbers as ``LIT``, words as ``ID`` unless kept, white space removed.
+    """Strings and numbers as ``LIT``, names as ``ID`` unless kept, white space removed; all else stays.
 
-    One pass: the line is cut into tokens, each token is mapped, and the pieces are
-    joined again.
+    As one pass from left to right would have it: strings never overlap other tokens,
+    and a name or number is only one that no word character touches. Noncharacters
+    stand in for what has been replaced.
     """
-
-    def mapped(token: Column) -> Column:
-        literal = token.rlike(r"(?sU)^(?:'.*'|\".*\")$") | token.rlike(r"(?U)^\d")
-        word = token.rlike(r"^[A-Za-z_]")
-        return F.when(literal & ((F.length(token) > 1) | ~token.isin("'", '"')), "LIT").when(word, F.when(token.isin(*KEPT_WORDS), token).otherwise("ID")).otherwise(F.regexp_replace(token, r"(?U)[\s\x1c-\x1f]+", ""))
-
-    return F.array_join(F.transform(F.regexp_extract_all(line, F.lit(_SPLIT), F.lit(1)), mapped), "")
+    literal, name = "\ufdd0", "\ufdd1"
+    spelled = lambda pattern: "(?d)" + pattern.replace("[W]", f"[{WORD_CHARACTERS}]").replace("KEPT", "|".join(KEPT_WORDS))
+    marked = F.regexp_replace(line, spelled(STRING_TOKEN), literal)
+    marked = F.regexp_replace(marked, spelled(NUMBER_TOKEN), literal)
+    marked = F.regexp_replace(marked, spelled(NAME_TOKEN), name)
+    return replaced(F.translate(marked, WHITE_SPACE, ""), [(literal, "LIT"), (name, "ID")])
 
 
 def replaced(text: Column, pairs: list[tuple[str, str]]) -> Column:
@@ -165,9 +166,19 @@ def permalink(base: Column, revision: Column, path: Column, start: Column, end:
     return F.when(base.rlike(r"^https?://[^/\s]+"), link)
 
 
+#: How names and versions of projects are spelled.
+PROJECT_VALUE = r"\A[A-Za-z0-9._-]+\z"
+
+
+def project_name(name: Column) -> Column:
+    """The name where it is one; null for anything else, also for what names a directory."""
+    return F.when(name.rlike(PROJECT_VALUE) & ~name.isin(".", ".."), name)
+
+
 def release_name(version: Column) -> Column:
-    """``v`` and the version; null for what is no version."""
-    return F.when(version.rlike(r"^v?\d+(\.\d+)*[A-Za-z0-9.+-]*$"), F.concat(F.lit("v"), F.regexp_replace(version, "^v", "")))
+    """``v`` and the version, of which one leading ``v`` does not count; null for what is no version."""
+    bare = F.regexp_replace(version, "^v", "")
+    return F.when(bare.rlike(PROJECT_VALUE), F.concat(F.lit("v"), bare))
 
 
 def simple_code_lines(text: Column) -> Column:
@@ -175,6 +186,13 @@ def simple_code_lines(text: Column) -> Column:
     return F.size(F.filter(F.transform(lines_of(text), stripped), lambda s: (s != "") & ~starts_with_any(s, ("#", "//", "/*")))).cast("long")
 
 
+def normal_path(path: Column) -> Column:
+    """An absolute path without ``.``, ``..`` and empty parts, which climb no higher than the top."""
+    parts = F.filter(F.split(path, "/"), lambda p: ~p.isin("", "."))
+    kept = F.aggregate(parts, F.array().cast("array<string>"), lambda done, p: F.when(p == "..", F.slice(done, F.lit(1), F.greatest(F.size(done) - 1, F.lit(0)))).otherwise(F.concat(done, F.array(p))))
+    return F.concat(F.lit("/"), F.array_join(kept, "/"))
+
+
 def within(path: Column, root: str) -> Column:
     """Whether a normal path lies below ``root``; one that climbs out does not."""
     return F.startswith(path, F.lit(root.rstrip("/") + "/")) & ~F.array_contains(path_parts(path), "..")

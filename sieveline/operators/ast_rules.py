@@ -235,7 +235,7 @@ def rules(path: str, content: str, missing_returns: bool = False) -> list[tuple]
     return out
 
 
-def findings(files: DataFrame, warn=15, fail=25, warn_nesting=5, missing_returns: bool = False) -> DataFrame:
+def findings(files: DataFrame, warn=15, fail=25, warn_nesting=4, missing_returns: bool = False) -> DataFrame:
     """Findings of (path, content) rows; complexity is judged by its thresholds."""
     columns = [c.split()[0] for c in FINDING.split(", ")]
 
@@ -319,6 +319,20 @@ def dead_code(files: DataFrame) -> DataFrame:
     return aborting(symbols.private_usage(defs, refs, of("export").select("file", "name"), keys), errors)
 
 
+def dead_findings(files: DataFrame) -> DataFrame:
+    """The whole check: private functions, unreachable statements, and one PASS row for every file with neither.
+
+    (file, name, line, status); files that do not parse silence all others.
+    """
+    usage = dead_code(files)
+    errors = usage.where(F.col("status") == policy.ERROR)
+    never = findings(files).where(F.col("rule") == "unreachable").select(F.col("path").alias("file"), F.col("target").alias("name"), F.col("start_line").alias("line"), "status")
+    found = usage.where(F.col("status") != policy.ERROR).unionByName(never)
+    clean = files.select(F.col("path").alias("file")).join(found.select("file").distinct(), "file", "left_anti")
+    rest = clean.select("file", F.lit("inspected").alias("name"), F.lit(1).cast("long").alias("line"), F.lit(policy.PASS).alias("status"))
+    return aborting(found.unionByName(rest), errors)
+
+
 def masked_source(text: str) -> str:
     """C-like source with comments and literals as spaces; length and line ends stay.
 

@@ -12,9 +12,23 @@ BAR = 50
 SHOWN_SNIPPETS = 5
 
 
-def check_rows(findings: DataFrame, key: str, required: Column, evidence: Column, mode: str = "pass_warn_fail") -> DataFrame:
-    """One check for each key of findings (key, status): counts, status by mode, required, evidence."""
+def enabled(checks: DataFrame, switches: DataFrame, key: str) -> DataFrame:
+    """Checks but those whose switch (key, enabled) is off; a check without a switch is on."""
+    off = switches.where(~F.coalesce("enabled", F.lit(True))).select(key).distinct()
+    return checks.join(off, key, "left_anti")
+
+
+def check_rows(findings: DataFrame, key: str, required: Column, evidence: Column, mode: str = "pass_warn_fail", warnings: DataFrame | None = None) -> DataFrame:
+    """One check for each key of findings (key, status): counts, status by mode, required, evidence.
+
+    ``warnings`` (key, message) are what the tools themselves warned of: each counts
+    as a warning.
+    """
     counted = findings.groupBy(key).agg(*[F.count_if(F.col("status") == s).alias(f"n_{s.lower()}") for s in ("PASS", "WARN", "FAIL")])
+    if warnings is not None:
+        more = warnings.groupBy(key).agg(F.count("*").alias("__more"))
+        counted = counted.join(more, key, "full").select(key, *[F.coalesce(f"n_{s}", F.lit(0)).alias(f"n_{s}") for s in ("pass", "warn", "fail")], F.coalesce("__more", F.lit(0)).alias("__more"))
+        counted = counted.withColumn("n_warn", F.col("n_warn") + F.col("__more")).drop("__more")
     return counted.withColumns({"status": policy.by_mode(F.col("n_fail") > 0, F.col("n_warn") > 0, mode), "required": required, "evidence": evidence})
 
 
@@ -93,7 +107,7 @@ def suite_json(checks: DataFrame, findings: DataFrame, key: str) -> DataFrame:
     """The whole suite as one JSON object: status, counts and every check with its findings.
 
     ``checks`` has key, status, required and evidence; checks are few, findings nest
-    within theirs.
+    within theirs. Both sides of the join are one row.
     """
     each = json_report(checks, findings, key).agg(F.array_sort(F.collect_list(F.struct(key, "json"))).alias("r"))
     rows = F.concat(F.lit("["), F.array_join(F.transform("r", lambda s: s["json"]), ","), F.lit("]"))
@@ -108,3 +122,25 @@ def summary_rows(checks: DataFrame, findings: DataFrame, key: str) -> DataFrame:
     bad = findings.where(F.col("status") != "PASS").groupBy(key).agg(F.array_sort(F.collect_list(F.struct("target", "status"))).alias("issues"))
     empty = F.array().cast(dict(bad.dtypes)["issues"])
     return checks.join(bad, key, "left").withColumn("issues", F.coalesce("issues", empty))
+
+
+def dashboard(checks: DataFrame, key: str) -> DataFrame:
+    """The console's table: key, status with its mark, summary, score and duration as shown.
+
+    ``checks`` has key, status, summary, score, max_score, metrics and duration.
+    """
+    score = policy.shown_score(F.col("score"), F.col("max_score"), F.col("metrics"))
+    duration = F.when(F.col("duration") > 0, F.format_string("%.2fs", "duration")).otherwise("-")
+    return checks.select(key, F.concat_ws(" ", icon(F.col("status")), "status").alias("badge"), "summary", score.alias("score"), duration.alias("duration"))
+
+
+def footer(checks: DataFrame) -> DataFrame:
+    """One row: how many checks there are of each status. Errors do not count as failures here."""
+    n = {s: F.count_if(F.col("status") == s) for s in ("PASS", "WARN", "FAIL", "ERROR", "SKIP")}
+    return checks.agg(F.format_string("Total: %d (Pass: %d, Warn: %d, Fail: %d, Error: %d, Skip: %d)", F.count("*"), *n.values()).alias("footer"))
+
+
+def tree_search(rows: DataFrame, query: str, shown: Column, folder: Column) -> DataFrame:
+    """Rows whose shown text holds the query in any case, and every folder; all of them for a blank query."""
+    wanted = query.lower().strip()
+    return rows.where(folder | F.contains(F.lower(shown), F.lit(wanted))) if wanted else rows

@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sieveline.functions import text as T
-from sieveline.operators.storage import stored
+from sieveline.operators.storage import numbered, stored
 
 WINDOW = 6
 
@@ -107,23 +107,26 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
 
 
 def clone_groups(found: DataFrame, key: str) -> DataFrame:
-    """(group_id, root, members, n_members, n_windows): connected texts, largest first.
+    """(group_id, root, member, n_members, n_windows): connected texts, a row for each, largest group first.
 
     Groups rank by shared windows, then members, then the first member.
     """
     found = stored(found.select(key, "hash"))
     parts = components(star_edges(found, key))
-    repeated = found.groupBy("hash").agg(F.countDistinct(key).alias("__n")).where(F.col("__n") > 1).select("hash")
-    shared = found.join(repeated, "hash").groupBy(key).agg(F.countDistinct("hash").alias("__w"))
-    joined = parts.join(shared, parts["node"] == shared[key]).groupBy(F.col("component").alias("root")).agg(F.array_sort(F.collect_list("node")).alias("members"), F.count("*").alias("n_members"), F.max("__w").alias("n_windows"))
-    rank = F.row_number().over(Window.orderBy(F.desc("n_windows"), F.desc("n_members"), "root"))
-    return joined.select(rank.cast("long").alias("group_id"), "root", "members", "n_members", "n_windows")
+    repeated = found.distinct().groupBy("hash").agg(F.count("*").alias("__n")).where(F.col("__n") > 1).select("hash")
+    shared = found.distinct().join(repeated, "hash").groupBy(F.col(key).alias("member")).agg(F.count("*").alias("__w"))
+    members = parts.select(F.col("node").alias("member"), F.col("component").alias("root")).join(shared, "member")
+    sizes = members.groupBy("root").agg(F.count("*").alias("n_members"), F.max("__w").alias("n_windows"))
+    ranks = numbered(sizes, [F.desc("n_windows"), F.desc("n_members"), F.col("root")], "group_id")
+    return members.join(ranks, "root").select(F.col("group_id").cast("long").alias("group_id"), "root", "member", "n_members", "n_windows")
 
 
 def duplicate_lines(found: DataFrame, key: str) -> DataFrame:
     """Distinct (key, line) in repeated windows, but for the first occurrence of each hash."""
-    first = Window.partitionBy("hash").orderBy(key, "pos")
-    later = found.withColumn("__k", F.row_number().over(first)).where(F.col("__k") > 1)
+    first = found.groupBy("hash").agg(F.min(F.struct(key, "pos")).alias("__first"), F.count("*").alias("__n"))
+    # Written first: a join of two plain scans is one that adaptive execution splits where a window is everywhere.
+    first = stored(first.where(F.col("__n") > 1).select("hash", "__first"))
+    later = found.join(first, "hash").where(F.struct(key, "pos") != F.col("__first"))
     return later.select(key, F.explode(F.sequence("start_line", "end_line")).alias("line_no")).distinct()
 
 
@@ -174,33 +177,33 @@ def self_matches(lines: DataFrame, found: DataFrame, key: str, size: int = WINDO
 
 
 def interval_groups(matches: DataFrame) -> DataFrame:
-    """(group_id, lines_count, n_occurrences, occurrences) of matched intervals that hang together.
+    """(group_id, lines_count, n_occurrences, key, start_line, end_line, first): matched intervals that hang together.
 
-    Groups rank by their longest match, then by occurrences, then by the first one;
-    occurrences stand in order of text and start.
+    A row for each occurrence, of which the first of a group is marked. Groups rank by
+    their longest match, then by occurrences, then by the first one.
     """
     node = lambda s: F.struct(F.col(s).alias("key"), F.col(f"{s}_start").alias("start_line"), F.col(f"{s}_end").alias("end_line"))
-    edges = matches.select(node("a").alias("u"), node("b").alias("v"), "length")
+    edges = stored(matches.select(node("a").alias("u"), node("b").alias("v"), "length"))
     longest = edges.select(F.explode(F.array("u", "v")).alias("node"), "length").groupBy("node").agg(F.max("length").alias("length"))
-    parts = components(edges.select("u", "v")).join(longest, "node")
-    groups = parts.groupBy("component").agg(F.max("length").alias("lines_count"), F.count("*").alias("n_occurrences"), F.array_sort(F.collect_list("node")).alias("occurrences"))
-    rank = F.row_number().over(Window.orderBy(F.desc("lines_count"), F.desc("n_occurrences"), "component"))
-    return groups.select(rank.cast("long").alias("group_id"), "lines_count", "n_occurrences", "occurrences")
+    parts = stored(components(edges.select("u", "v")).join(longest, "node"))
+    sizes = parts.groupBy("component").agg(F.max("length").alias("lines_count"), F.count("*").alias("n_occurrences"))
+    ranks = numbered(sizes, [F.desc("lines_count"), F.desc("n_occurrences"), F.col("component")], "group_id")
+    each = parts.join(ranks, "component")
+    return each.select(F.col("group_id").cast("long").alias("group_id"), "lines_count", "n_occurrences", "node.*", (F.col("node") == F.col("component")).alias("first"))
 
 
 def repeated_lines(groups: DataFrame) -> DataFrame:
     """Distinct (key, line_no) of all occurrences but the first of each group."""
-    rest = groups.select(F.explode(F.slice("occurrences", 2, F.greatest(F.size("occurrences") - 1, F.lit(0)))).alias("o"))
-    return rest.select("o.key", F.explode(F.sequence("o.start_line", "o.end_line")).alias("line_no")).distinct()
+    return groups.where(~F.col("first")).select("key", F.explode(F.sequence("start_line", "end_line")).alias("line_no")).distinct()
 
 
 def clone_findings(groups: DataFrame, docs: DataFrame, key: str, text: str = "text") -> DataFrame:
     """One WARN row for each occurrence, with the first occurrence's lines as snippet (300 characters)."""
-    rep = groups.withColumn("__rep", F.element_at("occurrences", 1)).join(docs.select(F.col(key).alias("__key"), F.col(text).alias("__text")), F.col("__rep.key") == F.col("__key"))
-    lines = F.slice(T.lines_of(F.col("__text")), F.col("__rep.start_line").cast("int"), (F.col("__rep.end_line") - F.col("__rep.start_line") + 1).cast("int"))
-    each = rep.select("group_id", "lines_count", "n_occurrences", F.substring(F.rtrim(F.array_join(lines, "\n")), 1, 300).alias("snippet"), F.explode("occurrences").alias("o"))
+    rep = groups.where("first").join(docs.select(F.col(key).alias("key"), F.col(text).alias("__text")), "key")
+    lines = F.slice(T.lines_of(F.col("__text")), F.col("start_line").cast("int"), (F.col("end_line") - F.col("start_line") + 1).cast("int"))
+    snippets = rep.select("group_id", F.substring(F.rtrim(F.array_join(lines, "\n")), 1, 300).alias("snippet"))
     said = F.format_string("%d repeated lines in %d places", "lines_count", "n_occurrences")
-    return each.select("group_id", F.col("o.key").alias(key), "o.start_line", "o.end_line", F.lit("WARN").alias("status"), said.alias("message"), "snippet")
+    return groups.join(snippets, "group_id").select("group_id", F.col("key").alias(key), "start_line", "end_line", F.lit("WARN").alias("status"), said.alias("message"), "snippet")
 
 
 def clone_report(docs: DataFrame, key: str, text: str = "text", size: int = WINDOW, **options) -> DataFrame:

@@ -70,15 +70,23 @@ def module_rows(records: DataFrame) -> DataFrame:
 
 
 def combined(python: DataFrame, native: DataFrame) -> DataFrame:
-    """Module rows of both languages with totals over all: (rows..., total_cover, source)."""
-    rows = python.withColumn("source", F.lit("python")).unionByName(native.withColumn("source", F.lit("native")))
+    """Module rows of both languages, least covered first; rows without statements count as covered."""
+    rows = python.unionByName(native).withColumn("cover", F.when(F.col("stmts") == 0, 100.0).otherwise(F.col("cover")))
     return rows.orderBy("cover", "file")
 
 
-def source_label(python: Column, native: Column, attempted: Column) -> Column:
+def combined_totals(rows: DataFrame, keys: list[str] | None = None) -> DataFrame:
+    """(keys, stmts, miss, cover, branch_cover) over module rows of any languages; percents are null without anything to cover."""
+    grouped = rows.groupBy(*keys) if keys else rows.groupBy()
+    sums = grouped.agg(*[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("stmts", "covered", "miss", "nb", "cb")])
+    return sums.select(*(keys or []), "stmts", "miss", policy.percent(F.col("covered"), F.col("stmts")).alias("cover"), policy.percent(F.col("cb"), F.col("nb")).alias("branch_cover"))
+
+
+def source_label(python: Column, native: Column, python_attempted: Column, native_attempted: Column) -> Column:
     """Where coverage came from; partial where an attempted language is missing."""
-    base = F.when(python & native, "python+native").when(python, "python").when(native, "native").otherwise("estimated")
-    return F.when(attempted & (python != native), F.concat(base, F.lit(" (partial)"))).otherwise(base)
+    base = F.concat_ws("/", F.when(python, "coverage.py"), F.when(native, "gcov"))
+    missing = (python_attempted & ~python) | (native_attempted & ~native)
+    return F.when(base == "", "estimated").when(missing, F.concat(base, F.lit(" (partial)"))).otherwise(base)
 
 
 def low_rows(modules: DataFrame, least_stmts: int = 5, least_cover: float = 80.0) -> DataFrame:
@@ -93,9 +101,43 @@ def function_rows(functions: DataFrame, records: DataFrame) -> DataFrame:
     return joined.select("file", "name", "body_start", "end_line", (F.size(within("executed_lines")) > 0).alias("covered"), F.slice(F.array_sort(within("missing_lines")), 1, SHOWN_LINES).alias("missing_lines"))
 
 
-def function_share(rows: DataFrame) -> DataFrame:
-    """One row: percent of functions that are covered; 100 without any."""
-    return rows.agg(F.coalesce(F.avg(F.col("covered").cast("int")) * 100, F.lit(100.0)).alias("func_cover"))
+def function_share(rows: DataFrame, runs: DataFrame, key: str) -> DataFrame:
+    """(key, branch_cover, func_cover) of every run (key, code_lines, has_failure, branch_cover).
+
+    Measured where there are function rows or branches; without any code all is
+    covered, else what is not measured is estimated by whether tests failed.
+    """
+    shares = rows.groupBy(key).agg((F.avg(F.col("covered").cast("int")) * 100).alias("share"))
+    joined = runs.join(shares, key, "left")
+    none, failed = F.col("code_lines") == 0, F.col("has_failure")
+    branch = F.when(none, 100.0).otherwise(F.coalesce("branch_cover", F.when(failed, 45.0).otherwise(85.0)))
+    function = F.when(none, 100.0).otherwise(F.coalesce("share", F.when(failed, 50.0).otherwise(95.0)))
+    return joined.select(key, branch.alias("branch_cover"), function.alias("func_cover"))
+
+
+def source_paths(reports: DataFrame, sources: DataFrame, root: str = "/", report: str = "report", path: str = "path") -> DataFrame:
+    """Reports (named like ``a#b.c.gcov``) with the source file they are about; others go.
+
+    The name's own path counts first, then the path below ``root`` that it comes to.
+    """
+    raw = F.regexp_replace(F.replace(F.regexp_replace(report, r"\.gcov$", ""), F.lit("#"), F.lit("/")), "^$", ".")
+    base = F.lit(root.rstrip("/") + "/")
+    absolute = F.when(F.startswith(raw, F.lit("/")), raw).otherwise(F.concat(base, raw))
+    settled = T.normal_path(absolute)
+    below = F.when(F.startswith(settled, base), F.substring(settled, len(root.rstrip("/")) + 2, 1 << 30))
+    known = sources.select(F.col(path).alias("__known")).distinct()
+    each = reports.withColumns({"__raw": raw, "__below": below})
+    candidates = each.select("*", F.posexplode(F.array("__raw", "__below")).alias("__rank", "__path"))
+    met = candidates.join(known, F.col("__path") == F.col("__known"))
+    best = met.groupBy(*reports.columns).agg(F.min_by("__path", "__rank").alias(path))
+    return best
+
+
+def suites(targets: DataFrame, key: str, order: str) -> DataFrame:
+    """(key, passed, failed, total, tests) of targets (key, target_name, status), coverage rows left out."""
+    kept = targets.where(~F.startswith("target_name", F.lit("Coverage:")))
+    listed = F.transform(F.array_sort(F.collect_list(F.struct(order, "target_name", "status"))), lambda s: F.struct(s["target_name"].alias("name"), s["status"].alias("status")))
+    return kept.groupBy(key).agg(F.count_if(F.col("status") == "PASS").alias("passed"), F.count_if(F.col("status") != "PASS").alias("failed"), F.count("*").alias("total"), listed.alias("tests"))
 
 
 def score_rows(inputs: DataFrame) -> DataFrame:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from sieveline.operators.storage import stored
+
 
 def covered_by_points(ranges: DataFrame, points: DataFrame, key: str, start: str, end: str, point: str) -> DataFrame:
     """Adds ``covered`` and ``n_points`` to ranges: points of the same key in [start, end].
@@ -70,13 +72,33 @@ def containing(docs: DataFrame, needles: DataFrame, key: str, text: str, needle_
     """(needle_key, key) of texts that contain a needle.
 
     A needle's inner words, those with a space on both sides, must be words of any
-    text that contains it. The longest one is an equi-join key; candidates are then
-    checked. Needles without an inner word are compared with every text.
+    text that contains it; the one in the fewest texts is an equi-join key, and
+    candidates are then checked. A needle without an inner word is keyed by its
+    rarest run of up to three characters instead. Nothing is compared with every text
+    but the empty needle, which all contain.
     """
-    inner = F.filter(F.slice(F.split(needle, " "), 2, F.greatest(F.size(F.split(needle, " ")) - 2, F.lit(0))), lambda w: w != "")
-    keyed = needles.withColumn("__word", F.array_max(F.transform(inner, lambda w: F.struct(F.length(w).alias("n"), w.alias("word"))))["word"])
-    words = docs.select(key, F.explode(F.array_distinct(F.split(text, " "))).alias("__word"))
-    near = words.join(keyed.where(F.col("__word").isNotNull()), "__word").select(key, needle_key, needle)
-    checked = docs.select(key, text).join(near, key).where(F.contains(text, F.col(needle))).select(needle_key, key)
-    bare = keyed.where(F.col("__word").isNull())
-    return checked.union(docs.join(bare, F.contains(docs[text], bare[needle])).select(needle_key, key)).distinct()
+    source = needles.select(F.col(needle_key).alias("__name"), F.coalesce(F.col(needle), F.lit("")).alias("__needle"))
+    inner = F.filter(F.slice(F.split("__needle", " "), 2, F.greatest(F.size(F.split("__needle", " ")) - 2, F.lit(0))), lambda w: w != "")
+    width = F.least(F.length("__needle"), F.lit(3))
+    grams = lambda whole, n: F.array_distinct(F.transform(F.sequence(F.lit(1), F.length(whole) - n + 1), lambda i: F.substring(whole, i, n)))
+    by_word = F.size(inner) > 0
+    keyed = stored(source.where("__needle <> ''").select("*", F.when(by_word, 0).otherwise(width).alias("__kind"), F.explode(F.when(by_word, F.array_distinct(inner)).otherwise(grams(F.col("__needle"), width))).alias("__part")))
+    kinds = sorted(r[0] for r in keyed.select("__kind").distinct().collect())
+    whole = docs.select(F.col(key).alias("__key"), F.col(text).alias("__text")).where(F.col(text).isNotNull())
+    parts = None
+    for kind in kinds:
+        cut = F.array_distinct(F.split("__text", " ")) if kind == 0 else F.when(F.length("__text") >= kind, grams(F.col("__text"), F.lit(kind)))
+        each = whole.select("__key", F.lit(kind).alias("__kind"), F.explode(cut).alias("__part"))
+        wanted = keyed.where(F.col("__kind") == kind).select("__kind", "__part").distinct()
+        each = each.join(wanted, ["__kind", "__part"], "left_semi")
+        parts = each if parts is None else parts.unionByName(each)
+    out = whole.crossJoin(F.broadcast(source.where("__needle = ''").select("__name"))).select("__name", "__key") if source.where("__needle = ''").limit(1).count() else None
+    if parts is not None:
+        parts = stored(parts)
+        often = parts.groupBy("__kind", "__part").agg(F.count("*").alias("__n"))
+        rarest = keyed.join(often, ["__kind", "__part"], "left").groupBy("__name", "__needle", "__kind").agg(F.min_by("__part", F.struct(F.coalesce("__n", F.lit(0)), "__part")).alias("__part"))
+        near = parts.join(stored(rarest), ["__kind", "__part"]).select("__key", "__name", "__needle")
+        found = whole.join(near, "__key").where(F.contains("__text", F.col("__needle"))).select("__name", "__key")
+        out = found if out is None else found.union(out)
+    out = source.select("__name", F.lit(None).cast(dict(docs.dtypes)[key]).alias("__key")).limit(0) if out is None else out
+    return out.distinct().select(F.col("__name").alias(needle_key), F.col("__key").alias(key))

@@ -58,8 +58,8 @@ def kind_counts(docs: DataFrame, key: str, comment_starts: tuple[str, ...], text
 
 #: Language of a file by suffix, and how its comments look.
 LANGUAGES = {
-    ".py": "Python", ".cpp": "C++", ".cc": "C++", ".cxx": "C++", ".c": "C", ".h": "C/C++ header", ".hpp": "C/C++ header",
-    ".sh": "Shell", ".csh": "Shell", ".toml": "TOML", ".yml": "YAML", ".yaml": "YAML", ".md": "Markdown", ".json": "JSON",
+    ".cpp": "C++", ".c": "C++", ".h": "C++", ".hpp": "C++", ".cc": "C++", ".cxx": "C++", ".py": "Python",
+    ".sh": "Shell", ".csh": "Shell", ".toml": "TOML", ".md": "Markdown", ".yml": "YAML", ".yaml": "YAML", ".json": "JSON",
 }
 HASH_SUFFIXES = (".py", ".sh", ".csh", ".toml", ".yml", ".yaml")
 SLASH_SUFFIXES = (".cpp", ".c", ".h", ".hpp", ".cc", ".cxx")
@@ -84,3 +84,11 @@ def file_statistics(files: DataFrame) -> DataFrame:
     counted = lines.withColumn("kind", kind).groupBy("path", "__suffix").agg(*[F.count_if(F.col("kind") == k).alias(k) for k in ("code", "comment", "blank")], F.count("kind").alias("total"))
     language = F.create_map(*[F.lit(x) for pair in LANGUAGES.items() for x in pair])
     return counted.select("path", F.element_at(language, F.col("__suffix")).alias("lang"), "code", "comment", "blank", "total")
+
+
+GATE_DIRS = ("src", "include", "lib", "app")
+
+
+def gated(path: Column, gate: tuple[str, ...] = GATE_DIRS, exclude: tuple[str, ...] = ()) -> Column:
+    """Whether the first part of a path is one of ``gate`` and none of ``exclude``."""
+    return F.element_at(F.split(path, "/"), 1).isin(*[d for d in gate if d not in exclude])

@@ -48,7 +48,7 @@ def counted(line: Column, char: str) -> Column:
     return (F.length(line) - F.length(F.replace(line, F.lit(char), F.lit("")))).cast("long")
 
 
-def heuristic_functions(files: DataFrame, key: str = "path", text: str = "content", warn=15, fail=25, warn_nesting=5) -> DataFrame:
+def heuristic_functions(files: DataFrame, key: str = "path", text: str = "content", warn=15, fail=25, warn_nesting=4) -> DataFrame:
     """Functions of C-like sources with start_line, end_line, complexity and nesting.
 
     A header line opens a segment at depth 1 and counts nothing else; later lines add

@@ -38,13 +38,22 @@ def referenced_keys(modules: DataFrame, imports: DataFrame, refs: DataFrame, qua
     return through.union(whole).union(plain).union(deep).distinct()
 
 
+def is_dunder(name: Column) -> Column:
+    return F.startswith(name, F.lit("__")) & F.endswith(name, F.lit("__"))
+
+
+def is_private(name: Column) -> Column:
+    """One underscore in front, not two."""
+    return F.startswith(name, F.lit("_")) & ~F.startswith(name, F.lit("__"))
+
+
 def private_usage(defs: DataFrame, refs: DataFrame, exports: DataFrame, keys: DataFrame) -> DataFrame:
     """Private module-level functions with status WARN where nothing refers to them.
 
     ``defs`` has file, name, line and decorated. Exported and decorated ones are left
     out.
     """
-    private = defs.where(F.startswith("name", F.lit("_")) & ~F.startswith("name", F.lit("__")) & ~F.col("decorated"))
+    private = defs.where(is_private(F.col("name")) & ~F.col("decorated"))
     private = private.join(exports.select("file", "name").distinct(), ["file", "name"], "left_anti")
     used = refs.select("file", "name").union(keys.select("file", "name")).distinct().withColumn("__used", F.lit(True))
     found = private.join(used, ["file", "name"], "left")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from sieveline.plans import corpus, logs_and_settings, relations, reporting  # noqa: F401  register
+from sieveline.plans import corpus, judgements, logs_and_settings, relations, reporting, rules, toolchain  # noqa: F401  register
 from sieveline.plans.registry import ORACLES, QUERIES  # noqa: F401
 
 FLAGSHIP = "q_clone_groups"

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from sieveline.functions import policy
 from sieveline.functions import text as T
 from sieveline.operators import clones, lines
+from sieveline.operators.storage import stored
 from sieveline.plans.registry import query, read
 
 COMMENTS = ("The ", "And ")
@@ -82,26 +83,30 @@ def q_block_comments(spark, sf_dir):
 
 
 _KEPT = ", ".join(f"'{w}'" for w in T.KEPT_WORDS)
-_TOKENS = r"""('(?:[^''\\]|\\.)*'|"(?:[^"\\]|\\.)*"|\b\d+(?:\.\d+)?\b|\b[A-Za-z_]\w*\b|.)""".replace("('(", "(''(").replace(")*'|", ")*''|")
+_STRINGS = T.STRING_TOKEN.replace("'", "''")
+_W = f"[{T.WORD_CHARACTERS}]"
 
 
-@query(f"""WITH {_LINES}, ascii AS (
-  SELECT doc_id, line_no, bare FROM lines WHERE bare <> '' AND regexp_full_match(bare, '[\\x20-\\x7E]*')
-), normed AS (
-  SELECT doc_id, line_no, array_to_string([CASE WHEN len(t) > 1 AND (t[1] = '''' OR t[1] = '"') THEN 'LIT' WHEN regexp_matches(t, '^\\d') THEN 'LIT'
-    WHEN regexp_matches(t, '^[A-Za-z_]') THEN CASE WHEN t IN ({_KEPT}) THEN t ELSE 'ID' END ELSE replace(t, ' ', '') END
-    FOR t IN regexp_extract_all(bare, '{_TOKENS}', 1)], '') AS norm FROM ascii
-) SELECT doc_id, count(*) AS n_lines, md5(string_agg(norm, chr(10) ORDER BY line_no)) AS digest FROM normed GROUP BY doc_id""")
-def q_normalise_lines(spark, sf_dir):
-    """Digest of each document's normalised lines; printable ASCII lines, on which all pattern dialects agree."""
-    bare = F.filter(F.transform(T.lines_of(F.col("text")), T.stripped), lambda s: (s != "") & s.rlike(r"^[\x20-\x7E]*$"))
-    docs = read(spark, sf_dir, "documents", "doc_id", "text").select("doc_id", bare.alias("lines")).where(F.size("lines") > 0)
-    normed = F.transform("lines", T.normalised_tokens)
-    return docs.select("doc_id", F.size("lines").cast("long").alias("n_lines"), F.md5(F.array_join(normed, "\n").cast("binary")).alias("digest"))
+def _name(sql: str) -> str:
+    return f"CASE WHEN NOT regexp_matches({sql}, '^[A-Za-z_]') THEN {sql} WHEN {sql} IN ({_KEPT}) THEN {sql} ELSE 'ID' END"
 
 
-@query()
-def q_normalise_all_lines(spark, sf_dir):
+_AFTER_NUMBER = r"regexp_replace(t, '^\p{Nd}+\.', '')"
+
+
+@query(rf"""WITH lines AS (
+  SELECT doc_id, CAST(i AS BIGINT) AS line_no, trim(parts[i], '{T.WHITE_SPACE}') AS bare
+  FROM (SELECT doc_id, parts, unnest(range(1, len(parts) + 1)) AS i
+        FROM (SELECT doc_id, string_split_regex(coalesce(text, ''), '\r\n|\n|\r') AS parts FROM documents))
+), cut AS (
+  SELECT doc_id, line_no, regexp_extract_all(bare, '{_STRINGS}|\p{{Nd}}+\.{_W}+|{_W}+|(?s:.)') AS tokens FROM lines WHERE bare <> ''
+), normed AS (
+  SELECT doc_id, line_no, translate(array_to_string([CASE WHEN length(t) > 1 AND (t[1] = '''' OR t[1] = '"') THEN 'LIT'
+    WHEN regexp_full_match(t, '\p{{Nd}}+(\.\p{{Nd}}+)?') THEN 'LIT'
+    WHEN regexp_matches(t, '^\p{{Nd}}+\.') THEN 'LIT.' || {_name(_AFTER_NUMBER)} ELSE {_name("t")} END FOR t IN tokens], ''), '{T.WHITE_SPACE}', '') AS norm FROM cut
+), per AS (SELECT doc_id, count(*) AS n_lines, string_agg(norm, chr(10) ORDER BY line_no) AS norms FROM normed GROUP BY doc_id)
+SELECT d.doc_id, coalesce(n_lines, 0) AS n_lines, md5(coalesce(norms, '')) AS digest FROM documents d LEFT JOIN per USING (doc_id)""")
+def q_normalise_lines(spark, sf_dir):
     """Digest of each document's normalised lines, whatever their characters; documents without lines have none."""
     docs = read(spark, sf_dir, "documents", "doc_id", "text")
     bare = F.filter(F.transform(T.lines_of(F.col("text")), T.stripped), lambda s: s != "")
@@ -176,10 +181,11 @@ def q_clone_components(spark, sf_dir):
 
 @query(f"""WITH RECURSIVE {_COMPONENTS}, repeated AS (SELECT hash FROM windows GROUP BY hash HAVING count(DISTINCT doc_id) > 1
 ), shared AS (SELECT doc_id, count(DISTINCT hash) AS w FROM windows JOIN repeated USING (hash) GROUP BY doc_id
-), grp AS (SELECT component AS root, list(node ORDER BY node) AS members, count(*) AS n_members, max(w) AS n_windows FROM comp JOIN shared ON doc_id = node GROUP BY component)
-SELECT row_number() OVER (ORDER BY n_windows DESC, n_members DESC, root) AS group_id, root, members, n_members, n_windows FROM grp""")
+), grp AS (SELECT component AS root, count(*) AS n_members, max(w) AS n_windows FROM comp JOIN shared ON doc_id = node GROUP BY component
+), ranked AS (SELECT row_number() OVER (ORDER BY n_windows DESC, n_members DESC, root) AS group_id, root, n_members, n_windows FROM grp)
+SELECT group_id, root, node AS member, n_members, n_windows FROM ranked JOIN comp ON component = root""")
 def q_clone_groups(spark, sf_dir):
-    """Groups of connected documents, ranked."""
+    """Members of groups of connected documents, groups ranked."""
     return clones.clone_groups(_windows(spark, sf_dir), "doc_id")
 
 
@@ -192,7 +198,7 @@ SELECT duplicate_lines, code_lines, round_even(100.0 * duplicate_lines / greates
 def q_dup_pct(spark, sf_dir):
     """Share of lines that repeat an earlier window."""
     docs = read(spark, sf_dir, "documents", "doc_id", "text")
-    code = clones.code_lines(docs, "doc_id", skip=COMMENTS, normalise=clones.plain)
+    code = stored(clones.code_lines(docs, "doc_id", skip=COMMENTS, normalise=clones.plain))
     duplicate = clones.duplicate_lines(clones.windows(code, "doc_id"), "doc_id").agg(F.count("*").alias("n")).select(F.lit("duplicate").alias("what"), "n")
     total = code.agg(F.coalesce(F.sum(F.size("lines").cast("long")), F.lit(0)).alias("n")).select(F.lit("code").alias("what"), "n")
     both = duplicate.union(total).agg(F.sum(F.when(F.col("what") == "duplicate", F.col("n"))).alias("duplicate_lines"), F.sum(F.when(F.col("what") == "code", F.col("n"))).alias("code_lines"))
@@ -213,5 +219,4 @@ def q_clone_exact(spark, sf_dir):
 def q_clone_report(spark, sf_dir):
     """Ranked groups of matched intervals within and between documents."""
     docs = read(spark, sf_dir, "documents", "doc_id", "text")
-    groups = clones.clone_report(docs, "doc_id", skip=COMMENTS, normalise=clones.plain)
-    return groups.select("group_id", "lines_count", "n_occurrences", F.col("occurrences").cast("string").alias("occurrences"))
+    return clones.clone_report(docs, "doc_id", skip=COMMENTS, normalise=clones.plain)

@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from sieveline.functions import policy
 from sieveline.functions import text as T
-from sieveline.operators import ast_rules, intervals, structure
+from sieveline.operators import checks as C
+from sieveline.operators import coverage, intervals, structure
 from sieveline.plans.registry import query, read
 from sieveline.sources import logs
 
@@ -68,12 +69,14 @@ def q_low_coverage(spark, sf_dir):
 
 
 @query("""SELECT conv_id, count(*) FILTER (role = 'assistant') AS passed, count(*) FILTER (role <> 'assistant') AS failed, count(*) AS total,
-  list({'turn': turn, 'role': role} ORDER BY turn, role) AS tests FROM conversations GROUP BY conv_id""" .replace("list({'turn': turn, 'role': role} ORDER BY turn, role) AS tests", "string_agg(turn || ':' || role, ',' ORDER BY turn, role) AS tests"))
+  string_agg('t' || turn || ':' || CASE WHEN role = 'assistant' THEN 'PASS' ELSE 'FAIL' END, ',' ORDER BY turn, role) AS tests FROM conversations WHERE turn % 5 <> 4 GROUP BY conv_id""")
 def q_suite_group(spark, sf_dir):
-    """Turns of each conversation as a suite: counts, and the members in order."""
+    """Turns of each conversation as a suite: counts, and the members in order; every fifth is a coverage row."""
     turns = read(spark, sf_dir, "conversations", "conv_id", "turn", "role")
-    listed = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("turn", "role"))), lambda s: F.concat_ws(":", s["turn"].cast("string"), s["role"])), ",")
-    return turns.groupBy("conv_id").agg(F.count_if(F.col("role") == "assistant").alias("passed"), F.count_if(F.col("role") != "assistant").alias("failed"), F.count("*").alias("total"), listed.alias("tests"))
+    name = F.concat(F.when(F.col("turn") % 5 == 4, "Coverage:t").otherwise("t"), F.col("turn").cast("string"))
+    targets = turns.select("conv_id", F.struct("turn", "role").alias("at"), name.alias("target_name"), F.when(F.col("role") == "assistant", "PASS").otherwise("FAIL").alias("status"))
+    found = coverage.suites(targets, "conv_id", "at")
+    return found.withColumn("tests", F.array_join(F.transform("tests", lambda s: F.concat_ws(":", s["name"], s["status"])), ","))
 
 
 _RANGES = """ranges AS (SELECT user_id, min(event_id) AS lo, min(event_id) + 2000 AS hi FROM events WHERE event_type = 'signup' GROUP BY user_id)"""
@@ -204,22 +207,14 @@ def q_dir_rollup(spark, sf_dir):
     return rows.groupBy("dir").agg(F.count("*").alias("n_files"), F.max(F.size(F.split("dir", "/")).cast("long")).alias("depth"), F.sum("chars").alias("chars"))
 
 
-@query(f"WITH {_PATHS} SELECT page_id, path FROM paths WHERE contains(lower(path), 'th') AND contains(lower(path), '/de/')")
+@query(f"WITH {_PATHS} SELECT page_id, path FROM paths WHERE contains(lower(path), '/de/') OR page_id % 10 = 0")
 def q_tree_search(spark, sf_dir):
-    """Case-insensitive search in paths."""
-    found = [F.contains(F.lower("path"), F.lower(F.trim(F.lit(word)))) for word in (" TH ", "/De/")]
-    return _paths(spark, sf_dir).where(found[0] & found[1])
-
-
-@query("""SELECT b.item_id, d.doc_id FROM benchmark b JOIN documents d ON contains(d.text, substr(b.text, 1, 40)) WHERE len(b.text) >= 40""")
-def q_contains_join(spark, sf_dir):
-    """Benchmark items whose first 40 characters stand in a document."""
-    items = read(spark, sf_dir, "benchmark", "item_id", "text").where(F.length("text") >= 40).select("item_id", F.substring("text", 1, 40).alias("start"))
-    return intervals.containing(read(spark, sf_dir, "documents", "doc_id", "text"), items, "doc_id", "text", "item_id", "start")
+    """Case-insensitive search in paths; every tenth row is a folder, which always shows."""
+    return C.tree_search(_paths(spark, sf_dir), " /De/ ", F.col("path"), F.col("page_id") % 10 == 0)
 
 
 @query("""SELECT b.item_id, d.doc_id FROM benchmark b JOIN documents d ON contains(d.text, b.text)""")
-def q_contains_join_whole(spark, sf_dir):
+def q_contains_join(spark, sf_dir):
     """Benchmark items whose whole text, of any length, stands in a document."""
     items = read(spark, sf_dir, "benchmark", "item_id", F.col("text").alias("item"))
     return intervals.containing(read(spark, sf_dir, "documents", "doc_id", "text"), items, "doc_id", "text", "item_id", "item")
@@ -249,25 +244,3 @@ def q_unreferenced(spark, sf_dir):
     private = read(spark, sf_dir, "documents", "doc_id", "source", "lang").where("lang <> 'en'")
     refs = read(spark, sf_dir, "labels", "doc_id", "quality").where("quality = 1").select("doc_id").distinct().withColumn("used", F.lit(True))
     return private.join(refs, "doc_id", "left").select("doc_id", "source", F.when(F.col("used"), "PASS").otherwise("WARN").alias("status"))
-
-
-#: Small sources that break each rule once.
-SNIPPETS = {
-    "pkg/a.py": "import os\ndef _unused():\n    return 1\n    x = 2\n\ndef used(a, b):\n    try:\n        return a and b or (1 if a else 2)\n    except:\n        pass\n",
-    "pkg/b.py": "E = BaseException\ntry:\n    pass\nexcept E as exc:\n    raise exc\n",
-    "pkg/c.py": "def broken(:\n",
-}
-
-
-@query()
-def q_ast_rules(spark, sf_dir):
-    """Findings of the syntax-tree rules on sources that break each once."""
-    files = spark.createDataFrame(list(SNIPPETS.items()), "path string, content string")
-    return ast_rules.findings(files, missing_returns=True)
-
-
-@query()
-def q_dead_code(spark, sf_dir):
-    """Private functions that nothing refers to, of the same sources that parse."""
-    sound = [(path, content) for path, content in SNIPPETS.items() if path != "pkg/c.py"]
-    return ast_rules.dead_code(spark.createDataFrame(sound, "path string, content string"))

@@ -73,17 +73,14 @@ def _command(sql: str, prop: bool) -> str:
     return sql
 
 
-_PAGES = "SELECT p.page_id, p.url, substr(p.html, 1, 200) AS message, CASE WHEN l.toxic = 1 THEN 'FAIL' WHEN l.quality = 0 THEN 'WARN' ELSE 'PASS' END AS status FROM pages p LEFT JOIN labels l ON l.doc_id = p.page_id"
+_PAGES = "SELECT p.page_id, p.url, p.html AS message, CASE WHEN l.toxic = 1 THEN 'FAIL' WHEN l.quality = 0 THEN 'WARN' ELSE 'PASS' END AS status FROM pages p LEFT JOIN labels l ON l.doc_id = p.page_id"
 
 
-_WHOLE_PAGES = _PAGES.replace("substr(p.html, 1, 200)", "p.html")
-
-
-def _page_findings(spark, sf_dir, whole=False):
+def _page_findings(spark, sf_dir):
     pages = read(spark, sf_dir, "pages", "page_id", "url", "html")
     labels = read(spark, sf_dir, "labels").withColumnRenamed("doc_id", "page_id")
     status = F.when(F.col("toxic") == 1, "FAIL").when(F.col("quality") == 0, "WARN").otherwise("PASS")
-    return pages.join(labels, "page_id", "left").select("page_id", F.col("url").alias("file_path"), (F.col("page_id") + 1).alias("start_line"), F.lit("page, label").alias("check"), (F.col("html") if whole else F.substring("html", 1, 200)).alias("message"), status.alias("status"))
+    return pages.join(labels, "page_id", "left").select("page_id", F.col("url").alias("file_path"), (F.col("page_id") + 1).alias("start_line"), F.lit("page, label").alias("check"), F.col("html").alias("message"), status.alias("status"))
 
 
 @query(f"""SELECT page_id, '::' || CASE WHEN status = 'FAIL' THEN 'error' ELSE 'warning' END || ' file=' || {_command("url", True)} || ',line=' || (page_id + 1) || ',title=page%2C label::' || {_command("message", False)} AS annotation
@@ -93,13 +90,6 @@ def q_annotations(spark, sf_dir):
     return C.annotations(_page_findings(spark, sf_dir)).select("page_id", "annotation")
 
 
-@query(f"""SELECT page_id, '::' || CASE WHEN status = 'FAIL' THEN 'error' ELSE 'warning' END || ' file=' || {_command("url", True)} || ',line=' || (page_id + 1) || ',title=page%2C label::' || {_command("message", False)} AS annotation
-  FROM ({_WHOLE_PAGES}) WHERE status <> 'PASS'""")
-def q_annotations_whole(spark, sf_dir):
-    """Escaped annotations for labelled pages, with all of their text."""
-    return C.annotations(_page_findings(spark, sf_dir, whole=True)).select("page_id", "annotation")
-
-
 def _cell(sql: str) -> str:
     pairs = [("'&'", "'&amp;'"), ("'<'", "'&lt;'"), ("'>'", "'&gt;'"), ("'\"'", "'&quot;'"), ("''''", "'&#x27;'"), ("chr(13) || chr(10)", "'<br>'"), ("chr(10)", "'<br>'"), ("chr(13)", "'<br>'"), ("'|'", "'&#124;'"), ("'`'", "'&#96;'")]
     for old, new in pairs:
@@ -114,13 +104,6 @@ def q_markdown_rows(spark, sf_dir):
     return C.markdown_rows(rows).select("page_id", "row")
 
 
-@query(f"SELECT page_id, '| ' || {_cell('url')} || ' | ' || status || ' | ' || {_cell('message')} || ' |' AS row FROM ({_WHOLE_PAGES})")
-def q_markdown_rows_whole(spark, sf_dir):
-    """Escaped table rows for pages, with all of their text."""
-    rows = _page_findings(spark, sf_dir, whole=True).select("page_id", F.col("file_path").alias("check"), "status", F.col("message").alias("summary"))
-    return C.markdown_rows(rows).select("page_id", "row")
-
-
 @query(f"""WITH {_FINDINGS} SELECT chk, '{{"chk":"' || chk || '","n":' || count(*) || ',"targets":[' || string_agg('{{"target":' || target || ',"status":"' || status || '"}}', ',' ORDER BY target) || ']}}' AS json FROM findings GROUP BY chk""")
 def q_json_report(spark, sf_dir):
     """Each check as one JSON object with its findings nested."""

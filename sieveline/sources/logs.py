@@ -6,6 +6,8 @@ whole run is well-formed is an aggregate over its lines.
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -168,6 +170,25 @@ def executed(log: Column) -> Column:
     return log.rlike(r"(?i)\b[1-9]\d*\s+(?:passed|failed|xfailed|xpassed)\b") | log.rlike(r"\bRan [1-9]\d* tests?\b")
 
 
+#: How a runner says that it ran something, or that it is not there.
+RESULT_LINE = r"::\S+\s+(?:PASSED|FAILED|ERROR)\b"
+RESULT_COUNT = r"\b\d+\s+(?:passed|failed|errors?)\b"
+
+
+def has_results(log: Column) -> Column:
+    """Whether a test log reports a result, be it of no test."""
+    return log.rlike(RESULT_LINE) | log.rlike(RESULT_COUNT)
+
+
+def module_unavailable(log: Column, returncode: Column, timed_out: Column, truncated: Column, module: str) -> Column:
+    """Whether all that a failed run said is that the interpreter does not know the module."""
+    missing = rf"No module named ['\"]?{re.escape(module)}['\"]?"
+    python = r"python(?:3(?:\.\d+)?)?(?:\.exe)?"
+    said = F.filter(F.transform(F.split(log, T.WIDE_BREAK), T.stripped), lambda s: s != "")
+    alone = F.element_at(said, 1).rlike(rf"\A(?:{missing}|(?:{python}|(?:[A-Za-z]:[\\/]|/)[^\n]*{python})\s*:\s*{missing})\z")
+    return F.coalesce((returncode > 0) & ~timed_out & ~truncated & (F.size(said) == 1), F.lit(False)) & F.coalesce(F.when(F.size(said) == 1, alone), F.lit(False))
+
+
 def first_occurrences(rows: DataFrame, key: str, value: str, order: str) -> DataFrame:
     """Distinct values of each key in the order in which they first occur: one array."""
     once = rows.groupBy(key, value).agg(F.min(order).alias("__at"))

@@ -74,11 +74,6 @@ def key_values(docs: DataFrame, key: str, text: str) -> DataFrame:
     return lines.select(key, F.trim(F.substring_index("line", "=", 1)).alias("name"), F.trim(value).alias("value"))
 
 
-def lowest_rank(layers: DataFrame, keys: list[str], rank: str) -> DataFrame:
-    """Layered settings: for each key the value of the layer with the highest rank."""
-    return layers.groupBy(*keys).agg(F.max_by("value", rank).alias("value"))
-
-
 FORMATTED = T.ArrayType(T.StructType([T.StructField("filename", T.StringType()), T.StructField("message", T.StringType()), T.StructField("code", T.StringType())]))
 
 

@@ -6,10 +6,17 @@ from sieveline.streaming import live
 
 
 def test_settings_are_closed_and_checked():
-    assert settings.Thresholds.from_layers({"warn_lines": 5}, {"warn_lines": 7}).warn_lines == 7
-    for bad in ({"x": 1}, {"warn_lines": 2000}, {"fail_lines": float("nan")}, {"clone_window": True}, {"least_score": -1}):
-        with pytest.raises(ValueError):
-            settings.Thresholds.from_layers(bad)
+    good = {"engines": {"line": {"warn_limit": 5}, "dup": {"fail_pct": 50.0}}, "project": {"source_dirs": ["src", "a/../b"]}, "type": "cpp", "build": {"python": {"entrypoint": "a:b"}}}
+    assert settings.validated(good, {"engines": {"line": {"warn_limit": 7}}})["engines"]["line"]["warn_limit"] == 7
+    bad = {
+        "x": ({"x": 1}, "x is an unknown"), "table": ({"engines": {"line": 3}}, "engines.line must be a table"), "engine": ({"engines": {"new": {"enabled": True}}}, "engines.new is an unknown"), "key": ({"engines": {"dead": {"size": 1}}}, "engines.dead.size is an unknown"),
+        "order": ({"engines": {"line": {"warn_limit": 2000}}}, "less than or equal to engines.line.fail_limit"), "nan": ({"engines": {"dup": {"fail_pct": float("nan")}}}, "must be finite"), "switch": ({"engines": {"dup": {"min_window": True}}}, "must be an integer"),
+        "least": ({"engines": {"test": {"min_tem_score": -1}}}, "greater than or equal to 0"), "most": ({"engines": {"test": {"min_tem_score": 5.5}}}, "less than or equal to 5"), "mode": ({"engines": {"line": {"mode": "soft"}}}, "must be one of"),
+        "out": ({"project": {"source_dirs": ["../x"]}}, "inside"), "empty": ({"project": {"name": " "}}, "non-empty"), "list": ({"engines": {"toolchain": {"tools": ["a", ""]}}}, "non-empty strings"), "type": ({"type": "java"}, "must be one of"),
+    }
+    for config, said in bad.values():
+        with pytest.raises(ValueError, match=said):
+            settings.validated(config)
     assert settings.merged({"a": {"b": 1, "c": 2}}, {"a": {"b": 3}, "d": 4}) == {"a": {"b": 3, "c": 2}, "d": 4}
 
 

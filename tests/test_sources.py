@@ -1,10 +1,12 @@
 import json
 
+import pytest
 from pyspark.sql import functions as F
 
 from sieveline.operators import coverage, lines, structure
 from sieveline.operators import ast_rules as A
 from sieveline.operators import clones
+from sieveline.operators.storage import numbered
 from sieveline.sources import logs, records, trees
 
 
@@ -97,7 +99,12 @@ def test_coverage_documents(spark):
     functions = spark.createDataFrame([("a.py", "f", 1, 3), ("a.py", "g", 4, 9)], "file string, name string, body_start long, end_line long")
     rows = coverage.function_rows(functions, records_)
     assert {r["name"]: (r["covered"], r["missing_lines"]) for r in rows.collect()} == {"f": (True, [3]), "g": (False, [4])}
-    assert coverage.function_share(rows).first()[0] == 50.0
+    runs_ = spark.createDataFrame([("m", 9, False, 66.7), ("n", 9, True, None), ("o", 9, False, None), ("p", 0, True, None)], "run string, code_lines long, has_failure boolean, branch_cover double")
+    shares = coverage.function_share(rows.withColumn("run", F.lit("m")), runs_, "run").collect()
+    assert {r["run"]: (r["branch_cover"], r["func_cover"]) for r in shares} == {"m": (66.7, 50.0), "n": (45.0, 50.0), "o": (85.0, 95.0), "p": (100.0, 100.0)}
+    modules = coverage.module_rows(records_)
+    both = coverage.combined(modules, modules.withColumn("file", F.concat(F.lit("n/"), "file")))
+    assert tuple(coverage.combined_totals(both).first()) == (14, 4, 71.4, 66.7)
 
 
 def test_lint_and_reports(spark):
@@ -200,7 +207,7 @@ def test_clones_of_renamed_code(spark):
     blocks = clones.unsubsumed(clones.matched_blocks(code, pairs, "path")).collect()
     assert [tuple(r) for r in blocks] == [("core.py", "refund.py", 1, 9, 1, 9, 9)]
     assert [(r["a_pos"], r["b_pos"], r["length"]) for r in clones.runs(found, "path").collect()] == [(0, 0, 9)]
-    assert [r["members"] for r in clones.clone_groups(found, "path").collect()] == [["core.py", "refund.py"]]
+    assert {(r["group_id"], r["member"], r["n_members"]) for r in clones.clone_groups(found, "path").collect()} == {(1, "core.py", 2), (1, "refund.py", 2)}
 
 
 def test_clones_within_one_file(spark):
@@ -213,8 +220,8 @@ def test_clone_report(spark):
     files = spark.createDataFrame([("a.py", body("abcd") + "x = 1\n" + body("efgh")), ("b.py", "# c\n" + body(["total", "items", "acc", "it"])), ("c.py", "y = 2\n")], "path string, text string")
     groups = clones.clone_report(files, "path")
     rows = groups.collect()
-    assert [(r["group_id"], r["lines_count"], r["n_occurrences"]) for r in rows] == [(1, 9, 3)]
-    assert [(o["key"], o["start_line"], o["end_line"]) for o in rows[0]["occurrences"]] == [("a.py", 1, 9), ("a.py", 11, 19), ("b.py", 2, 10)]
+    assert {(r["group_id"], r["lines_count"], r["n_occurrences"]) for r in rows} == {(1, 9, 3)}
+    assert {(r["key"], r["start_line"], r["end_line"], r["first"]) for r in rows} == {("a.py", 1, 9, True), ("a.py", 11, 19, False), ("b.py", 2, 10, False)}
     assert clones.repeated_lines(groups).count() == 18
     found = clones.clone_findings(groups, files, "path").collect()
     assert len(found) == 3 and all(r["snippet"].startswith("def a(b):") for r in found)
@@ -225,4 +232,24 @@ def test_inserted_line(spark):
     lines_ = whole.splitlines(keepends=True)
     files = spark.createDataFrame([("a.py", whole), ("b.py", "".join(lines_[:7]) + "extra = [1]\n" + "".join(lines_[7:]))], "path string, text string")
     rows = clones.clone_report(files, "path").collect()
-    assert [(o["key"], o["start_line"], o["end_line"]) for o in rows[0]["occurrences"]] == [("a.py", 1, 7), ("b.py", 1, 7)]
+    assert {(r["key"], r["start_line"], r["end_line"]) for r in rows} == {("a.py", 1, 7), ("b.py", 1, 7)}
+
+
+def test_ranks_over_many_ranges(spark):
+    rows = spark.range(500).select(((F.col("id") * 37) % 500).alias("v"), (F.col("id") % 7).alias("w")).repartition(5)
+    got = numbered(rows, [F.desc("w"), F.col("v")], "place").collect()
+    want = sorted(((-r["w"], r["v"]) for r in got))
+    assert [(-r["w"], r["v"]) for r in sorted(got, key=lambda r: r["place"])] == want and sorted(r["place"] for r in got) == list(range(1, 501))
+
+
+def test_languages(spark):
+    files = spark.createDataFrame([(f"src/a{s}", "x = 1\n") for s in (*lines.LANGUAGES, ".txt", "")], "path string, content string")
+    got = {r["path"]: r["lang"] for r in lines.file_statistics(files).collect()}
+    assert got == {"src/a.py": "Python", "src/a.sh": "Shell", "src/a.csh": "Shell", "src/a.toml": "TOML", "src/a.md": "Markdown", "src/a.yml": "YAML", "src/a.yaml": "YAML", "src/a.json": "JSON", **{f"src/a{s}": "C++" for s in (".cpp", ".c", ".h", ".hpp", ".cc", ".cxx")}}
+
+
+def test_roots():
+    assert trees.source_roots() == trees.DEFAULT_ROOTS and trees.source_roots(("a/../b",)) == ("a/../b",)
+    for bad in ("", "/x", "../x", "a/../../b", 3):
+        with pytest.raises(ValueError):
+            trees.source_roots((bad,))

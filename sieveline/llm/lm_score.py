@@ -37,7 +37,7 @@ from __future__ import annotations
 import heapq
 import zlib
 from collections.abc import Iterator
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -49,6 +49,8 @@ from sieveline.llm.common import persist, positional, release, restored, small_b
 
 PAD = 2
 """Padding tokens before, between and after documents: the reach of a context."""
+HELD_WORDS = 500_000
+"""Counts that a task holds before it sends their sums."""
 
 
 @dataclass(frozen=True)
@@ -58,7 +60,7 @@ class Shape:
     words: int = 61_440
     buckets: int = 4_095
     least: int = 2
-    hidden: int = 8
+    hidden: int = 7
     rate: float = 0.15
     batch: int = 1024
     rounds: int = 1
@@ -79,20 +81,39 @@ def word_counts(docs: DataFrame, text_col: str = "text") -> DataFrame:
     small_batches(docs.sparkSession)
 
     def run(batches):
+        held: list[pa.Table] = []
+
+        def summed():
+            table = pa.concat_tables(held).group_by("word").aggregate([("n", "sum")])
+            held.clear()
+            return table.select(["word", "n_sum"]).rename_columns(["word", "n"]).combine_chunks().to_batches()
+
         for batch in batches:
             _, words = split_words(batch.column(0))
             counts = np.bincount(words.indices.to_numpy(), minlength=len(words.dictionary))
-            full = pa.RecordBatch.from_arrays([words.dictionary, pa.array(counts.astype(np.int64))], ["word", "n"])
-            yield full.filter(pc.not_equal(full.column(0), ""))
+            full = pa.table([words.dictionary, pa.array(counts.astype(np.int64))], ["word", "n"])
+            held.append(full.filter(pc.not_equal(full["word"], "")))
+            if sum(len(t) for t in held) > HELD_WORDS:
+                yield from summed()
+        if held:
+            yield from summed()
 
     return docs.select(text_or_empty(text_col).alias("text")).mapInArrow(run, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
 
 def bucket_of(word: str, buckets: int) -> int:
-    """The shared id of words of one shape."""
+    """The shared id of words of one shape: the first character, the last three, the length up to twelve."""
     return zlib.crc32(f"{word[0]}|{word[-3:]}|{min(len(word), 12)}".encode()) % buckets
 
 
+def buckets_of(words: pa.Array, buckets: int) -> np.ndarray:
+    """The same of many words, shape by shape."""
+    size = pa.array(np.minimum(pc.utf8_length(words).to_numpy(zero_copy_only=False), 12)).cast(pa.string())
+    shapes = pc.binary_join_element_wise(pc.utf8_slice_codeunits(words, 0, 1), pc.utf8_slice_codeunits(words, -3), size, "|").dictionary_encode()
+    found = np.array([zlib.crc32(shape.encode()) % buckets for shape in shapes.dictionary.to_pylist()], np.int64)
+    return found[shapes.indices.to_numpy()]
+
+
 def bucket_column(word: Column, buckets: int) -> Column:
     """The same of a column."""
     shape = F.concat_ws("|", F.substring(word, 1, 1), F.when(F.length(word) > 3, F.substring(word, -3, 3)).otherwise(word), F.least(F.length(word), F.lit(12)).cast("string"))
@@ -150,34 +171,22 @@ class Words:
     buckets: int
     tree: Tree
     shared: np.ndarray
-    ids: dict[str, int] = field(default_factory=dict, repr=False)
-
-    def __post_init__(self):
-        self.ids = {word: k for k, word in enumerate(self.frequent)}
-        self.by_shape: dict[tuple[str, str, int], int] = {}
-
-    def __reduce__(self):
-        return Words, (self.frequent, self.buckets, self.tree, self.shared)
-
     @property
     def tokens(self) -> int:
         return len(self.frequent) + self.buckets
 
-    def id_of(self, word: str) -> int:
-        found = self.ids.get(word)
-        if found is None:
-            shape = word[0], word[-3:], min(len(word), 12)
-            found = self.by_shape.get(shape)
-            if found is None:
-                if len(self.by_shape) > 200_000:
-                    self.by_shape.clear()
-                found = self.by_shape[shape] = len(self.frequent) + bucket_of(word, self.buckets)
-        return found
+    def ids_of(self, words: pa.Array) -> np.ndarray:
+        """Ids of words; any id for the empty one."""
+        found = pc.index_in(words, pa.array(self.frequent, pa.string()))
+        ids = pc.fill_null(found, 0).to_numpy().astype(np.int64)
+        rest = np.flatnonzero(found.is_null())
+        ids[rest] = len(self.frequent) + buckets_of(words.take(pa.array(rest)), self.buckets)
+        return ids.astype(np.uint16)
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts in one array, and where each text begins and the last ends."""
         first, words = split_words(texts)
-        ids = np.array([self.id_of(w) if w else 0 for w in words.dictionary.to_pylist()], np.uint16)
+        ids = self.ids_of(words.dictionary)
         blank = words.dictionary.index("").as_py()
         where = words.indices.to_numpy()
         if blank < 0:

@@ -373,7 +373,7 @@ def by_hand(scorer, text):
     """Every token from its two neighbours on either side, one at a time."""
     words, (context, node, bias) = scorer.words, scorer.net.values
     d = scorer.net.shape.hidden
-    ids = [words.id_of(w) for w in (text or "").lower().split()]
+    ids = words.ids_of(lm_score.pa.array((text or "").lower().split(), lm_score.pa.string())).tolist()
     total = 0.0
     for k, t in enumerate(ids):
         around = [ids[k + o] if 0 <= k + o < len(ids) else words.tokens for o in (-2, -1, 1, 2)]
@@ -432,14 +432,23 @@ def test_vocabulary_grows_with_the_corpus(spark):
     assert len(many.frequent) > 2 * len(few.frequent) > 200
     # Words without an id share one by shape: as many as the corpus has of them, on either side.
     counts = {r["word"]: r["n"] for r in lm_score.word_counts(docs).collect()}
-    kinds = np.zeros(255, int)
+    kinds, own = np.zeros(255, int), set(many.frequent)
     for word in counts:
-        if word not in many.ids:
+        if word not in own:
             assert counts[word] == 1
             kinds[lm_score.bucket_of(word, 255)] += 1
     assert np.exp(many.shared[len(many.frequent) :]) == pytest.approx(np.maximum(kinds, 1))
 
 
+def test_shapes_of_words(spark):
+    words = ["a", "ab", "abc", "abcd", "ünï", "日本語のことば", "x" * 40, "end,", "'", "é", "🎉🎉🎉🎉"]
+    one = [lm_score.bucket_of(w, 97) for w in words]
+    assert lm_score.buckets_of(lm_score.pa.array(words), 97).tolist() == one
+    rows = spark.createDataFrame([(w,) for w in words], "w string").select(lm_score.bucket_column(F.col("w"), 97)).collect()
+    assert [r[0] for r in rows] == one
+    assert lm_score.buckets_of(lm_score.pa.array([], lm_score.pa.string()), 97).tolist() == []
+
+
 def test_slices_of_a_stream_predict_every_position_once():
     stream = np.arange(30)
     pieces = list(lm_score.windows(stream, 7))

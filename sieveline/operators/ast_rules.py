@@ -169,25 +169,26 @@ class BaseNames:
     def _builtin(name: str) -> list:
         return [("builtin", None)] if name == "BaseException" else [("module", "builtins")] if name == "__builtins__" else []
 
-    def is_base(self, expr: ast.expr | None, at: ast.AST, budget: int = 20) -> bool:
-        """Whether an expression may mean BaseException at a place."""
-        if expr is None or budget == 0:
+    def is_base(self, expr: ast.expr | None, at: ast.AST, above: tuple[ast.expr, ...] = ()) -> bool:
+        """Whether an expression may mean BaseException at a place; names that mean themselves do not."""
+        if expr is None or expr in above:
             return False
+        above = (*above, expr)
         if isinstance(expr, (ast.Tuple, ast.List)):
-            return any(self.is_base(e, at, budget - 1) for e in expr.elts)
+            return any(self.is_base(e, at, above) for e in expr.elts)
         if isinstance(expr, ast.Starred):
-            return self.is_base(expr.value, at, budget - 1)
+            return self.is_base(expr.value, at, above)
         if isinstance(expr, ast.IfExp):
-            return self.is_base(expr.body, at, budget - 1) or self.is_base(expr.orelse, at, budget - 1)
+            return self.is_base(expr.body, at, above) or self.is_base(expr.orelse, at, above)
         if isinstance(expr, ast.BinOp) and isinstance(expr.op, ast.Add):
-            return self.is_base(expr.left, at, budget - 1) or self.is_base(expr.right, at, budget - 1)
+            return self.is_base(expr.left, at, above) or self.is_base(expr.right, at, above)
         if isinstance(expr, ast.Attribute) and expr.attr == "BaseException" and isinstance(expr.value, ast.Name):
             return any(m == ("module", "builtins") for m, *_ in self._kinds(expr.value.id, at))
         if isinstance(expr, ast.Name):
             for meaning, _ in self._lookup(expr.id, at, True):
                 if meaning == "builtin" or meaning == ("name", "builtins", "BaseException"):
                     return True
-                if isinstance(meaning, ast.expr) and self.is_base(meaning, meaning, budget - 1):
+                if isinstance(meaning, ast.expr) and self.is_base(meaning, meaning, above):
                     return True
         return False
 

@@ -8,16 +8,27 @@ from pyspark.sql import functions as F
 from sieveline.operators.storage import stored
 
 
-def covered_by_points(ranges: DataFrame, points: DataFrame, key: str, start: str, end: str, point: str) -> DataFrame:
-    """Adds ``covered`` and ``n_points`` to ranges: points of the same key in [start, end].
+def covered_by_points(ranges: DataFrame, points: DataFrame, key: str, start: str, end: str, point: str, width: int = 65_536) -> DataFrame:
+    """Adds ``covered`` and ``n_points`` to ranges: points of the same key in [start, end], all whole numbers.
 
-    The points of a key are gathered once into a sorted array, so no pair of range
-    and point is ever a row.
+    The points up to an end less those before a start. Points and ends are counted
+    within stretches of ``width``, and stretches within keys, so a key of any size is
+    dealt over many tasks and no pair of range and point is ever a row.
     """
-    gathered = points.groupBy(key).agg(F.array_sort(F.collect_list(point)).alias("__points"))
-    inside = F.size(F.filter(F.coalesce("__points", F.array()), lambda p: (p >= F.col(start)) & (p <= F.col(end)))).cast("long")
-    joined = ranges.join(gathered, key, "left").withColumn("n_points", inside)
-    return joined.withColumn("covered", F.col("n_points") > 0).drop("__points")
+    columns = ranges.columns
+    named = stored(ranges.withColumn("__id", F.monotonically_increasing_id()))
+    ends = F.explode(F.array(*[F.struct(F.col(c).cast("long").alias("at"), F.lit(order).alias("order"), F.lit(sign).alias("sign")) for c, order, sign in ((start, 0, -1), (end, 2, 1))])).alias("e")
+    asked = named.select(F.col(key).alias("__key"), "__id", ends).select("__key", "__id", "e.*", F.lit(0).alias("n"))
+    there = points.select(F.col(key).alias("__key"), F.lit(None).cast("long").alias("__id"), F.col(point).cast("long").alias("at"), F.lit(1).alias("order"), F.lit(0).alias("sign"), F.lit(1).alias("n"))
+    stacked = asked.unionByName(there.where(F.col("at").isNotNull())).withColumn("__stretch", F.floor(F.col("at") / width))
+    before = Window.partitionBy("__key").orderBy("__stretch").rowsBetween(Window.unboundedPreceding, -1)
+    stretches = stacked.groupBy("__key", "__stretch").agg(F.sum("n").alias("__sum"))
+    stretches = stored(stretches.select("__key", "__stretch", F.coalesce(F.sum("__sum").over(before), F.lit(0)).alias("__before")))
+    within = Window.partitionBy("__key", "__stretch").orderBy("at", "order").rowsBetween(Window.unboundedPreceding, 0)
+    counted = stacked.withColumn("__within", F.sum("n").over(within)).where(F.col("sign") != 0).join(stretches, ["__key", "__stretch"])
+    found = counted.groupBy("__id").agg(F.sum(F.col("sign") * (F.col("__before") + F.col("__within"))).alias("__n"))
+    joined = named.join(found, "__id", "left").withColumn("n_points", F.greatest(F.coalesce("__n", F.lit(0)), F.lit(0)).cast("long"))
+    return joined.select(*columns, "n_points", (F.col("n_points") > 0).alias("covered"))
 
 
 def as_of(probes: DataFrame, events: DataFrame, key: str, order: str, value: str, tie: str) -> DataFrame:

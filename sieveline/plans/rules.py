@@ -59,10 +59,12 @@ CAUGHT = {
     "parameter": "from builtins import BaseException as B\ndef f(B):\n    try:\n        a()\n    except B:\n        b()\n",
     "inner": "def f():\n    try:\n        a()\n    except E:\n        b()\nE = BaseException\n",
     "other": _HANDLER.format("Exception"),
+    "chain": "A = BaseException\n" + "".join(f"A{k} = A{k - 1 if k else ''}\n" for k in range(40)) + _HANDLER.format("A39"),
+    "circle": "A = B\nB = A\n" + _HANDLER.format("B"),
 }
 
 
-@query("SELECT * FROM (VALUES ('plain', 3), ('tuple', 3), ('module', 4), ('import', 4), ('name', 4), ('perhaps', 6), ('inner', 4)) AS t(path, start_line)")
+@query("SELECT * FROM (VALUES ('plain', 3), ('tuple', 3), ('module', 4), ('import', 4), ('name', 4), ('perhaps', 6), ('inner', 4), ('chain', 44)) AS t(path, start_line)")
 def q_base_exceptions(spark, sf_dir):
     """Handlers that may catch everything, by what their names mean where they stand."""
     found = ast_rules.findings(_files(spark, CAUGHT)).where("rule = 'base-exception'")

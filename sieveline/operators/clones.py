@@ -28,6 +28,12 @@ def code_lines(docs: DataFrame, key: str, text: str = "text", skip: tuple[str, .
     return docs.select(key, F.filter(normed, lambda s: s["norm"] != "").alias("lines"))
 
 
+def code_rows(rows: DataFrame, skip: tuple[str, ...] = T.SKIPPED_STARTS, normalise=T.normalised_tokens) -> DataFrame:
+    """As `code_lines`, of rows with a column ``raw``: those that clones are made of, with ``norm``."""
+    bare = rows.withColumn("__bare", T.stripped(F.col("raw"))).where((F.col("__bare") != "") & ~T.starts_with_any(F.col("__bare"), skip))
+    return bare.withColumn("norm", normalise(F.col("__bare"))).where("norm <> ''").drop("__bare")
+
+
 def windows(lines: DataFrame, key: str, size: int = WINDOW) -> DataFrame:
     """(key, pos from 0, start_line, end_line, hash) of every run of ``size`` code lines. Narrow."""
     # A condition on the array, not a filter on rows: that would compute the array twice.

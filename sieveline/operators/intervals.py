@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from sieveline.operators.scans import latest, running, total
 from sieveline.operators.storage import stored
 
 
@@ -32,23 +33,22 @@ def covered_by_points(ranges: DataFrame, points: DataFrame, key: str, start: str
 
 
 def as_of(probes: DataFrame, events: DataFrame, key: str, order: str, value: str, tie: str) -> DataFrame:
-    """Adds ``as_of``: the value of the last event strictly before each probe, by one window.
+    """Adds ``as_of``: the value of the last event strictly before each probe.
 
-    Both sides are stacked and sorted once by (key, order); nothing is joined.
+    Both sides are stacked and dealt by ranges of (key, order), so a key of any size
+    spans as many tasks as it needs; nothing is joined.
     """
     columns = probes.columns
-    stacked = events.select(key, order, F.col(value).alias("__value"), F.lit(0).alias("__probe"), F.col(tie).alias("__tie"), F.lit(None).cast(probes.schema.simpleString()).alias("__row"))
-    asked = probes.select(key, order, F.lit(None).cast(dict(events.dtypes)[value]).alias("__value"), F.lit(1).alias("__probe"), F.lit(None).cast(dict(events.dtypes)[tie]).alias("__tie"), F.struct(*columns).alias("__row"))
-    before = Window.partitionBy(key).orderBy(F.col(order), F.desc("__probe"), F.col("__tie")).rowsBetween(Window.unboundedPreceding, -1)
+    stacked = events.select(F.col(key).alias("__key"), F.col(order).alias("__at"), F.col(value).alias("__value"), F.lit(1).alias("__event"), F.col(tie).alias("__tie"), F.lit(None).cast(probes.schema.simpleString()).alias("__row"))
+    asked = probes.select(F.col(key).alias("__key"), F.col(order).alias("__at"), F.lit(None).cast(dict(events.dtypes)[value]).alias("__value"), F.lit(0).alias("__event"), F.lit(None).cast(dict(events.dtypes)[tie]).alias("__tie"), F.struct(*columns).alias("__row"))
     # Probes sort before events of the same instant, so "strictly before" holds.
-    found = stacked.unionByName(asked).withColumn("as_of", F.last("__value", ignorenulls=True).over(before))
-    return found.where(F.col("__probe") == 1).select("__row.*", "as_of")
+    found = running(stacked.unionByName(asked), ["__key"], ["__at", "__event", "__tie"], as_of=latest(F.col("__value"), before=True))
+    return found.where(F.col("__event") == 0).select("__row.*", "as_of")
 
 
 def kinds_since(events: DataFrame, key: str, order: list[str], resets: Column, kind: str) -> DataFrame:
     """Adds ``era`` (resets so far) and the distinct kinds of each era: what a reset forgets."""
-    upto = Window.partitionBy(key).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    era = events.withColumn("era", F.sum(F.when(resets, 1).otherwise(0).cast("long")).over(upto))
+    era = running(events, [key], order, era=total(F.when(resets, 1).otherwise(0).cast("long")))
     return era.groupBy(key, "era").agg(F.array_sort(F.collect_set(kind)).alias("kinds"), F.count("*").alias("n_events"))
 
 

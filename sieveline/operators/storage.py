@@ -5,11 +5,13 @@ from __future__ import annotations
 import re
 import tempfile
 import uuid
+import weakref
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 _FOLDERS: dict[str, str] = {}
+_TABLES: weakref.WeakKeyDictionary[DataFrame, str] = weakref.WeakKeyDictionary()
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -38,7 +40,18 @@ def stored(df: DataFrame) -> DataFrame:
     """``df`` written and read back: computed once however often it is used, with statistics."""
     path = f"{shared_folder(df.sparkSession)}/{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    _TABLES[out] = path
+    return out
+
+
+def release(*tables: DataFrame | None) -> None:
+    """Delete tables that `stored` wrote and that nothing will read again; others stay."""
+    for df in tables:
+        path = _TABLES.pop(df, None) if df is not None else None
+        if path:
+            hadoop_path = df.sparkSession.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+            hadoop_path.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(hadoop_path, True)
 
 
 def numbered(df: DataFrame, order: list[Column | str], name: str) -> DataFrame:

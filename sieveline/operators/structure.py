@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from sieveline.functions import policy
 from sieveline.functions import text as T
 from sieveline.operators.lines import exploded
+from sieveline.operators.scans import running, total
 
 #: Elements of a page whose nesting is followed.
 TAGS = ("html", "body", "div", "ul", "li", "p", "table", "tr", "td", "span", "article", "nav")
@@ -79,9 +80,8 @@ def heuristic_functions(files: DataFrame, key: str = "path", text: str = "conten
 
 
 def first_after_terminator(events: DataFrame, key: str, terminator: Column, order: str) -> DataFrame:
-    """The first row after a terminator in each group."""
-    before = Window.partitionBy(key).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
-    seen = F.coalesce(F.max(F.when(terminator, 1).otherwise(0)).over(before), F.lit(0))
-    reached = events.withColumn("__seen", seen).where(F.col("__seen") == 1)
-    rank = F.row_number().over(Window.partitionBy(key).orderBy(order))
-    return reached.withColumn("__k", rank).where(F.col("__k") == 1).drop("__seen", "__k")
+    """The first row after a terminator in each group, by a running count and a partial least: no task holds a group."""
+    columns = events.columns
+    seen = running(events, [key], [order], __seen=total(F.when(terminator, 1).otherwise(0).cast("long"), before=True)).where(F.col("__seen") > 0)
+    least = seen.groupBy(F.col(key).alias("__key")).agg(F.min_by(F.struct(*columns), F.struct(order, *[c for c in columns if c != order])).alias("__row"))
+    return least.select("__row.*")

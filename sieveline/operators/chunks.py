@@ -6,7 +6,8 @@ chunk, so no task needs more of a text than a chunk and no key is gathered. Line
 tags that cross a border are put together from the chunks they touch.
 
 Edge cases: a null or empty text has no chunks and so no rows here; keys must tell texts
-apart; a line spans as many chunks as it needs, and is then one row.
+apart; a line spans as many chunks as it needs, and is then one row; for tags, every chunk
+but a text's last must be as long as the longest tag.
 """
 
 from __future__ import annotations

@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sieveline.functions import text as T
+from sieveline.operators.intervals import covered_length
 from sieveline.operators.storage import numbered, stored
 
 WINDOW = 6
@@ -127,13 +128,17 @@ def clone_groups(found: DataFrame, key: str) -> DataFrame:
     return members.join(ranks, "root").select(F.col("group_id").cast("long").alias("group_id"), "root", "member", "n_members", "n_windows")
 
 
-def duplicate_lines(found: DataFrame, key: str) -> DataFrame:
-    """Distinct (key, line) in repeated windows, but for the first occurrence of each hash."""
+def later_windows(found: DataFrame, key: str) -> DataFrame:
+    """Repeated windows, but for the first occurrence of each hash."""
     first = found.groupBy("hash").agg(F.min(F.struct(key, "pos")).alias("__first"), F.count("*").alias("__n"))
     # Written first: a join of two plain scans is one that adaptive execution splits where a window is everywhere.
     first = stored(first.where(F.col("__n") > 1).select("hash", "__first"))
-    later = found.join(first, "hash").where(F.struct(key, "pos") != F.col("__first"))
-    return later.select(key, F.explode(F.sequence("start_line", "end_line")).alias("line_no")).distinct()
+    return found.join(first, "hash").where(F.struct(key, "pos") != F.col("__first")).drop("__first")
+
+
+def duplicate_lines(found: DataFrame, key: str) -> DataFrame:
+    """(key, length): distinct lines in repeated windows, but for the first occurrence of each hash; no line is a row."""
+    return covered_length(later_windows(found, key), key, "start_line", "end_line")
 
 
 def matched_blocks(lines: DataFrame, pairs: DataFrame, key: str, size: int = WINDOW) -> DataFrame:

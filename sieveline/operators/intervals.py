@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from sieveline.operators.scans import latest, running, total
+from sieveline.operators.scans import greatest, latest, running, total
 from sieveline.operators.storage import stored
 
 
@@ -52,6 +52,28 @@ def kinds_since(events: DataFrame, key: str, order: list[str], resets: Column, k
     return era.groupBy(key, "era").agg(F.array_sort(F.collect_set(kind)).alias("kinds"), F.count("*").alias("n_events"))
 
 
+def merged(rows: DataFrame, key: str, start: str, end: str) -> DataFrame:
+    """(key, start, end, n): stretches of whole numbers that overlapping or touching intervals [start, end] of a key cover, and how many do.
+
+    An interval opens a stretch where it starts beyond the greatest end so far, a running
+    value that carries over any number of tasks. Intervals that end before they start, or
+    have a null end, cover nothing.
+    """
+    used = rows.select(key, F.col(start).alias("__start"), F.col(end).alias("__end")).where("__start <= __end")
+    reach = running(used, [key], ["__start", "__end"], __reach=greatest(F.col("__end"), before=True))
+    opens = F.coalesce(F.col("__start") > F.col("__reach") + 1, F.lit(True))
+    named = running(reach.withColumn("__opens", opens.cast("long")), [key], ["__start", "__end", "__reach"], __stretch=total(F.col("__opens")))
+    return named.groupBy(key, "__stretch").agg(F.min("__start").alias(start), F.max("__end").alias(end), F.count("*").alias("n")).drop("__stretch")
+
+
+def covered_length(rows: DataFrame, key: str, start: str, end: str) -> DataFrame:
+    """(key, length): how many whole numbers the intervals of a key cover; each adds what lies beyond the greatest end so far."""
+    used = rows.select(key, F.col(start).alias("__start"), F.col(end).alias("__end")).where("__start <= __end")
+    reach = running(used, [key], ["__start", "__end"], __reach=greatest(F.col("__end"), before=True))
+    added = F.greatest(F.lit(0).cast("long"), F.col("__end") - F.greatest(F.col("__start") - 1, F.col("__reach")))
+    return reach.groupBy(key).agg(F.sum(added).alias("length"))
+
+
 def by_prefix(names: DataFrame, prefixes: DataFrame, name: str, prefix: str, sep: str = "/") -> DataFrame:
     """Names that equal a prefix or continue it after ``sep``, by an equi-join on every leading part.
 

@@ -199,7 +199,7 @@ def q_dup_pct(spark, sf_dir):
     """Share of lines that repeat an earlier window."""
     docs = read(spark, sf_dir, "documents", "doc_id", "text")
     code = stored(clones.code_lines(docs, "doc_id", skip=COMMENTS, normalise=clones.plain))
-    duplicate = clones.duplicate_lines(clones.windows(code, "doc_id"), "doc_id").agg(F.count("*").alias("n")).select(F.lit("duplicate").alias("what"), "n")
+    duplicate = clones.duplicate_lines(clones.windows(code, "doc_id"), "doc_id").agg(F.coalesce(F.sum("length"), F.lit(0)).alias("n")).select(F.lit("duplicate").alias("what"), "n")
     total = code.agg(F.coalesce(F.sum(F.size("lines").cast("long")), F.lit(0)).alias("n")).select(F.lit("code").alias("what"), "n")
     both = duplicate.union(total).agg(F.sum(F.when(F.col("what") == "duplicate", F.col("n"))).alias("duplicate_lines"), F.sum(F.when(F.col("what") == "code", F.col("n"))).alias("code_lines"))
     percent = 100.0 * F.col("duplicate_lines") / F.greatest("code_lines", F.lit(1))

@@ -94,11 +94,24 @@ def low_rows(modules: DataFrame, least_stmts: int = 5, least_cover: float = 80.0
     return modules.where((F.col("stmts") >= least_stmts) & (F.col("cover") < least_cover))
 
 
-def function_rows(functions: DataFrame, records: DataFrame) -> DataFrame:
-    """Functions (file, name, body_start, end_line) of covered files: covered, missing lines inside."""
-    joined = functions.join(records.select("file", "executed_lines", "missing_lines"), "file")
-    within = lambda c: F.filter(c, lambda x: (x >= F.col("body_start")) & (x <= F.col("end_line")))
-    return joined.select("file", "name", "body_start", "end_line", (F.size(within("executed_lines")) > 0).alias("covered"), F.slice(F.array_sort(within("missing_lines")), 1, SHOWN_LINES).alias("missing_lines"))
+def function_rows(functions: DataFrame, records: DataFrame, block: int = 256) -> DataFrame:
+    """Functions (file, name, body_start, end_line) of covered files: covered, missing lines inside.
+
+    A line meets the functions that reach into its block of ``block`` lines: no function
+    is joined to all lines of its file.
+    """
+    keys = ["file", "name", "body_start", "end_line"]
+    known = functions.select(*keys).join(records.select("file"), "file", "left_semi")
+    with_mark = lambda lines, hit: F.transform(lines, lambda x: F.struct(x.cast("long").alias("line"), F.lit(hit).alias("hit")))
+    each = F.explode(F.concat(with_mark("executed_lines", True), with_mark("missing_lines", False))).alias("__line")
+    lines = records.select(F.col("file").alias("__file"), each).select("__file", "__line.*").withColumn("__of", F.floor(F.col("line") / block))
+    spans = F.sequence(F.floor(F.col("body_start") / block), F.floor(F.col("end_line") / block))
+    blocks = known.where("body_start <= end_line").withColumn("__block", F.explode(spans))
+    met = blocks.join(lines, (F.col("file") == F.col("__file")) & (F.col("__block") == F.col("__of")) & F.col("line").between(F.col("body_start"), F.col("end_line")))
+    inside = met.groupBy(*keys).agg(F.bool_or("hit").alias("__hit"), F.collect_list(F.when(~F.col("hit"), F.col("line"))).alias("__missing"))
+    found = known.join(inside, keys, "left")
+    missing = F.coalesce("__missing", F.array().cast("array<long>"))
+    return found.select(*keys, F.coalesce("__hit", F.lit(False)).alias("covered"), F.slice(F.array_sort(missing), 1, SHOWN_LINES).alias("missing_lines"))
 
 
 def function_share(rows: DataFrame, runs: DataFrame, key: str) -> DataFrame:

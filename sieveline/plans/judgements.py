@@ -8,6 +8,7 @@ from sieveline.functions import policy, settings
 from sieveline.functions import text as T
 from sieveline.operators import checks as C
 from sieveline.operators import coverage, symbols
+from sieveline.operators.storage import numbered
 from sieveline.plans.registry import query, read
 from sieveline.plans.reporting import _FINDINGS, _SUITE, _checks, _findings
 
@@ -206,7 +207,7 @@ SELECT dir, count(*) AS n_files, CAST(sum(page_id) AS BIGINT) AS pages, CAST(len
 def q_directory_tree(spark, sf_dir):
     """Directories in order of their parts, with sums over their own files."""
     tree = C.directory_tree(_urls(spark, sf_dir).select("path", F.col("page_id").alias("pages")), "path", ["pages"])
-    return C.ranked(tree, F.split("dir", "/")).select("dir", "n_files", "pages", F.col("depth").cast("long").alias("depth"), F.col("rank").alias("place"))
+    return numbered(tree, [F.split("dir", "/")], "place").select("dir", "n_files", "pages", F.col("depth").cast("long").alias("depth"), F.col("place").cast("long").alias("place"))
 
 
 @query("""SELECT page_id, repeat('`', greatest(3, 1 + page_id % 9)) AS fence FROM pages""")

@@ -22,27 +22,34 @@ def _id():
 
 
 def _events(spark, sf_dir):
-    return read(spark, sf_dir, "events", "event_id", "user_id", "event_type").withColumn("run", F.col("user_id") % 40)
+    return read(spark, sf_dir, "events", "event_id", "user_id", "event_type").withColumn("run", F.expr("event_id div 200"))
 
 
 def _runs(spark, sf_dir, line):
-    """(run, log): one log for each fortieth of the users, a line for each event that has one."""
+    """(run, log): one log for 200 events in a row, a line for each event that has one."""
     rows = _events(spark, sf_dir).withColumn("line", line).where(F.col("line").isNotNull())
     listed = F.transform(F.array_sort(F.collect_list(F.struct("event_id", "line"))), lambda s: s["line"])
     return rows.groupBy("run").agg(F.array_join(listed, "\n").alias("log"))
 
 
-_E = "e AS (SELECT *, user_id % 40 AS run FROM events)"
+_E = "e AS (SELECT *, event_id // 200 AS run FROM events)"
+_D = "d AS (SELECT *, source || '/' || doc_id // 200 AS part FROM documents)"
 
 
-@query("""SELECT l_suppkey, 'f' || l_orderkey || '_' || l_linenumber AS name, l_returnflag <> 'R' AND l_quantity >= 1 AS covered FROM lineitem""")
+def _parts(spark, sf_dir, *columns):
+    """Documents with ``part``: those of a source among 200 ids in a row."""
+    part = F.concat_ws("/", "source", F.expr("cast(doc_id div 200 as string)"))
+    return read(spark, sf_dir, "documents", "doc_id", "source", *columns).withColumn("part", part)
+
+
+@query("""SELECT l_orderkey // 200 AS part, 'f' || l_orderkey || '_' || l_linenumber AS name, l_returnflag <> 'R' AND l_quantity >= 1 AS covered FROM lineitem""")
 def q_gcov_functions(spark, sf_dir):
     """Order lines written as function counts, parsed again."""
-    items = read(spark, sf_dir, "lineitem", "l_suppkey", "l_orderkey", "l_linenumber", "l_returnflag", "l_quantity")
+    items = read(spark, sf_dir, "lineitem", "l_orderkey", "l_linenumber", "l_returnflag", "l_quantity")
     calls = F.when(F.col("l_returnflag") == "R", 0).otherwise(F.col("l_quantity").cast("int"))
     line = F.format_string("function f%d_%d called %d returned 100%% blocks executed 75%%", "l_orderkey", "l_linenumber", calls)
-    texts = items.groupBy("l_suppkey").agg(F.array_join(F.collect_list(line), "\n").alias("log"))
-    return logs.gcov_functions(texts, "l_suppkey", "log")
+    texts = items.groupBy(F.expr("l_orderkey div 200").alias("part")).agg(F.array_join(F.collect_list(line), "\n").alias("log"))
+    return logs.gcov_functions(texts, "part", "log")
 
 
 @query(f"""WITH {_E} SELECT run, 'test_' || event_id || ' (m.T)' AS target_name, CASE WHEN event_type = 'view' THEN 'PASS' ELSE 'FAIL' END AS status FROM e WHERE event_type IN ('view', 'error', 'click')""")
@@ -53,29 +60,29 @@ def q_unittest_log(spark, sf_dir):
     return logs.unittest_results(_runs(spark, sf_dir, line), "run").select("run", "target_name", "status")
 
 
-@query("""SELECT source, 'd' || doc_id || '.py' AS file_path, doc_id + 1 AS start_line, CASE WHEN lang = 'fr' THEN 'syntax' ELSE 'E' || doc_id % 7 END AS target_name, 'FAIL' AS status, 'in ' || lang AS message
-  FROM documents WHERE source NOT IN ('src3', 'src4')
-UNION ALL SELECT DISTINCT source, '.', 1, 'output', 'ERROR', 'malformed linter output' FROM documents WHERE source IN ('src3', 'src4')""")
+@query(f"""WITH {_D} SELECT part, 'd' || doc_id || '.py' AS file_path, doc_id + 1 AS start_line, CASE WHEN lang = 'fr' THEN 'syntax' ELSE 'E' || doc_id % 7 END AS target_name, 'FAIL' AS status, 'in ' || lang AS message
+  FROM d WHERE source NOT IN ('src3', 'src4')
+UNION ALL SELECT DISTINCT part, '.', 1, 'output', 'ERROR', 'malformed linter output' FROM d WHERE source IN ('src3', 'src4')""")
 def q_lint_json(spark, sf_dir):
     """Documents written as linter JSON, parsed again; one source's output is cut, one lacks fields."""
-    docs = read(spark, sf_dir, "documents", "doc_id", "source", "lang")
+    docs = _parts(spark, sf_dir, "lang")
     found = F.struct(
         F.concat(F.lit("d"), F.col("doc_id").cast("string"), F.lit(".py")).alias("filename"), F.when(F.col("lang") != "fr", F.concat(F.lit("E"), (F.col("doc_id") % 7).cast("string"))).alias("code"),
         F.concat(F.lit("in "), "lang").alias("message"), F.struct((F.col("doc_id") + 1).alias("row"), F.lit(1).alias("column")).alias("location"),
     )
-    texts = docs.groupBy("source").agg(F.to_json(F.collect_list(found)).alias("json"))
+    texts = docs.groupBy("source", "part").agg(F.to_json(F.collect_list(found)).alias("json"))
     broken = F.when(F.col("source") == "src3", F.substring("json", 1, 30)).when(F.col("source") == "src4", '[{"message": 1}]').otherwise(F.col("json"))
-    return records.lint_findings(texts.withColumn("json", broken), "source", "json")
+    return records.lint_findings(texts.select("part", broken.alias("json")), "part", "json")
 
 
-@query("""SELECT DISTINCT source, 'f' || doc_id % 9 || '.py' AS file_path, TRUE AS well_formed FROM documents WHERE source <> 'src5'
-UNION ALL SELECT DISTINCT source, NULL, FALSE FROM documents WHERE source = 'src5'""")
+@query(f"""WITH {_D} SELECT DISTINCT part, 'f' || doc_id % 9 || '.py' AS file_path, TRUE AS well_formed FROM d WHERE source <> 'src5'
+UNION ALL SELECT DISTINCT part, NULL, FALSE FROM d WHERE source = 'src5'""")
 def q_formatter_json(spark, sf_dir):
     """Documents written as formatter JSON: the files it would change, each once."""
-    docs = read(spark, sf_dir, "documents", "doc_id", "source")
+    docs = _parts(spark, sf_dir)
     found = F.struct(F.concat(F.lit("f"), (F.col("doc_id") % 9).cast("string"), F.lit(".py")).alias("filename"), F.lit("x").alias("message"))
-    texts = docs.groupBy("source").agg(F.to_json(F.collect_list(found)).alias("json"))
-    return records.formatter_findings(texts.withColumn("json", F.when(F.col("source") == "src5", "[{}]").otherwise(F.col("json"))), "source", "json")
+    texts = docs.groupBy("source", "part").agg(F.to_json(F.collect_list(found)).alias("json"))
+    return records.formatter_findings(texts.select("part", F.when(F.col("source") == "src5", "[{}]").otherwise(F.col("json")).alias("json")), "part", "json")
 
 
 @query(f"""WITH {_E}, n AS (SELECT run, count(*) FILTER (event_type = 'click') AS n FROM e GROUP BY run)

@@ -134,6 +134,25 @@ def test_odd_documents_are_weighted(spark, tmp_path):
     assert importance.op12_importance_resampling(spark, f"{tmp_path}/none").collect() == []
 
 
+def test_both_dictionaries_give_the_same_weights(spark):
+    docs, target = (spark.read.parquet(f"{SF}/{name}.parquet") for name in ("documents", "benchmark"))
+    chunks, whole = (sorted(map(tuple, f(docs.limit(60), target).collect())) for f in (importance.weights, importance.weights_by_dictionary))
+    assert chunks == whole
+
+
+def test_a_chunk_has_each_string_once():
+    texts = ["a b a b", None, "", "B a", "ß ä1 ß ä1 ß"]
+    chunk = importance.Chunk(texts)
+    found = Counter(f for t in texts for f in importance.features(importance.words(t)))
+    got = Counter()
+    for hashes, counts in zip(chunk.hashes, chunk.counts):
+        for h, n in zip(hashes.tolist(), counts.tolist()):
+            assert h not in got
+            got[h] = n
+    assert got == Counter({zlib.crc32(f.encode()): n for f, n in found.items()})
+    assert importance.Chunk([]).sums(np.zeros(10000, np.int64))[0].tolist() == []
+
+
 def plain_repeats(words):
     where = {}
     for i in range(len(words) - 7):

@@ -345,6 +345,16 @@ class Encoder:
             yield self.encode(text[at:end])
             at = end
 
+    def each_in_pieces(self, texts: pa.Array) -> Iterator[Iterable[np.ndarray]]:
+        """The ids of each text, in pieces; of a batch that a long text fills, a stretch at a time."""
+        if texts.nbytes > 2 * ARROW_BYTES:
+            for text in texts:
+                yield self.pieces(text.as_py())
+            return
+        flat, at = self.encode_batch(texts)
+        for a, b in zip(at[:-1].tolist(), at[1:].tolist()):
+            yield [flat[a:b]]
+
 
 class Decoder:
     """Ids to text: a token's bytes pass one by one through a UTF-8 state machine.
@@ -396,19 +406,9 @@ def encode_decode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
         decoder = Decoder(codec.v)
         decimal = [str(i) for i in range(codec.v.size)]
 
-        def texts(batch):
-            """The ids of each text, in pieces."""
-            if batch.nbytes > 2 * ARROW_BYTES:
-                for text in batch.column(1):
-                    yield codec.pieces(text.as_py())
-                return
-            flat, at = codec.encode_batch(batch.column(1))
-            for a, b in zip(at[:-1].tolist(), at[1:].tolist()):
-                yield [flat[a:b]]
-
         for batch in batches:
             counts, first, second = [], [], []
-            for pieces in texts(batch):
+            for pieces in codec.each_in_pieces(batch.column(1)):
                 n, ids, digest = 0, hashlib.sha256(), hashlib.sha256()
                 kept: list[np.ndarray] = []
 

@@ -27,7 +27,9 @@ the id and text are not read.
 
 from __future__ import annotations
 
+import itertools
 import zlib
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -98,6 +100,19 @@ def vector_best_fit(lengths: np.ndarray, limits: Limits) -> np.ndarray:
     return chosen
 
 
+def evenly(parts: Iterable[np.ndarray], size: int) -> Iterator[np.ndarray]:
+    """Pieces of ``size`` numbers, the last perhaps shorter, of numbers that come in parts of any length."""
+    held = np.empty(0, "<u4")
+    for part in parts:
+        held = np.concatenate([held, part]).astype("<u4") if len(held) else np.asarray(part, "<u4")
+        full = len(held) - len(held) % size
+        for at in range(0, full, size):
+            yield held[at : at + size]
+        held = held[full:]
+    if len(held):
+        yield held
+
+
 def cut(docs: DataFrame, limits: Limits, id_col: str = "doc_id", text_col: str = "text", vocabulary: str = VOCABULARY, end_id: int = END_ID) -> DataFrame:
     """One row for each piece: id, piece, start, length, ids_crc32. Narrow, no shuffle."""
     small_batches(docs.sparkSession)
@@ -108,11 +123,8 @@ def cut(docs: DataFrame, limits: Limits, id_col: str = "doc_id", text_col: str =
         codec, tail = encoder(vocabulary, "library"), np.array([end_id], "<u4")
         for batch in batches:
             rows, piece, length, crc = [], [], [], []
-            flat, ends = codec.encode_batch(batch.column(1))
-            for k, (a, b) in enumerate(zip(ends[:-1].tolist(), ends[1:].tolist())):
-                ids = np.concatenate([flat[a:b], tail])
-                for number, at in enumerate(range(0, len(ids), size)):
-                    part = ids[at : at + size]
+            for k, ids in enumerate(codec.each_in_pieces(batch.column(1))):
+                for number, part in enumerate(evenly(itertools.chain(ids, [tail]), size)):
                     rows.append(k)
                     piece.append(number)
                     length.append(len(part))

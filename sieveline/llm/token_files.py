@@ -209,9 +209,8 @@ def write_files(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: st
 
         def rows():
             for batch in batches:
-                flat, at = codec.encode_batch(batch.column(1))
-                for doc_id, a, b in zip(batch.column(0).to_pylist(), at[:-1].tolist(), at[1:].tolist()):
-                    yield doc_id, np.concatenate([flat[a:b], tail])
+                for doc_id, ids in zip(batch.column(0).to_pylist(), codec.each_in_pieces(batch.column(1))):
+                    yield doc_id, np.concatenate([*ids, tail])  # of a long text only the ids are held, 4 bytes each
 
         for line in file_lines(rows(), bits_for(codec.v.size), block_tokens):
             yield pa.RecordBatch.from_arrays([pa.array([line], pa.binary())], ["line"])

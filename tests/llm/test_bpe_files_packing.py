@@ -3,6 +3,7 @@ import random
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -218,3 +219,24 @@ def test_second_round_fills_up(spark):
     pieces = spark.createDataFrame([(k, 700) for k in range(90)], "doc_id long, length long")
     got = packing.pack_pieces(pieces, packing.Limits(block=10)).agg(F.countDistinct("sequence_id"), F.count("*")).first()
     assert got[1] == 90 and got[0] <= 50
+
+
+def test_long_texts_are_encoded_a_stretch_at_a_time(monkeypatch):
+    codec = bpe.encoder(bpe.VOCABULARY, "library")
+    texts = pa.array(["some words of a text " * 40, "", "x" * 300 + " tail", "ends"])
+    whole = [codec.encode(t).tolist() for t in texts.to_pylist()]
+    in_one = [np.concatenate([np.empty(0, "<u4"), *ids]).tolist() for ids in codec.each_in_pieces(texts)]
+    monkeypatch.setattr(bpe, "ARROW_BYTES", 100)
+    monkeypatch.setattr(bpe.Encoder.pieces, "__defaults__", (64,))
+    cut = [[p.tolist() for p in ids] for ids in codec.each_in_pieces(texts)]
+    assert in_one == whole == [sum(parts, []) for parts in cut]
+    assert len(cut[0]) > 10
+
+
+def test_even_pieces_of_parts_of_any_length():
+    for sizes in ([], [0], [5], [8], [3, 5, 0, 1], [1] * 17, [20, 4]):
+        parts = [np.arange(n, dtype="<u4") for n in sizes]
+        flat = np.concatenate([np.empty(0, "<u4"), *parts])
+        got = list(packing.evenly(parts, 8))
+        assert [p.tolist() for p in got] == [flat[at : at + 8].tolist() for at in range(0, len(flat), 8)]
+        assert all(p.dtype == np.dtype("<u4") for p in got)

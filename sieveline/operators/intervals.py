@@ -101,6 +101,9 @@ def first_by(rows: DataFrame, keys: list[str], order: list) -> DataFrame:
     return rows.withColumn("__k", rank).where(F.col("__k") == 1).drop("__k")
 
 
+EMPTY_AT_ONCE = 500
+
+
 def containing(docs: DataFrame, needles: DataFrame, key: str, text: str, needle_key: str, needle: str) -> DataFrame:
     """(needle_key, key) of texts that contain a needle.
 
@@ -125,7 +128,11 @@ def containing(docs: DataFrame, needles: DataFrame, key: str, text: str, needle_
         wanted = keyed.where(F.col("__kind") == kind).select("__kind", "__part").distinct()
         each = each.join(wanted, ["__kind", "__part"], "left_semi")
         parts = each if parts is None else parts.unionByName(each)
-    out = whole.crossJoin(F.broadcast(source.where("__needle = ''").select("__name"))).select("__name", "__key") if source.where("__needle = ''").limit(1).count() else None
+    out = None
+    empty = [r[0] for r in source.where("__needle = ''").select("__name").collect()]  # each has a row for every text
+    for at in range(0, len(empty), EMPTY_AT_ONCE):
+        named = whole.select(F.explode(F.array(*map(F.lit, empty[at : at + EMPTY_AT_ONCE]))).alias("__name"), "__key")
+        out = named if out is None else out.unionByName(named)
     if parts is not None:
         parts = stored(parts)
         often = parts.groupBy("__kind", "__part").agg(F.count("*").alias("__n"))

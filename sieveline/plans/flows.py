@@ -10,6 +10,7 @@ from sieveline.operators import sharded
 from sieveline.operators.storage import shared_folder
 from sieveline.plans.registry import query, read
 from sieveline.plans.reporting import _FINDINGS, _SUITE, _checks, _findings
+from sieveline.sources import gcov
 from sieveline.streaming import runs
 
 
@@ -52,3 +53,19 @@ def q_stream_runs(spark, sf_dir):
         started = runs.judged(stream).writeStream.format("parquet").option("checkpointLocation", f"{root}/state").outputMode("append").trigger(availableNow=True).start(f"{root}/out")
         started.awaitTermination()
     return spark.read.parquet(f"{root}/out")
+
+
+@query("""SELECT l_suppkey, CAST(count(*) FILTER (l_returnflag = 'R' OR l_quantity > 0 AND l_returnflag = 'N') AS BIGINT) AS stmts,
+  count(*) FILTER (l_quantity > 0 AND l_returnflag = 'N') AS covered, count(*) FILTER (l_returnflag = 'R') AS miss FROM lineitem
+  GROUP BY l_suppkey HAVING count(*) FILTER (l_returnflag = 'R' OR l_quantity > 0 AND l_returnflag = 'N') > 0""")
+def q_gcov_source(spark, sf_dir):
+    """Order lines written as coverage reports in files and read by the data source."""
+    items = read(spark, sf_dir, "lineitem", "l_suppkey", "l_orderkey", "l_linenumber", "l_returnflag", "l_quantity")
+    count = F.when(F.col("l_returnflag") == "R", "#####").when(F.col("l_returnflag") == "A", "-").otherwise(F.col("l_quantity").cast("int").cast("string"))
+    line = F.format_string("%9s:%5d:code", count, F.col("l_orderkey") * 10 + F.col("l_linenumber"))
+    folder = f"{shared_folder(spark)}/gcov-{uuid.uuid4().hex}"
+    items.select("l_suppkey", line.alias("value")).repartition("l_suppkey").write.partitionBy("l_suppkey").text(folder)
+    gcov.register(spark)
+    rows = spark.read.format("gcov").load(folder).where("hit or missed")
+    by = F.regexp_extract("path", "l_suppkey=([0-9]+)/", 1).cast("long").alias("l_suppkey")
+    return rows.groupBy(by).agg(F.count("*").alias("stmts"), F.count_if("hit").alias("covered"), F.count_if("missed").alias("miss"))

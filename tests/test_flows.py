@@ -4,10 +4,11 @@ import json
 
 from conftest import SF
 from pyspark.sql import functions as F
+from pyspark.sql.datasource import GreaterThan, StringEndsWith
 
 from sieveline.operators import checks, sharded
 from sieveline.plans import reporting
-from sieveline.sources import logs
+from sieveline.sources import gcov, logs
 from sieveline.streaming import runs
 
 
@@ -60,3 +61,31 @@ def test_streamed_runs_equal_the_batch(spark, tmp_path):
     # Run 5 has not ended, so its last block is still open.
     last = want.groupBy("run").agg(F.max("block").alias("b")).where("run = 5").first()["b"]
     assert sorted(map(tuple, blocks)) == sorted(map(tuple, want.where(~((F.col("run") == 5) & (F.col("block") == last))).collect()))
+
+
+REPORTS = {"src/a.gcov": "        -:    0:Source:a.c\n        3:    1:x\n    #####:    2:y\nbranch  0 taken 1\n       2*:    3:z\n    =====:    4:e\n        0:    5:n\n", "src/b.gcov": "    #####:   10:q\n" * 7, "src/_skip.gcov": "        1:    1:x\n", ".hid/c.gcov": "        1:    1:x\n", "lib/d.gcov": "", "lib/e.gcov": "odd\n\xff:\n"}
+
+
+def test_gcov_source(spark, tmp_path):
+    for name, text in REPORTS.items():
+        (tmp_path / name).parent.mkdir(exist_ok=True)
+        (tmp_path / name).write_text(text, encoding="latin-1")
+    gcov.register(spark)
+    rows = spark.read.format("gcov").load(f"file://{tmp_path}")
+    got = sorted((r["path"].removeprefix(f"{tmp_path}/"), r["number"], r["hit"], r["missed"]) for r in rows.collect())
+    assert got == [("src/a.gcov", 1, True, False), ("src/a.gcov", 2, False, True), ("src/a.gcov", 3, True, False), ("src/a.gcov", 4, False, False), ("src/a.gcov", 5, False, False)] + [("src/b.gcov", 10, False, True)] * 7
+    assert spark.read.format("gcov").load(f"file://{tmp_path}/none").collect() == []
+
+
+def test_gcov_filters_leave_files_closed(spark, tmp_path):
+    for name in ("a", "b", "c"):
+        (tmp_path / f"{name}.gcov").write_text("        1:    1:x\n" * 3)
+    reader = gcov.GcovReader({"path": f"file://{tmp_path}", "partitionBytes": "40"})
+    assert [len(p.paths) for p in reader.partitions()] == [1, 1, 1]
+    rest = GreaterThan(("number",), 3)
+    assert list(reader.pushFilters([StringEndsWith(("path",), "b.gcov"), rest])) == [rest]
+    assert [p.paths for p in reader.partitions()] == [[f"{tmp_path}/b.gcov"]]
+    (tmp_path / "a.gcov").chmod(0)
+    gcov.register(spark)
+    rows = spark.read.format("gcov").load(f"file://{tmp_path}").where("path LIKE '%b.gcov'")
+    assert rows.count() == 3

@@ -6,9 +6,8 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from sieveline.functions import policy
-from sieveline.functions import text as T
 from sieveline.operators import checks as C
-from sieveline.operators import coverage, intervals, structure
+from sieveline.operators import coverage, intervals, structure, symbols
 from sieveline.plans.registry import query, read
 from sieveline.sources import logs
 
@@ -65,7 +64,8 @@ def q_ratio_rows(spark, sf_dir):
 @query(f"WITH {_SOURCES} SELECT source, stmts, covered FROM src WHERE stmts >= 5 AND 100.0 * covered / stmts < 40.0")
 def q_low_coverage(spark, sf_dir):
     """Sources of some size with few labels."""
-    return _sources(spark, sf_dir).where((F.col("stmts") >= 5) & (100.0 * F.col("covered") / F.col("stmts") < 40.0)).select("source", "stmts", "covered")
+    shares = _sources(spark, sf_dir).withColumn("cover", 100.0 * F.col("covered") / F.col("stmts"))
+    return coverage.low_rows(shares, 5, 40.0).select("source", "stmts", "covered")
 
 
 @query("""SELECT conv_id, count(*) FILTER (role = 'assistant') AS passed, count(*) FILTER (role <> 'assistant') AS failed, count(*) AS total,
@@ -116,8 +116,8 @@ def q_log_parse(spark, sf_dir):
     events = read(spark, sf_dir, "events", "event_id", "user_id", "event_type")
     kind = F.when(F.col("event_type") == "error", "error").otherwise("note")
     line = F.format_string("f%d.c:%d:%d: %s: %s", F.col("user_id") % 50, F.col("event_id") + 1, F.lit(1), kind, F.col("event_type"))
-    get = lambda k: F.regexp_extract("line", logs.DIAGNOSTIC, k)
-    parsed = events.select(line.alias("line")).where(F.col("line").rlike(logs.DIAGNOSTIC)).select(get(1).alias("file_path"), (get(2).cast("long") - 1).alias("at"), get(4).alias("kind"), get(5).alias("message"))
+    found = logs.diagnostics(events.select("event_id", line.alias("log")), "event_id").where("part = 'diagnostic'")
+    parsed = found.select("file_path", (F.col("start_line") - 1).alias("at"), "kind", F.substring_index("message", ": ", -1).alias("message"))
     return logs.collapsed_repeats(parsed, ["file_path", "kind", "message"], "at")
 
 
@@ -203,8 +203,8 @@ SELECT dir, count(*) AS n_files, CAST(len(string_split(dir, '/')) AS BIGINT) AS
 def q_dir_rollup(spark, sf_dir):
     """Pages and characters of each directory, direct children only."""
     bare = F.regexp_replace(F.regexp_replace("url", r"^[a-z]+://", ""), r"[?#].*$", "")
-    rows = read(spark, sf_dir, "pages", "url", "html").select(T.parent_of(bare).alias("dir"), F.length("html").cast("long").alias("chars"))
-    return rows.groupBy("dir").agg(F.count("*").alias("n_files"), F.max(F.size(F.split("dir", "/")).cast("long")).alias("depth"), F.sum("chars").alias("chars"))
+    rows = read(spark, sf_dir, "pages", "url", "html").select(bare.alias("path"), F.length("html").cast("long").alias("chars"))
+    return C.directory_tree(rows, "path", ["chars"]).select("dir", "n_files", F.col("depth").cast("long").alias("depth"), "chars")
 
 
 @query(f"WITH {_PATHS} SELECT page_id, path FROM paths WHERE contains(lower(path), '/de/') OR page_id % 10 = 0")
@@ -241,6 +241,10 @@ def q_after_terminator(spark, sf_dir):
 SELECT p.doc_id, p.source, CASE WHEN r.doc_id IS NULL THEN 'WARN' ELSE 'PASS' END AS status FROM private p LEFT JOIN refs r USING (doc_id)""")
 def q_unreferenced(spark, sf_dir):
     """Definitions nothing refers to: non-English documents without a good label."""
-    private = read(spark, sf_dir, "documents", "doc_id", "source", "lang").where("lang <> 'en'")
-    refs = read(spark, sf_dir, "labels", "doc_id", "quality").where("quality = 1").select("doc_id").distinct().withColumn("used", F.lit(True))
-    return private.join(refs, "doc_id", "left").select("doc_id", "source", F.when(F.col("used"), "PASS").otherwise("WARN").alias("status"))
+    name = F.concat(F.lit("_d"), F.col("doc_id").cast("string")).alias("name")
+    defs = read(spark, sf_dir, "documents", "doc_id", "source", "lang").where("lang <> 'en'").select(F.col("source").alias("file"), name, F.col("doc_id").alias("line"), F.lit(False).alias("decorated"))
+    good = read(spark, sf_dir, "labels", "doc_id", "quality").where("quality = 1").select(name)
+    refs = defs.select("file", "name").join(good, "name", "left_semi")
+    none = defs.select("file", "name").limit(0)
+    found = symbols.private_usage(defs, refs, none, none)
+    return found.select(F.col("line").alias("doc_id"), F.col("file").alias("source"), "status")

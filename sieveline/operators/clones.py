@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sieveline.functions import text as T
+from sieveline.operators.components import components
 from sieveline.operators.intervals import covered_length
 from sieveline.operators.storage import numbered, stored
 
@@ -93,26 +94,6 @@ def star_edges(found: DataFrame, key: str) -> DataFrame:
     return once.join(least, "hash").where(F.col(key) != F.col("v")).select(F.col(key).alias("u"), "v").distinct()
 
 
-def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
-    """(node, component): least node reachable, by label propagation with pointer jumping.
-
-    Every round is written to the folder that the cluster shares.
-    """
-    both = stored(edges.select("u", "v").union(edges.select("v", "u")).distinct())
-    labels = both.groupBy(F.col("u").alias("node")).agg(F.least(F.col("u"), F.min("v")).alias("component"))
-    for _ in range(rounds):
-        near = both.join(labels, both["v"] == labels["node"]).groupBy(F.col("u").alias("node")).agg(F.min("component").alias("__near"))
-        lower = labels.join(near, "node").select("node", F.least("component", "__near").alias("__low"), F.col("component").alias("__old"))
-        jump = labels.select(F.col("node").alias("__low"), F.col("component").alias("__jump"))
-        moved = lower.join(jump, "__low").select("node", F.least("__low", "__jump").alias("component"), "__old")
-        moved = stored(moved)
-        changed = moved.where(F.col("component") != F.col("__old")).limit(1).count()
-        labels = moved.select("node", "component")
-        if not changed:
-            return labels
-    raise RuntimeError(f"components did not settle within {rounds} rounds")
-
-
 def clone_groups(found: DataFrame, key: str) -> DataFrame:
     """(group_id, root, member, n_members, n_windows): connected texts, a row for each, largest group first.
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from sieveline.functions import policy
 from sieveline.functions import text as T
 from sieveline.operators import clones, lines
+from sieveline.operators.components import components
 from sieveline.operators.storage import stored
 from sieveline.plans.registry import query, read
 
@@ -176,7 +177,7 @@ _COMPONENTS = _PAIRS.replace("pairs AS (", "star AS (SELECT hash, min(doc_id) AS
 @query(f"WITH RECURSIVE {_COMPONENTS} SELECT node AS doc_id, component FROM comp")
 def q_clone_components(spark, sf_dir):
     """Smallest document connected through shared windows."""
-    return clones.components(clones.star_edges(_windows(spark, sf_dir), "doc_id")).select(F.col("node").alias("doc_id"), "component")
+    return components(clones.star_edges(_windows(spark, sf_dir), "doc_id")).select(F.col("node").alias("doc_id"), "component")
 
 
 @query(f"""WITH RECURSIVE {_COMPONENTS}, repeated AS (SELECT hash FROM windows GROUP BY hash HAVING count(DISTINCT doc_id) > 1

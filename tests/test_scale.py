@@ -9,6 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from sieveline.operators import automaton, chunks, clones, intervals, lines, nesting, repeats, scans, structure
+from sieveline.operators.components import components
 from sieveline.operators.storage import release, stored
 
 
@@ -224,3 +225,25 @@ def test_released_tables_are_gone(spark):
     release(df, None, spark.range(2))
     with pytest.raises(FileNotFoundError):
         open(path)
+
+
+def test_components(spark):
+    rng = random.Random(3)
+    links = [(i, i + 1) for i in range(60)] + [(200, i) for i in range(201, 260)] + [(rng.randrange(300, 340), rng.randrange(300, 340)) for _ in range(25)] + [(500, 500), (7, 7), (3, 2)]
+    root = {x: x for e in links for x in e}
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for a, b in links:
+        a, b = find(a), find(b)
+        root[max(a, b)] = min(a, b)
+    want = sorted((x, find(x)) for x in root)
+    edges = spark.createDataFrame(links, "u long, v long")
+    assert sorted(map(tuple, components(edges).collect())) == want
+    pair = lambda c: F.struct((F.col(c) % 1000).alias("key"), F.lit("x").alias("name"))
+    named = components(edges.select(pair("u").alias("u"), pair("v").alias("v"))).select("node.key", "component.key").collect()
+    assert sorted(map(tuple, named)) == want
+    assert components(edges.limit(0)).collect() == []

@@ -22,7 +22,7 @@ from __future__ import annotations
 import bisect
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from sieveline.operators.storage import numbered, release, stored
@@ -174,13 +174,16 @@ def aligned(pairs: DataFrame) -> DataFrame:
     """Of the anchors of each pair of texts the chain with most lines: one-to-one and not crossing.
 
     A pair's anchors, three numbers each, are all that its task holds; no lines travel.
+    Pairs with a single anchor, by far the most, never leave the JVM.
     """
+    counted = stored(pairs.withColumn("__n", F.count("*").over(Window.partitionBy("a", "b"))))
+    alone, several = (counted.where(test).drop("__n") for test in ("__n = 1", "__n > 1"))
 
     def chain(pdf: pd.DataFrame) -> pd.DataFrame:
         rows = list(zip(pdf["a_pos"], pdf["b_pos"], pdf["length"]))
         return pdf.iloc[best_chain(rows)]
 
-    return pairs.groupBy("a", "b").applyInPandas(chain, pairs.schema)
+    return alone.unionByName(several.groupBy("a", "b").applyInPandas(chain, pairs.schema))
 
 
 def with_lines(blocks: DataFrame, windows: DataFrame, key: str, size: int) -> DataFrame:

@@ -203,17 +203,20 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int, scale: float = 1.0, id
     """(query_id, rank, vec_id, score) of the k best ``vectors`` for each of ``queries``."""
     spark = vectors.sparkSession
     small_batches(spark)
-    groups = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
 
     def rows(df):
         return df.select(F.col(quoted(id_col)).cast("long").alias("id"), F.col(quoted(vector_col)).cast("array<double>").alias("vector")).where(F.col("id").isNotNull() & usable(F.col("vector")))
 
+    # No more groups than shards: each group has a copy of every block.
+    held = rows(vectors).agg(F.coalesce(F.sum(F.size("vector").cast("long")), F.lit(0))).first()[0]
+    groups = max(1, min(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-held // shard_values)))
     asked = rows(queries).groupBy("id").agg(F.min("vector").alias("vector"))
     blocks = packed(asked.repartition(max(1, -(-asked.count() // 512))), scale, shard_values // 2)
     blocks = blocks.select("dim", F.explode(F.sequence(F.lit(0), F.lit(groups - 1))).alias("grp"), F.col("ids").alias("query_ids"), F.col("matrix").alias("queries"))
     shards = packed(rows(vectors), scale, shard_values).withColumn("grp", F.pmod("part", F.lit(groups)).cast("int"))
     # Blocks on the left: all shards of a group follow each other for one block.
-    met = blocks.join(shards, ["dim", "grp"]).select("dim", "ids", "matrix", "query_ids", "queries")
+    # Merged by name: estimates do not know how many copies of a block there are, and would broadcast them all.
+    met = blocks.hint("merge").join(shards, ["dim", "grp"]).select("dim", "ids", "matrix", "query_ids", "queries")
 
     def run(batches):
         block, bars = None, {}

@@ -40,6 +40,16 @@ def test_topk_against_all_pairs(spark):
     assert topk.top_k(df.limit(0), queries.limit(0), 5).count() == 0
 
 
+def test_topk_blocks_are_not_broadcast(spark):
+    """Copies of query blocks, one for each group, once were broadcast through the driver whole."""
+    x = np.random.default_rng(5).normal(size=(600, 8))
+    df = spark.createDataFrame([(i, v) for i, v in enumerate(x.tolist())], "vec_id long, embedding array<double>")
+    found = topk.top_k(df, df.where("vec_id % 50 = 0"), 5, scale=256.0, shard_values=800)
+    assert len(found.collect()) == 60
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastExchange" not in plan and "SortMergeJoin" in plan
+
+
 def test_lists_stop_early_and_stay_exact():
     pick = np.random.default_rng(3)
     x = np.floor(pick.normal(0, 5, (4000, 4)))

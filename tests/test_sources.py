@@ -227,6 +227,30 @@ def test_clone_report(spark):
     assert len(found) == 3 and all(r["snippet"].startswith("def a(b):") for r in found)
 
 
+def test_copies_are_rows_and_not_pairs(spark):
+    whole, grown = body("abcd"), body("abcd").replace("    print", "    extra = [1]\n    print")
+    named = [(f"a{k}.py", whole + "x = 1\n" + body("efgh")) for k in range(9)] + [(f"b{k}.py", grown) for k in range(3)] + [("c.py", "\n" + whole), ("d.py", "y = 2\n")]
+    files = spark.createDataFrame(named, "path string, text string")
+    code = clones.code_lines(files, "path")
+    found = clones.windows(code, "path")
+    every = clones.unsubsumed(clones.matched_blocks(code, clones.candidate_pairs(found, "path"), "path"))
+    rows = clones.clone_blocks(files, "path").collect()
+    assert sum(r["copy"] for r in rows) == 10 and len({(r["a"], r["b"]) for r in rows if not r["copy"]}) == 3
+    members = {r["a"]: [r["a"]] for r in rows}
+    members |= {r["b"]: [r["b"]] for r in rows if not r["copy"] and r["b"] not in members}
+    for r in rows:
+        members[r["a"]] += [r["b"]] if r["copy"] else []
+    expanded = set()
+    for r in rows:
+        a_s, b_s = (members[r["a"]], members[r["a"]]) if r["copy"] else (members[r["a"]], members[r["b"]])
+        for a, b in ((a, b) for a in a_s for b in b_s if a != b):
+            a_place, b_place = (a, r["a_start"], r["a_end"]), (b, r["b_start"], r["b_end"])
+            expanded.add((*min(a_place, b_place), *max(a_place, b_place), r["length"]))
+    assert expanded == {(r["a"], r["a_start"], r["a_end"], r["b"], r["b_start"], r["b_end"], r["length"]) for r in every.collect()}
+    by_pairs = clones.interval_groups(every.unionByName(clones.unsubsumed(clones.self_matches(code, found, "path"))))
+    assert sorted(clones.clone_report(files, "path").collect()) == sorted(by_pairs.collect())
+
+
 def test_inserted_line(spark):
     whole = body("abcd")
     lines_ = whole.splitlines(keepends=True)

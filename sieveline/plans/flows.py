@@ -59,13 +59,16 @@ def q_stream_runs(spark, sf_dir):
   count(*) FILTER (l_quantity > 0 AND l_returnflag = 'N') AS covered, count(*) FILTER (l_returnflag = 'R') AS miss FROM lineitem
   GROUP BY l_suppkey HAVING count(*) FILTER (l_returnflag = 'R' OR l_quantity > 0 AND l_returnflag = 'N') > 0""")
 def q_gcov_source(spark, sf_dir):
-    """Order lines written as coverage reports in files and read by the data source."""
+    """Order lines written as coverage reports, many to a file, and read by the data source."""
     items = read(spark, sf_dir, "lineitem", "l_suppkey", "l_orderkey", "l_linenumber", "l_returnflag", "l_quantity")
     count = F.when(F.col("l_returnflag") == "R", "#####").when(F.col("l_returnflag") == "A", "-").otherwise(F.col("l_quantity").cast("int").cast("string"))
     line = F.format_string("%9s:%5d:code", count, F.col("l_orderkey") * 10 + F.col("l_linenumber"))
     folder = f"{shared_folder(spark)}/gcov-{uuid.uuid4().hex}"
-    items.select("l_suppkey", line.alias("value")).repartition("l_suppkey").write.partitionBy("l_suppkey").text(folder)
+    heads = items.select("l_suppkey").distinct().select("l_suppkey", F.lit(0).alias("at"), F.format_string("%9s:%5d:Source:%d", F.lit("-"), F.lit(0), "l_suppkey").alias("value"))
+    # Files are as many as tasks: one for each supplier would cost more than its lines.
+    reports = items.select("l_suppkey", F.lit(1).alias("at"), line.alias("value")).unionByName(heads)
+    reports.repartition("l_suppkey").sortWithinPartitions("l_suppkey", "at").select("value").write.text(folder)
     gcov.register(spark)
     rows = spark.read.format("gcov").load(folder).where("hit or missed")
-    by = F.regexp_extract("path", "l_suppkey=([0-9]+)/", 1).cast("long").alias("l_suppkey")
+    by = F.col("source").try_cast("long").alias("l_suppkey")
     return rows.groupBy(by).agg(F.count("*").alias("stmts"), F.count_if("hit").alias("covered"), F.count_if("missed").alias("miss"))

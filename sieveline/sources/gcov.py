@@ -1,13 +1,14 @@
 """Coverage reports as a Spark data source: ``spark.read.format("gcov").load(folder)``.
 
-Rows are (path, line_no, number, hit, missed): a line of a report that counts executions,
-its place in the report, its source line, and whether it ran. Reports are planned into
+Rows are (path, line_no, number, hit, missed, source): a line of a report that counts
+executions, its place in the file, its source line, whether it ran, and the name in the
+last ``Source:`` line above it, as a file may hold many reports one after the other. Reports are planned into
 partitions by size, and filters on ``path`` are decided while planning, so reports that
 they leave out are never opened. Folders may be anywhere that Arrow's file systems reach.
 
 Edge cases: hidden files and those beginning with an underscore are no reports; lines that
 are none of gcov's, branches and lines that no count belongs to give no rows; an empty
-folder gives none; text that is no UTF-8 is replaced.
+folder gives none; ``source`` is null above the first ``Source:`` line of a file; text that is no UTF-8 is replaced.
 """
 
 from __future__ import annotations
@@ -21,10 +22,12 @@ from pyarrow import fs
 from pyspark.sql import SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceReader, EqualTo, Filter, In, InputPartition, StringContains, StringEndsWith, StringStartsWith
 
-SCHEMA = "path string, line_no long, number long, hit boolean, missed boolean"
+SCHEMA = "path string, line_no long, number long, hit boolean, missed boolean, source string"
+SCHEMA_NAMES = [field.split()[0] for field in SCHEMA.split(", ")]
 PARTITION_BYTES = 64 << 20
 LINES = 10_000
 _COUNTED = re.compile(r"\s*([^\s:-][^:]*):\s*(\d+)\s*:")
+_SOURCE = re.compile(r"\s*-:\s*0:Source:(.*)")
 _TIMES = re.compile(r"(\d+)\**")
 
 #: How a filter on ``path`` is decided.
@@ -86,11 +89,14 @@ class GcovReader(DataSourceReader):
         store, _ = fs.FileSystem.from_uri(self.folder)
         for path in partition.paths:
             rows: list[tuple] = []
+            source = None
             with store.open_input_stream(path) as raw:
                 for n, line in enumerate(io.TextIOWrapper(io.BufferedReader(raw), "utf-8", "replace"), 1):
                     found = parsed(line)
                     if found:
-                        rows.append((n, *found))
+                        rows.append((n, *found, source))
+                    elif named := _SOURCE.match(line):
+                        source = named[1].rstrip()
                     if len(rows) == LINES:
                         yield batch(path, rows)
                         rows = []
@@ -99,8 +105,8 @@ class GcovReader(DataSourceReader):
 
 
 def batch(path: str, rows: list[tuple]) -> pa.RecordBatch:
-    line_no, number, hit, missed = zip(*rows)
-    return pa.RecordBatch.from_arrays([pa.array([path] * len(rows)), pa.array(line_no, pa.int64()), pa.array(number, pa.int64()), pa.array(hit, pa.bool_()), pa.array(missed, pa.bool_())], ["path", "line_no", "number", "hit", "missed"])
+    line_no, number, hit, missed, source = zip(*rows)
+    return pa.RecordBatch.from_arrays([pa.array([path] * len(rows)), pa.array(line_no, pa.int64()), pa.array(number, pa.int64()), pa.array(hit, pa.bool_()), pa.array(missed, pa.bool_()), pa.array(source, pa.string())], SCHEMA_NAMES)
 
 
 class GcovSource(DataSource):

@@ -1,13 +1,15 @@
 """Reports in ordered files and tool output over streams."""
 
 import json
+from pathlib import Path
 
 from conftest import SF
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import GreaterThan, StringEndsWith
 
 from sieveline.operators import checks, sharded
-from sieveline.plans import reporting
+from sieveline.operators.storage import shared_folder
+from sieveline.plans import flows, reporting
 from sieveline.sources import gcov, logs
 from sieveline.streaming import runs
 
@@ -77,6 +79,20 @@ def test_gcov_source(spark, tmp_path):
     assert spark.read.format("gcov").load(f"file://{tmp_path}/none").collect() == []
 
 
+def test_gcov_many_reports_in_a_file(spark, tmp_path):
+    (tmp_path / "all.gcov").write_text("        1:    9:x\n        -:    0:Source:a b.c\n        1:    1:x\n        -:    0:Graph:a.gcno\n    #####:    2:y\n        -:    0:Source:b.c\n        -:    1:z\n        4:    2:y\n")
+    gcov.register(spark)
+    rows = spark.read.format("gcov").load(f"file://{tmp_path}").collect()
+    assert [(r["source"], r["number"], r["missed"]) for r in rows] == [(None, 9, False), ("a b.c", 1, False), ("a b.c", 2, True), ("b.c", 2, False)]
+
+
+def test_gcov_query_writes_few_files(spark):
+    before = set(Path(shared_folder(spark).removeprefix("file://")).glob("gcov-*"))
+    assert flows.q_gcov_source(spark, SF).count() > 4
+    (made,) = set(Path(shared_folder(spark).removeprefix("file://")).glob("gcov-*")) - before
+    assert len(list(made.rglob("part-*"))) <= 4
+
+
 def test_gcov_filters_leave_files_closed(spark, tmp_path):
     for name in ("a", "b", "c"):
         (tmp_path / f"{name}.gcov").write_text("        1:    1:x\n" * 3)

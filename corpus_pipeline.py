@@ -26,7 +26,7 @@ def exact_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of documents linked by an exact Jaccard similarity of 0.8 over five-word shingles, the row with the smallest doc_id stays.
 
-    Candidates share a key of minima of their shingles; a wide SimHash prunes them before they are compared.
+    Candidates share a segment of a long SimHash; its chains and all of its bits prune them before they are compared.
     """
     return simhash_wide.drop_similar(docs)
 

@@ -1,23 +1,31 @@
-"""SimHash near-duplicates by similarity: candidates by shared shingles, pruned by SimHash, decided exactly.
+"""SimHash near-duplicates by similarity: candidates by pigeonring over long fingerprints, decided exactly.
 
 Documents link when the Jaccard similarity of their sets of distinct
 ``words_per_shingle``-word shingles is at least ``similarity``, whatever the edit:
-words replaced, passages appended, inserted or removed. Candidates come from the
-shingles: ``bands`` keys, each of ``band_rows`` minima of the set under one
-multiplier. A pair at the similarity shares none of them with probability
-``(1 - similarity ** band_rows) ** bands``, 3 in a million with the defaults, and
-less above it. Within a key a pair is compared when its 256-bit SimHash over
-shingles is within ``pruning_bits``, seven deviations beyond what the similarity
-lets expect; the exact sets then decide, so no pair below the similarity links.
-
-Equal sets are one node, by a digest of 128 bits. Of keys with the same members
-one is compared. A key's members are cut into blocks of bounded rows and shingles,
-and each block is searched breadth first: a member gets one edge to the least
-member of its component there. Where a key has several blocks, members that the
-edges of all keys have not joined to the key's largest component by then, and only
-these, are compared with the members of every block. So the work on a key with any
+words replaced, passages appended, inserted or removed. Candidates come from
+SimHash: a bit is the sign of the set's projection on one direction of a
+pseudo-random rotation, so two sets differ in a share of the bits that only their
+angle fixes, whatever their sizes. The bits form a ring of segments (`Ring`). A
+pair is a candidate where a segment agrees, the chain of bits that follows it in
+the ring differs in no more than its budget, and then the whole ring in no more
+than its own, seven deviations beyond what the similarity lets expect. There are
+so many segments that a pair at the similarity is missed with probability
+``missed``, and less above it. The exact sets then decide, so no pair below the
+similarity links.
+
+Equal sets are one node, by a digest of 128 bits. The ring is searched in
+rounds, a few segments first: what they link is one component in the next
+round, which meets only pairs of different components. Each segment's rows are
+packed, sorted and compared in parts of bounded rows, for a segment is as long as
+the number of documents is (in bits) and so is shared by few of them by chance.
+Where a pair has a member with a second pair in the segment, or a value has more than
+``crowd`` members outside its largest component, the value is crowded: these members are cut into blocks of bounded rows and shingles,
+and in each block the members outside its largest component are compared with those
+of other components, which join as soon as a link is found. Where a value has several blocks, members that the
+edges of all values have not joined to its largest component by then, and only
+these, are compared with the members of every block. So the work on any
 number of near copies of one text is linear in them, and no link's effect is lost.
-Sets are made again from the texts, for documents that share a key only.
+Sets are made again from the texts, for candidates only.
 
 Edge cases: null, empty and blank texts count as one text; texts shorter than a
 shingle link only to the same words; repeated rows are one node; a null id is
@@ -43,6 +51,9 @@ from sieveline.llm.simhash import SEED
 
 LANES = 4
 BITS = 64 * LANES
+WORD = 64
+ROUNDS = [16, 48, 144]
+PART_ROWS = 1 << 19
 SHINGLE_FP = [f"s{k}" for k in range(LANES)]
 _SET = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1, bitorder="little").astype(np.int64)
 _PLACES = np.arange(8 * LANES, dtype=np.int64) * 256
@@ -51,14 +62,14 @@ _STEPS = [np.uint64(0x9E3779B97F4A7C15 * k & 0xFFFFFFFFFFFFFFFF) for k in range(
 
 @dataclass(frozen=True)
 class Settings:
-    """``similarity`` is Jaccard's, of sets of shingles."""
+    """``similarity`` is Jaccard's, of sets of shingles; ``missed`` is the chance that a pair at it is no candidate."""
 
     similarity: float = 0.8
     words_per_shingle: int = 5
     block_rows: int = 2048
-    bands: int = 32
-    band_rows: int = 5
     block_shingles: int = 4 << 20
+    missed: float = 1e-6
+    crowd: int = 32
 
     @property
     def pruning_bits(self) -> int:
@@ -67,6 +78,72 @@ class Settings:
         return math.floor(BITS * p + 7 * math.sqrt(BITS * p * (1 - p)))
 
 
+@dataclass(frozen=True)
+class Ring:
+    """``segments`` of ``width`` bits, and the most bits that differ in a chain behind a segment and in all of them.
+
+    A chain is what follows a segment up to ``WORD`` bits in all. The bits are the
+    first of a rotation in ``size`` dimensions.
+    """
+
+    width: int
+    segments: int
+    chain: int
+    whole: int
+    size: int
+
+    @property
+    def bits(self) -> int:
+        return self.width * self.segments
+
+
+def ring_of(documents: int, settings: Settings) -> Ring:
+    """The ring for a number of documents: segments as long as the number, and enough of them."""
+    width = min(32, max(14, documents.bit_length()))
+    rest = WORD - width
+    angle, size = math.acos(2 * settings.similarity / (1 + settings.similarity)), 4096
+    while True:
+        # Shingles that fall on one dimension turn the angle; four deviations of that.
+        p = (angle + 4 * math.sin(angle) / math.sqrt(size)) / math.pi
+        within = np.cumsum([math.comb(rest, k) * p**k * (1 - p) ** (rest - k) for k in range(rest + 1)])
+        chain = int(np.argmax(within >= 0.98))
+        met = min((1 - p) ** width * float(within[chain]), 0.999)
+        segments = 8 * math.ceil(math.log(settings.missed) / math.log1p(-met) / 8)
+        if segments * width <= size:
+            bits = segments * width
+            return Ring(width, segments, chain, math.floor(bits * p + 7 * math.sqrt(bits * p * (1 - p))), size)
+        size *= 2
+
+
+def _hadamard(n: int) -> np.ndarray:
+    out = np.ones((1, 1), np.float32)
+    while len(out) < n:
+        out = np.block([[out, out], [out, -out]])
+    return out
+
+
+def ring_bits(sets: list[np.ndarray], ring: Ring) -> np.ndarray:
+    """The ring's bits of each set, packed: signs of its shingles' sum after a rotation.
+
+    A shingle is a signed unit vector of a dimension that its hash names; the
+    rotation is a Walsh-Hadamard transform, random signs and another transform.
+    """
+    low = 1 << (ring.size.bit_length() - 1) // 2
+    left, right = _hadamard(ring.size // low), _hadamard(low)
+    signs = np.random.default_rng(SEED).choice(np.array([-1, 1], np.float32), ring.size)
+    out = np.empty((len(sets), ring.bits // 8), np.uint8)
+    for at in range(0, len(sets), 64):
+        part = sets[at : at + 64]
+        hashes = np.concatenate(part)
+        places = np.repeat(np.arange(len(part)) * ring.size, [len(x) for x in part]) + ((hashes >> np.uint64(1)) & np.uint64(ring.size - 1)).astype(np.int64)
+        sums = np.bincount(places, 1.0 - 2.0 * (hashes & np.uint64(1)), len(part) * ring.size).astype(np.float32)
+        for turn in (signs, np.float32(1)):
+            sums = left @ sums.reshape(-1, len(left), low) @ right
+            sums = sums.reshape(-1, ring.size) * turn
+        out[at : at + 64] = np.packbits(sums[:, : ring.bits] > 0, axis=1, bitorder="little")
+    return out
+
+
 def _mixed(h: np.ndarray) -> np.ndarray:
     """More hashes from each: rows of ``LANES`` independent 64-bit values."""
     out = np.empty((len(h), LANES), np.uint64)
@@ -101,38 +178,22 @@ def shingle_hashes(text: str, words_per_shingle: int) -> np.ndarray:
     return np.unique(np.fromiter((xxhash.xxh64_intdigest(joined[a:b], SEED) for a, b in spans), np.uint64, n))
 
 
-def band_keys(shingles: np.ndarray, settings: Settings) -> np.ndarray:
-    """One key for each band: its number and minima of the set, mixed."""
-    n = settings.bands * settings.band_rows
-    factors = np.random.default_rng(SEED).integers(0, 1 << 63, n, np.uint64) * np.uint64(2) + np.uint64(1)
-    least = np.full(n, 0xFFFFFFFFFFFFFFFF, np.uint64)
-    for at in range(0, len(shingles), 512):
-        np.minimum(least, (shingles[at : at + 512, None] * factors).min(axis=0), out=least)
-    keys = np.arange(settings.bands, dtype=np.uint64)
-    for minima in least.reshape(settings.bands, settings.band_rows).T:
-        keys = (keys ^ minima) * np.uint64(0xBF58476D1CE4E5B9)
-        keys ^= keys >> np.uint64(29)
-    return keys
-
-
-def sketches(rows: DataFrame, settings: Settings) -> DataFrame:
-    """All columns but the last, which is the text, with the set's digest (d0, d1), its size, and its keys. Narrow."""
+def sketches(rows: DataFrame, ring: Ring, settings: Settings) -> DataFrame:
+    """All columns but the last, which is the text, with the set's digest (d0, d1), its size, and its ring's bits. Narrow."""
     small_batches(rows.sparkSession)
     width = len(rows.columns) - 1
-    names = [*rows.columns[:width], "d0", "d1", "size", "keys"]
-    schema = ", ".join(f"{n} {t}" for n, t in rows.dtypes[:width]) + ", d0 long, d1 long, size long, keys array<long>"
+    names = [*rows.columns[:width], "d0", "d1", "size", "bits"]
+    schema = ", ".join(f"{n} {t}" for n, t in rows.dtypes[:width]) + ", d0 long, d1 long, size long, bits binary"
 
     def run(batches):
         for batch in batches:
-            longs, keys = [], []
-            for text in batch.column(width):
-                found = shingle_hashes(text.as_py(), settings.words_per_shingle)
-                longs.append((*np.frombuffer(xxhash.xxh3_128_digest(found.tobytes()), np.int64), len(found)))
-                keys.append(band_keys(found, settings))
+            longs, bits = [], []
+            for at in range(0, batch.num_rows, 64):
+                sets = [shingle_hashes(t.as_py(), settings.words_per_shingle) for t in batch.column(width).slice(at, 64)]
+                longs.extend((*np.frombuffer(xxhash.xxh3_128_digest(x.tobytes()), np.int64), len(x)) for x in sets)
+                bits.extend(x.tobytes() for x in ring_bits(sets, ring))
             columns = np.array(longs, np.int64).reshape(-1, 3)
-            flat = pa.array(np.concatenate(keys).view(np.int64) if keys else np.empty(0, np.int64))
-            listed = pa.ListArray.from_arrays(pa.array(np.arange(len(keys) + 1, dtype=np.int32) * settings.bands), flat)
-            yield pa.RecordBatch.from_arrays([*batch.columns[:width], *[pa.array(columns[:, k]) for k in range(3)], listed], names)
+            yield pa.RecordBatch.from_arrays([*batch.columns[:width], *[pa.array(columns[:, k]) for k in range(3)], pa.array(bits, pa.binary())], names)
 
     return rows.mapInArrow(run, schema)
 
@@ -181,19 +242,17 @@ class Sets:
 
 
 def verified_links(rows: pd.DataFrame, settings: Settings) -> np.ndarray:
-    """(node, least node of its component) among rows, by exact similarity of their sets."""
-    sets = Sets(rows.drop_duplicates("node").sort_values("node"), settings)
-    n = len(sets.nodes)
-    root, waiting = np.arange(n), np.ones(n, bool)
-    for seed in range(n):
-        queue = [seed] if waiting[seed] else []
-        waiting[seed] = False
-        while queue:
-            found = sets.similar(queue.pop(), np.flatnonzero(waiting))
-            waiting[found], root[found] = False, seed
-            queue.extend(found.tolist())
-    moved = root != np.arange(n)
-    return np.stack([sets.nodes[moved], sets.nodes[root[moved]]], axis=1)
+    """(node, node) that join the components among rows beyond their roots, by exact similarity of their sets."""
+    rows = rows.drop_duplicates("node").sort_values("node")
+    sets = Sets(rows, settings)
+    _, label = np.unique(rows["root"].to_numpy(), return_inverse=True)
+    out = []
+    for k in np.flatnonzero(label != np.argmax(np.bincount(label))):
+        found = sets.similar(k, np.flatnonzero(label != label[k]))
+        joined, first = np.unique(label[found], return_index=True)
+        out.extend((sets.nodes[k], sets.nodes[f]) for f in found[first])
+        label[np.isin(label, joined)] = label[k]
+    return np.array(out, np.int64).reshape(-1, 2)
 
 
 def probed_links(rows: pd.DataFrame, settings: Settings) -> np.ndarray:
@@ -215,20 +274,16 @@ def _dealt(blocks: str):
     return F.pmod(F.xxhash64("node"), F.col(blocks)).cast("int")
 
 
-def similar_links(nodes: DataFrame, docs: DataFrame, settings: Settings) -> DataFrame:
-    """Edges (u, v) with the components of all pairs at or above the similarity.
+def crowded_links(keyed: DataFrame, sets: DataFrame, settings: Settings) -> DataFrame:
+    """Edges (u, v) with the components of all similar pairs among the members of a key.
 
-    ``nodes`` has node, size, keys and the ``ROW_KEY`` of one of its rows in ``docs``,
-    which has the text.
+    ``keyed`` has node, size, key and root, which similar nodes may have in common.
     """
-    keyed = nodes.select("node", "size", F.explode("keys").alias("key"))
     members = [F.bit_xor(F.xxhash64("node", F.lit(k))).alias(f"m{k}") for k in range(2)]
     met = keyed.groupBy("key").agg(F.count("*").alias("n"), F.sum("size").alias("total"), *members).where("n > 1")
     once = met.groupBy("n", "total", "m0", "m1").agg(F.min("key").alias("key"))
     groups = persist(once.select("key", _blocks_of("n", "total", settings).alias("blocks")), "shared-keys")
-    shared = persist(keyed.join(groups, "key").select("node", "size", "key", "blocks", _dealt("blocks").alias("block")), "shared-members")
-    wanted = nodes.join(shared.select("node").distinct(), "node", "left_semi").select("node", *ROW_KEY)
-    sets = persist(shingle_sets(docs.join(wanted, ROW_KEY), settings), "shingle-sets")
+    shared = persist(keyed.join(groups, "key").select("node", "size", "root", "key", "blocks", _dealt("blocks").alias("block")), "shared-members")
 
     def compare(rows: pd.DataFrame) -> pd.DataFrame:
         return pd.DataFrame(verified_links(rows, settings), columns=["u", "v"])
@@ -236,12 +291,12 @@ def similar_links(nodes: DataFrame, docs: DataFrame, settings: Settings) -> Data
     def probe(rows: pd.DataFrame) -> pd.DataFrame:
         return pd.DataFrame(probed_links(rows, settings), columns=["u", "v"])
 
-    within = shared.select("node", "key", "block").join(sets, "node").groupBy("key", "block").applyInPandas(compare, "u long, v long")
+    within = shared.select("node", "root", "key", "block").join(sets, "node").groupBy("key", "block").applyInPandas(compare, "u long, v long")
     within = persist(within, "block-links")
     if groups.where("blocks > 1").isEmpty():
         return within
-    roots = connected_components(within)
-    hot = shared.where("blocks > 1").join(roots, "node", "left").select("node", "size", "key", "blocks", "block", F.coalesce("root", "node").alias("root"))
+    roots = connected_components(within.union(shared.select(F.col("node").alias("u"), F.col("root").alias("v"))))
+    hot = shared.where("blocks > 1").drop("root").join(roots, "node", "left").select("node", "size", "key", "blocks", "block", F.coalesce("root", "node").alias("root"))
     hot = persist(hot, "crowded-members")
     parts = hot.groupBy("key", "root").agg(F.count("*").alias("n"))
     bulk = persist(parts.groupBy("key").agg(F.max(F.struct("n", "root"))["root"].alias("bulk")), "largest-components")
@@ -255,14 +310,162 @@ def similar_links(nodes: DataFrame, docs: DataFrame, settings: Settings) -> Data
     return within.union(between)
 
 
+def _bit_rows(column: pa.Array) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), np.uint8).reshape(len(column), -1)
+
+
+def packed_segments(nodes: DataFrame, first: int, last: int, parts: int, ring: Ring) -> DataFrame:
+    """(slot, nodes, roots, words): for each segment of a batch of rows (node, root, bits) its part's rows, packed. Narrow.
+
+    A word is a segment and the chain behind it; nodes are differences to the one
+    before and roots to the node, which compress.
+    """
+    small_batches(nodes.sparkSession)
+    names = ["slot", "nodes", "roots", "words"]
+
+    def run(batches):
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            own, roots = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+            bits = _bit_rows(batch.column(2))
+            around = np.concatenate([bits, bits[:, : WORD // 8 + 1]], axis=1)
+            for at in range(first, last, 16):
+                out = []
+                for segment in range(at, min(at + 16, last)):
+                    byte, shift = divmod(segment * ring.width, 8)
+                    words = np.ascontiguousarray(around[:, byte : byte + 8]).view("<u8")[:, 0]
+                    if shift:
+                        words = (words >> np.uint64(shift)) | (around[:, byte + 8].astype(np.uint64) << np.uint64(WORD - shift))
+                    part = words & np.uint64(parts - 1)
+                    for k in range(parts):
+                        at_part = np.flatnonzero(part == k)
+                        n = own[at_part]
+                        out.append((segment * parts + k, np.diff(n, prepend=0).tobytes(), (roots[at_part] - n).tobytes(), words[at_part].tobytes()))
+                yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out), (pa.int64(), *[pa.binary()] * 3))], names)
+
+    return nodes.select("node", "root", "bits").mapInArrow(run, "slot long, nodes binary, roots binary, words binary")
+
+
+def meetings(rows: pd.DataFrame, ring: Ring, settings: Settings, most: int | None = None) -> pd.DataFrame:
+    """(key, u, v) of a slot: pairs that share the segment and whose chains differ within budget; members u of a crowded segment, with -1 as v.
+
+    Only nodes of different roots meet. Where one of a pair is in more than ``most``
+    pairs (``crowd`` by default), both are members of their segment instead.
+    """
+    most = settings.crowd if most is None else most
+    slot = int(rows["slot"].iloc[0])
+    nodes = np.concatenate([np.cumsum(np.frombuffer(x, np.int64)) for x in rows["nodes"]])
+    roots = nodes + np.concatenate([np.frombuffer(x, np.int64) for x in rows["roots"]])
+    words = np.concatenate([np.frombuffer(x, "<u8") for x in rows["words"]])
+    segment = words & np.uint64((1 << ring.width) - 1)
+    order = np.argsort(segment)
+    segment, nodes, roots, words = segment[order], nodes[order], roots[order], words[order] >> np.uint64(ring.width)
+    starts = np.flatnonzero(np.r_[True, segment[1:] != segment[:-1]][: len(segment)])
+    counts = np.diff(np.r_[starts, len(segment)])
+
+    pairs, members = [np.empty((0, 2), np.int64)], [np.empty((0, 2), np.int64)]
+
+    def meet(a, b):
+        near = (np.bitwise_count(words[a] ^ words[b]) <= ring.chain) & (roots[a] != roots[b])
+        pairs.append(np.stack([a[near], b[near]], axis=1))
+
+    run = np.repeat(np.where(counts <= settings.crowd, np.arange(len(counts)), -1), counts)
+    at = np.flatnonzero(run >= 0)
+    for step in range(1, settings.crowd):
+        at = at[at + step < len(run)]
+        at = at[run[at] == run[at + step]]
+        if not len(at):
+            break
+        meet(at, at + step)
+    for start, count in zip(starts[counts > settings.crowd], counts[counts > settings.crowd]):
+        among, sizes = np.unique(roots[start : start + count], return_counts=True)
+        if len(among) == 1:
+            continue
+        outside = start + np.flatnonzero(roots[start : start + count] != among[np.argmax(sizes)])
+        if len(outside) <= settings.crowd:
+            for k in outside:
+                others = np.arange(start, start + count)
+                # Two outsiders meet once.
+                others = others[(others > k) | ~np.isin(others, outside)]
+                meet(np.full(len(others), k), others)
+        else:
+            members.append(np.stack([np.full(count, slot << 32 | int(segment[start])), nodes[start : start + count]], axis=1))
+    pairs = np.concatenate(pairs)
+    many = (np.bincount(pairs.ravel(), minlength=len(nodes))[pairs] > most).any(axis=1)
+    crowded = np.unique(pairs[many])
+    members.append(np.stack([slot << 32 | segment[crowded].astype(np.int64), nodes[crowded]], axis=1))
+    pairs, members = np.sort(nodes[pairs[~many]], axis=1), np.concatenate(members)
+    found = np.concatenate([np.insert(pairs, 0, 0, axis=1), np.insert(members, 2, -1, axis=1)])
+    return pd.DataFrame(found, columns=["key", "u", "v"])
+
+
+def near_pairs(pairs: DataFrame, nodes: DataFrame, ring: Ring) -> DataFrame:
+    """Those of the pairs (u, v) whose whole rings differ within budget."""
+
+    def run(batches):
+        for batch in batches:
+            differ = np.bitwise_count(_bit_rows(batch.column(2)) ^ _bit_rows(batch.column(3))).sum(axis=1, dtype=np.int64) if batch.num_rows else np.empty(0)
+            yield batch.select([0, 1]).filter(pa.array(differ <= ring.whole))
+
+    a, b = (nodes.select(F.col("node").alias(n), F.col("bits").alias(f"{n}_bits")) for n in "uv")
+    return pairs.join(a, "u").join(b, "v").select("u", "v", "u_bits", "v_bits").mapInArrow(run, "u long, v long")
+
+
+def similar_pairs(pairs: DataFrame, sets: DataFrame, settings: Settings) -> DataFrame:
+    """Those of the pairs (u, v) whose sets have the similarity."""
+
+    def run(batches):
+        for batch in batches:
+            similar = []
+            for a, b in zip(batch.column(2), batch.column(3)):
+                a, b = a.values.to_numpy(), b.values.to_numpy()
+                common = len(np.intersect1d(a, b, assume_unique=True))
+                similar.append(common / (len(a) + len(b) - common) >= settings.similarity)
+            yield batch.select([0, 1]).filter(pa.array(similar, pa.bool_()))
+
+    a, b = (sets.select(F.col("node").alias(n), F.col("shingles").alias(f"{n}_set")) for n in "uv")
+    return pairs.join(a, "u").join(b, "v").select("u", "v", "u_set", "v_set").mapInArrow(run, "u long, v long")
+
+
+def similar_roots(nodes: DataFrame, docs: DataFrame, ring: Ring, settings: Settings) -> DataFrame:
+    """(node, root) of the components of all pairs at or above the similarity, for nodes that have a link.
+
+    ``nodes`` has node, size, bits and the ``ROW_KEY`` of one of its rows in ``docs``,
+    which has the text.
+    """
+    parts = 1 << max(0, (nodes.count() - 1) // PART_ROWS).bit_length()
+
+    roots = None
+    ends = [0, *[n for n in ROUNDS if n < ring.segments], ring.segments]
+    for first, last in zip(ends, ends[1:]):
+        known = nodes.withColumn("root", F.col("node")) if roots is None else nodes.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+        slots = packed_segments(known, first, last, parts, ring).groupBy("slot")
+        met = persist(slots.applyInPandas(lambda rows: meetings(rows, ring, settings, 1), "key long, u long, v long"), "ring-meetings")
+        pairs = persist(near_pairs(met.where("v >= 0").select("u", "v").distinct(), nodes, ring), "near-pairs")
+        keyed = met.where("v < 0").select(F.col("u").alias("node"), "key")
+        wanted = pairs.select(F.explode(F.array("u", "v")).alias("node")).union(keyed.select("node")).distinct()
+        wanted = nodes.join(wanted, "node", "left_semi").select("node", *ROW_KEY)
+        sets = persist(shingle_sets(docs.join(wanted, ROW_KEY), settings), "shingle-sets")
+        links = similar_pairs(pairs, sets, settings)
+        if not keyed.isEmpty():
+            links = links.union(crowded_links(keyed.join(known.select("node", "size", "root"), "node"), sets, settings))
+        if roots is not None:
+            links = links.union(roots.select(F.col("node").alias("u"), F.col("root").alias("v")))
+        roots = connected_components(links)
+        release(met, pairs, sets)
+    return roots
+
+
 def _similar(rows: DataFrame, settings: Settings | None) -> DataFrame:
     """Columns of ``rows`` but the last, which is the text, and ``group``. ``rows`` has the row key."""
     settings = settings or Settings()
-    kept = persist(sketches(rows.select(*rows.columns[:-1], text_or_empty("text").alias("text")), settings), "sketches")
+    ring = ring_of(rows.count(), settings)
+    kept = persist(sketches(rows.select(*rows.columns[:-1], text_or_empty("text").alias("text")), ring, settings), "sketches")
     own = F.min(F.struct(*ROW_KEY)).alias("own")
-    same = kept.groupBy("d0", "d1").agg(own, F.first("size").alias("size"), F.first("keys").alias("keys"))
-    nodes = persist(same.select(F.monotonically_increasing_id().alias("node"), "d0", "d1", "size", "keys", "own.*"), "distinct-sets")
-    roots = connected_components(similar_links(nodes, rows.select(*ROW_KEY, text_or_empty("text").alias("text")), settings))
+    same = kept.groupBy("d0", "d1").agg(own, F.first("size").alias("size"), F.first("bits").alias("bits"))
+    nodes = persist(same.select(F.monotonically_increasing_id().alias("node"), "d0", "d1", "size", "bits", "own.*"), "distinct-sets")
+    roots = similar_roots(nodes, rows.select(*ROW_KEY, text_or_empty("text").alias("text")), ring, settings)
     # Written first: a join of two plain scans is one that adaptive execution splits where a text is hot.
     grouped = persist(nodes.join(roots, "node", "left").select("d0", "d1", F.coalesce("root", "node").alias("group")), "groups")
     release(nodes)

@@ -1,6 +1,7 @@
 import random
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -118,3 +119,44 @@ def test_fingerprints_prune_no_link():
         a, b = (wide.shingle_hashes(t, 5) for t in (" ".join(words), " ".join(words[: round(len(words) * 0.83)])))
         differ = int(np.bitwise_count(wide._majority(a) ^ wide._majority(b)).sum())
         assert differ <= settings.pruning_bits
+
+
+def test_candidates_are_ring_neighbours():
+    # A slot's pairs are those that share its segment and whose chains differ within budget, by brute force over the bits.
+    settings = wide.Settings(crowd=1000)
+    ring = wide.Ring(5, 16, 20, 40, 4096)
+    bits = np.random.default_rng(3).integers(0, 2, (300, ring.bits), np.uint8)
+    bits[150:] = bits[:150] ^ (np.random.default_rng(4).random((150, ring.bits)) < 0.15)
+    around = np.concatenate([bits, bits], axis=1)
+    for segment in (0, 1, 7, 15):
+        own = around[:, 5 * segment : 5 * segment + 64]
+        words = np.packbits(own, axis=1, bitorder="little").view("<u8")[:, 0]
+        want = {(i, j) for i in range(300) for j in range(i + 1, 300) if (own[i, :5] == own[j, :5]).all() and (own[i] != own[j]).sum() <= 20}
+        rows = pd.DataFrame({"slot": [segment] * 2, "nodes": [np.diff(range(k, k + 150), prepend=0).tobytes() for k in (0, 150)], "roots": [bytes(1200)] * 2, "words": [words[:150].tobytes(), words[150:].tobytes()]})
+        got = wide.meetings(rows, ring, settings)
+        assert {(u, v) for _, u, v in got.itertuples(index=False)} == want and len(want) > 3
+        # Crowded: members instead of pairs, and no pair that was within a pair's budget is without a place to meet.
+        few = wide.meetings(rows, ring, wide.Settings(crowd=4))
+        together = few[few["v"] < 0].groupby("key")["u"].agg(set).tolist()
+        kept = {(u, v) for _, u, v in few[few["v"] >= 0].itertuples(index=False)}
+        assert together and all(p in kept or any(set(p) <= m for m in together) for p in want)
+
+
+def test_rings_miss_no_similar_pair():
+    # SimHash itself finds the pairs: a share of segments that agree, and budgets, as the ring expects at a similarity of 0.8.
+    pick = random.Random(10)
+    settings = wide.Settings()
+    for documents in (1000, 300_000, 20_000_000):
+        ring = wide.ring_of(documents, settings)
+        shares = []
+        for n in (4, 8, 20, 60, 300, 3000):
+            for _ in range(6):
+                a = np.array([pick.getrandbits(64) for _ in range(n)], np.uint64)
+                b = np.concatenate([a, np.array([pick.getrandbits(64) for _ in range(n // 4)], np.uint64)])
+                x, y = np.unpackbits(wide.ring_bits([a, b], ring), axis=1, bitorder="little")
+                differ = np.concatenate([x != y] * 2)
+                assert differ[: ring.bits].sum() <= ring.whole
+                at = np.arange(ring.segments) * ring.width
+                met = [not differ[k : k + ring.width].any() and differ[k : k + 64].sum() <= ring.chain for k in at]
+                shares.append(np.mean(met))
+        assert min(shares) > 0 and np.mean(shares) * ring.segments >= -np.log(settings.missed)

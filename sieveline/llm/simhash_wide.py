@@ -13,19 +13,23 @@ so many segments that a pair at the similarity is missed with probability
 ``missed``, and less above it. The exact sets then decide, so no pair below the
 similarity links.
 
-Equal sets are one node, by a digest of 128 bits. The ring is searched in
-rounds, a few segments first: what they link is one component in the next
-round, which meets only pairs of different components. Each segment's rows are
-packed, sorted and compared in parts of bounded rows, for a segment is as long as
-the number of documents is (in bits) and so is shared by few of them by chance.
-Where a pair has a member with a second pair in the segment, or a value has more than
-``crowd`` members outside its largest component, the value is crowded: these members are cut into blocks of bounded rows and shingles,
-and in each block the members outside its largest component are compared with those
-of other components, which join as soon as a link is found. Where a value has several blocks, members that the
-edges of all values have not joined to its largest component by then, and only
-these, are compared with the members of every block. So the work on any
-number of near copies of one text is linear in them, and no link's effect is lost.
-Sets are made again from the texts, for candidates only.
+Equal sets are one node, by a digest of 128 bits. A few segments are searched
+first, each row with the nearest of its neighbours there only: at most one pair
+for a row and segment. These make clusters, in which all pairs are compared, whether
+they met or not. Then all segments are searched for all
+pairs of different clusters. Each segment's rows are packed, sorted and compared in
+parts of bounded rows, for a segment is as long as the number of documents is (in
+bits) and so is shared by few of them by chance. A row that meets more than ``FEW``
+members of a cluster asks that cluster, once for all segments: it is
+compared with all of its members. Other pairs are compared one by
+one; where one of a pair has more than ``crowd`` in the segment, they are members of
+it instead, and compared as in a cluster: the members are cut into blocks of bounded
+rows and shingles, and in each those outside its largest component are compared with
+those of other components, which join as soon as a link is found. Where there are
+several blocks, members that all edges have not joined to the largest component by
+then, and only these, are compared with the members of every block. So the rows made for any number of near copies of one text
+are linear in them, and no link's effect is lost. Sets are made again from the
+texts, for candidates only.
 
 Edge cases: null, empty and blank texts count as one text; texts shorter than a
 shingle link only to the same words; repeated rows are one node; a null id is
@@ -52,7 +56,10 @@ from sieveline.llm.simhash import SEED
 LANES = 4
 BITS = 64 * LANES
 WORD = 64
-ROUNDS = [16, 48, 144]
+FIRST = 8
+NEIGHBOURS = 8
+FEW = 2
+MEETINGS = 1 << 28
 PART_ROWS = 1 << 19
 SHINGLE_FP = [f"s{k}" for k in range(LANES)]
 _SET = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1, bitorder="little").astype(np.int64)
@@ -256,12 +263,13 @@ def verified_links(rows: pd.DataFrame, settings: Settings) -> np.ndarray:
 
 
 def probed_links(rows: pd.DataFrame, settings: Settings) -> np.ndarray:
-    """(probe, node) of rows of different components of which one is a probe, by exact similarity of their sets."""
+    """(probe, node) of rows of different components of which one is a probe, by exact similarity of their sets; one node of a component."""
     rows = rows.sort_values(["node", "probe"], ascending=[True, False]).drop_duplicates("node")
     sets, roots = Sets(rows, settings), rows["root"].to_numpy()
     out = [np.empty((0, 2), np.int64)]
     for k in np.flatnonzero(rows["probe"].to_numpy()):
-        found = sets.nodes[sets.similar(k, np.flatnonzero(roots != roots[k]))]
+        found = sets.similar(k, np.flatnonzero(roots != roots[k]))
+        found = sets.nodes[found[np.unique(roots[found], return_index=True)[1]]]
         out.append(np.stack([np.full(len(found), sets.nodes[k]), found], axis=1))
     return np.concatenate(out)
 
@@ -274,6 +282,24 @@ def _dealt(blocks: str):
     return F.pmod(F.xxhash64("node"), F.col(blocks)).cast("int")
 
 
+def _counted(rows: DataFrame):
+    return rows.groupBy("key").agg(F.count("*").alias("n"), F.sum("size").alias("total"))
+
+
+def probed_in_blocks(probes: DataFrame, against: DataFrame, sets: DataFrame, settings: Settings) -> DataFrame:
+    """Edges (u, v) of similar pairs of each key's probes and all rows it has ``against`` them, both (node, size, root, key)."""
+
+    def probe(rows: pd.DataFrame) -> pd.DataFrame:
+        return pd.DataFrame(probed_links(rows, settings), columns=["u", "v"])
+
+    turns = _counted(probes).select("key", _blocks_of("n", "total", settings).alias("turns"))
+    cut = persist(_counted(against).select("key", _blocks_of("n", "total", settings).alias("blocks")).join(turns, "key"), "probe-blocks")
+    each = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    asked = probes.join(cut, "key").select("node", "key", "root", _dealt("turns").alias("turn"), each("blocks").alias("block"), F.lit(True).alias("probe"))
+    met = against.join(cut, "key").select("node", "key", "root", each("turns").alias("turn"), _dealt("blocks").alias("block"), F.lit(False).alias("probe"))
+    return asked.unionByName(met).join(sets, "node").groupBy("key", "block", "turn").applyInPandas(probe, "u long, v long")
+
+
 def crowded_links(keyed: DataFrame, sets: DataFrame, settings: Settings) -> DataFrame:
     """Edges (u, v) with the components of all similar pairs among the members of a key.
 
@@ -288,26 +314,17 @@ def crowded_links(keyed: DataFrame, sets: DataFrame, settings: Settings) -> Data
     def compare(rows: pd.DataFrame) -> pd.DataFrame:
         return pd.DataFrame(verified_links(rows, settings), columns=["u", "v"])
 
-    def probe(rows: pd.DataFrame) -> pd.DataFrame:
-        return pd.DataFrame(probed_links(rows, settings), columns=["u", "v"])
-
     within = shared.select("node", "root", "key", "block").join(sets, "node").groupBy("key", "block").applyInPandas(compare, "u long, v long")
     within = persist(within, "block-links")
     if groups.where("blocks > 1").isEmpty():
         return within
     roots = connected_components(within.union(shared.select(F.col("node").alias("u"), F.col("root").alias("v"))))
-    hot = shared.where("blocks > 1").drop("root").join(roots, "node", "left").select("node", "size", "key", "blocks", "block", F.coalesce("root", "node").alias("root"))
+    hot = shared.where("blocks > 1").drop("root").join(roots, "node", "left").select("node", "size", "key", F.coalesce("root", "node").alias("root"))
     hot = persist(hot, "crowded-members")
     parts = hot.groupBy("key", "root").agg(F.count("*").alias("n"))
     bulk = persist(parts.groupBy("key").agg(F.max(F.struct("n", "root"))["root"].alias("bulk")), "largest-components")
     outside = persist(hot.join(bulk, "key").where(F.col("root") != F.col("bulk")).drop("bulk"), "outsiders")
-    cut = outside.groupBy("key").agg(F.count("*").alias("n"), F.sum("size").alias("total")).select("key", _blocks_of("n", "total", settings).alias("turns"))
-    cut = persist(cut, "outsider-blocks")
-    asked = outside.join(cut, "key").select("node", "key", "root", _dealt("turns").alias("turn"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.lit(True).alias("probe"))
-    turns = F.explode(F.sequence(F.lit(0), F.col("turns") - 1)).alias("turn")
-    against = hot.join(cut, "key").select("node", "key", "root", turns, "block", F.lit(False).alias("probe"))
-    between = asked.unionByName(against).join(sets, "node").groupBy("key", "block", "turn").applyInPandas(probe, "u long, v long")
-    return within.union(between)
+    return within.union(probed_in_blocks(outside, hot, sets, settings))
 
 
 def _bit_rows(column: pa.Array) -> np.ndarray:
@@ -315,20 +332,20 @@ def _bit_rows(column: pa.Array) -> np.ndarray:
 
 
 def packed_segments(nodes: DataFrame, first: int, last: int, parts: int, ring: Ring) -> DataFrame:
-    """(slot, nodes, roots, words): for each segment of a batch of rows (node, root, bits) its part's rows, packed. Narrow.
+    """(slot, nodes, roots, members, words): for each segment of a batch of rows (node, cluster, members, bits) its part's rows, packed. Narrow.
 
     A word is a segment and the chain behind it; nodes are differences to the one
-    before and roots to the node, which compress.
+    before and roots, their clusters, to the node, which compress; members are a cluster's size.
     """
     small_batches(nodes.sparkSession)
-    names = ["slot", "nodes", "roots", "words"]
+    names = ["slot", "nodes", "roots", "members", "words"]
 
     def run(batches):
         for batch in batches:
             if not batch.num_rows:
                 continue
-            own, roots = batch.column(0).to_numpy(), batch.column(1).to_numpy()
-            bits = _bit_rows(batch.column(2))
+            own, roots, members = (batch.column(k).to_numpy() for k in range(3))
+            bits = _bit_rows(batch.column(3))
             around = np.concatenate([bits, bits[:, : WORD // 8 + 1]], axis=1)
             for at in range(first, last, 16):
                 out = []
@@ -341,34 +358,77 @@ def packed_segments(nodes: DataFrame, first: int, last: int, parts: int, ring: R
                     for k in range(parts):
                         at_part = np.flatnonzero(part == k)
                         n = own[at_part]
-                        out.append((segment * parts + k, np.diff(n, prepend=0).tobytes(), (roots[at_part] - n).tobytes(), words[at_part].tobytes()))
-                yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out), (pa.int64(), *[pa.binary()] * 3))], names)
+                        out.append((segment * parts + k, np.diff(n, prepend=0).tobytes(), (roots[at_part] - n).tobytes(), members[at_part].tobytes(), words[at_part].tobytes()))
+                yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out), (pa.int64(), *[pa.binary()] * 4))], names)
 
-    return nodes.select("node", "root", "bits").mapInArrow(run, "slot long, nodes binary, roots binary, words binary")
+    return nodes.select("node", "cluster", "members", "bits").mapInArrow(run, "slot long, nodes binary, roots binary, members binary, words binary")
 
 
-def meetings(rows: pd.DataFrame, ring: Ring, settings: Settings, most: int | None = None) -> pd.DataFrame:
-    """(key, u, v) of a slot: pairs that share the segment and whose chains differ within budget; members u of a crowded segment, with -1 as v.
+@dataclass
+class Slot:
+    """A slot's rows by ascending segment; ``rest`` is the chain behind it. Without members every row is alone."""
 
-    Only nodes of different roots meet. Where one of a pair is in more than ``most``
-    pairs (``crowd`` by default), both are members of their segment instead.
-    """
-    most = settings.crowd if most is None else most
-    slot = int(rows["slot"].iloc[0])
+    nodes: np.ndarray
+    roots: np.ndarray
+    members: np.ndarray
+    segment: np.ndarray
+    rest: np.ndarray
+
+    def near(self, a, b, ring: Ring):
+        return (np.bitwise_count(self.rest[a] ^ self.rest[b]) <= ring.chain) & (self.roots[a] != self.roots[b])
+
+
+def _slot(rows: pd.DataFrame, ring: Ring) -> Slot:
     nodes = np.concatenate([np.cumsum(np.frombuffer(x, np.int64)) for x in rows["nodes"]])
     roots = nodes + np.concatenate([np.frombuffer(x, np.int64) for x in rows["roots"]])
+    members = np.concatenate([np.frombuffer(x, np.int64) for x in rows["members"]]) if "members" in rows else np.ones(len(nodes), np.int64)
     words = np.concatenate([np.frombuffer(x, "<u8") for x in rows["words"]])
     segment = words & np.uint64((1 << ring.width) - 1)
     order = np.argsort(segment)
-    segment, nodes, roots, words = segment[order], nodes[order], roots[order], words[order] >> np.uint64(ring.width)
+    return Slot(nodes[order], roots[order], members[order], segment[order], words[order] >> np.uint64(ring.width))
+
+
+def neighbours(rows: pd.DataFrame, ring: Ring) -> pd.DataFrame:
+    """(u, v) of a slot: each row and the nearest by its chain, within budget, of the ``NEIGHBOURS`` rows that follow it in its segment."""
+    slot = _slot(rows, ring)
+    n = len(slot.nodes)
+    best, least = np.full(n, -1), np.full(n, ring.chain + 1)
+    for step in range(1, NEIGHBOURS + 1):
+        at = np.flatnonzero(slot.segment[step:] == slot.segment[:-step])
+        differ = np.bitwise_count(slot.rest[at] ^ slot.rest[at + step])
+        nearer = (differ < least[at]) & (slot.roots[at] != slot.roots[at + step])
+        at, differ = at[nearer], differ[nearer]
+        best[at], least[at] = at + step, differ
+    at = np.flatnonzero(best >= 0)
+    return pd.DataFrame(np.sort(np.stack([slot.nodes[at], slot.nodes[best[at]]], axis=1), axis=1), columns=["u", "v"])
+
+
+def meetings(rows: pd.DataFrame, ring: Ring, settings: Settings, most: int | None = None) -> pd.DataFrame:
+    """(key, u, v) of a slot: pairs that share the segment and whose chains differ within budget; members u of a crowded segment, with -1 as v.
+
+    Only nodes of different roots (clusters) meet. Of two clusters the larger is asked: a node
+    u that meets more than ``FEW`` of its members asks all of them, with its root as
+    key and -2 as v; pairs with fewer have the root as key, those of nodes alone -2.
+    Where one of these is in more than ``most`` pairs (``crowd`` by default), both are
+    members of their segment instead.
+    """
+    most = settings.crowd if most is None else most
+    number = int(rows["slot"].iloc[0])
+    slot = _slot(rows, ring)
+    nodes, roots, members, segment = slot.nodes, slot.roots, slot.members, slot.segment
     starts = np.flatnonzero(np.r_[True, segment[1:] != segment[:-1]][: len(segment)])
     counts = np.diff(np.r_[starts, len(segment)])
-
-    pairs, members = [np.empty((0, 2), np.int64)], [np.empty((0, 2), np.int64)]
+    pairs, met, shared = [np.empty((0, 2), np.int64)], [np.empty((0, 3), np.int64)], [np.empty(0, np.int64)]
 
     def meet(a, b):
-        near = (np.bitwise_count(words[a] ^ words[b]) <= ring.chain) & (roots[a] != roots[b])
-        pairs.append(np.stack([a[near], b[near]], axis=1))
+        near = slot.near(a, b, ring)
+        a, b = a[near], b[near]
+        alone = (members[a] == 1) & (members[b] == 1)
+        pairs.append(np.stack([a[alone], b[alone]], axis=1))
+        a, b = a[~alone], b[~alone]
+        asks = (members[a] < members[b]) | (members[a] == members[b]) & (roots[a] > roots[b])
+        a, b = np.where(asks, a, b), np.where(asks, b, a)
+        met.append(np.stack([roots[b], nodes[a], nodes[b]], axis=1))
 
     run = np.repeat(np.where(counts <= settings.crowd, np.arange(len(counts)), -1), counts)
     at = np.flatnonzero(run >= 0)
@@ -379,27 +439,47 @@ def meetings(rows: pd.DataFrame, ring: Ring, settings: Settings, most: int | Non
             break
         meet(at, at + step)
     for start, count in zip(starts[counts > settings.crowd], counts[counts > settings.crowd]):
-        among, sizes = np.unique(roots[start : start + count], return_counts=True)
-        if len(among) == 1:
+        among, place, sizes = np.unique(roots[start : start + count], return_inverse=True, return_counts=True)
+        apart = place != np.argmax(sizes)
+        outside = start + np.flatnonzero(apart)
+        if len(outside) * count > MEETINGS:
+            shared.append(np.arange(start, start + count))
             continue
-        outside = start + np.flatnonzero(roots[start : start + count] != among[np.argmax(sizes)])
-        if len(outside) <= settings.crowd:
-            for k in outside:
-                others = np.arange(start, start + count)
-                # Two outsiders meet once.
-                others = others[(others > k) | ~np.isin(others, outside)]
-                meet(np.full(len(others), k), others)
-        else:
-            members.append(np.stack([np.full(count, slot << 32 | int(segment[start])), nodes[start : start + count]], axis=1))
-    pairs = np.concatenate(pairs)
-    many = (np.bincount(pairs.ravel(), minlength=len(nodes))[pairs] > most).any(axis=1)
-    crowded = np.unique(pairs[many])
-    members.append(np.stack([slot << 32 | segment[crowded].astype(np.int64), nodes[crowded]], axis=1))
-    pairs, members = np.sort(nodes[pairs[~many]], axis=1), np.concatenate(members)
-    found = np.concatenate([np.insert(pairs, 0, 0, axis=1), np.insert(members, 2, -1, axis=1)])
+        # Two outsiders meet once. What one of them meets is thinned at once, so that rows held stay linear.
+        first = len(pairs)
+        for k in outside:
+            others = np.arange(start, start + count)
+            others = others[(others > k) | ~apart]
+            meet(np.full(len(others), k), others)
+            if len(pairs[-1]) > most:
+                shared.append(np.unique(pairs.pop()))
+            met[-1] = _asked(met[-1])
+        both = np.unique(np.concatenate([pairs[0], *pairs[first:]]))
+        if len(both) > most:
+            shared.append(both)
+            del pairs[first:]
+    pairs, shared = np.concatenate(pairs), np.concatenate(shared)
+    often = np.bincount(pairs.ravel(), minlength=len(nodes)) > most
+    often[shared] = True
+    many = often[pairs].any(axis=1)
+    crowded = np.unique(np.concatenate([shared, pairs[many].ravel()]))
+    alone = np.sort(nodes[pairs[~many]], axis=1)
+    keys = number << 32 | segment[crowded].astype(np.int64)
+    found = np.concatenate([np.insert(alone, 0, -2, axis=1), _asked(np.concatenate(met)), np.stack([keys, nodes[crowded], np.full(len(crowded), -1)], axis=1)])
     return pd.DataFrame(found, columns=["key", "u", "v"])
 
 
+def _asked(met: np.ndarray) -> np.ndarray:
+    """Rows (root, asking node, member); those of a root and node with more than ``FEW`` are one, with -2 as member."""
+    met = np.unique(met, axis=0)
+    _, first, which, counts = np.unique(met[:, :2], axis=0, return_index=True, return_inverse=True, return_counts=True)
+    which = which.ravel()
+    asks = np.zeros(len(first), bool)
+    asks[which[met[:, 2] == -2]] = True
+    asks |= counts > FEW
+    return np.concatenate([met[~asks[which]], np.column_stack([met[first[asks], :2], np.full(asks.sum(), -2)])])
+
+
 def near_pairs(pairs: DataFrame, nodes: DataFrame, ring: Ring) -> DataFrame:
     """Those of the pairs (u, v) whose whole rings differ within budget."""
 
@@ -428,6 +508,14 @@ def similar_pairs(pairs: DataFrame, sets: DataFrame, settings: Settings) -> Data
     return pairs.join(a, "u").join(b, "v").select("u", "v", "u_set", "v_set").mapInArrow(run, "u long, v long")
 
 
+def asked_links(asks: DataFrame, known: DataFrame, sets: DataFrame, settings: Settings) -> DataFrame:
+    """Edges (u, v) of the nodes u that ask a cluster, its number as key, and similar members of it."""
+    rows = known.select("node", "size", F.coalesce("root", "node").alias("root"), "cluster")
+    asked = rows.withColumnRenamed("cluster", "key").join(asks.select("key").distinct(), "key")
+    probes = asks.withColumnRenamed("u", "node").join(rows.drop("cluster"), "node")
+    return probed_in_blocks(persist(probes, "asking"), persist(asked, "asked"), sets, settings)
+
+
 def similar_roots(nodes: DataFrame, docs: DataFrame, ring: Ring, settings: Settings) -> DataFrame:
     """(node, root) of the components of all pairs at or above the similarity, for nodes that have a link.
 
@@ -436,25 +524,46 @@ def similar_roots(nodes: DataFrame, docs: DataFrame, ring: Ring, settings: Setti
     """
     parts = 1 << max(0, (nodes.count() - 1) // PART_ROWS).bit_length()
 
-    roots = None
-    ends = [0, *[n for n in ROUNDS if n < ring.segments], ring.segments]
-    for first, last in zip(ends, ends[1:]):
-        known = nodes.withColumn("root", F.col("node")) if roots is None else nodes.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-        slots = packed_segments(known, first, last, parts, ring).groupBy("slot")
-        met = persist(slots.applyInPandas(lambda rows: meetings(rows, ring, settings, 1), "key long, u long, v long"), "ring-meetings")
-        pairs = persist(near_pairs(met.where("v >= 0").select("u", "v").distinct(), nodes, ring), "near-pairs")
-        keyed = met.where("v < 0").select(F.col("u").alias("node"), "key")
-        wanted = pairs.select(F.explode(F.array("u", "v")).alias("node")).union(keyed.select("node")).distinct()
-        wanted = nodes.join(wanted, "node", "left_semi").select("node", *ROW_KEY)
+    def sets_of(wanted: DataFrame) -> DataFrame:
+        # Written first: what is read again has a size that Spark knows when it plans the join with the texts.
+        wanted = persist(nodes.select("node", *ROW_KEY).join(wanted.distinct(), "node", "left_semi"), "wanted")
         sets = persist(shingle_sets(docs.join(wanted, ROW_KEY), settings), "shingle-sets")
-        links = similar_pairs(pairs, sets, settings)
-        if not keyed.isEmpty():
-            links = links.union(crowded_links(keyed.join(known.select("node", "size", "root"), "node"), sets, settings))
-        if roots is not None:
-            links = links.union(roots.select(F.col("node").alias("u"), F.col("root").alias("v")))
-        roots = connected_components(links)
-        release(met, pairs, sets)
-    return roots
+        release(wanted)
+        return sets
+
+    alone = nodes.select("node", F.col("node").alias("cluster"), F.lit(1).cast("long").alias("members"), "bits")
+    slots = packed_segments(alone, 0, min(FIRST, ring.segments), parts, ring).groupBy("slot")
+    met = persist(slots.applyInPandas(lambda rows: neighbours(rows, ring), "u long, v long").distinct(), "neighbours")
+    clusters = persist(connected_components(met).withColumnRenamed("root", "cluster"), "clusters")
+    sets = sets_of(clusters.select("node"))
+    keyed = clusters.join(nodes.select("node", "size"), "node").select("node", "size", F.col("node").alias("root"), F.col("cluster").alias("key"))
+    roots = persist(connected_components(crowded_links(keyed, sets, settings)), "roots")
+    release(met, sets)
+
+    named = clusters.join(clusters.groupBy("cluster").agg(F.count("*").alias("members")), "cluster").join(roots, "node", "left")
+    named = persist(named, "named-clusters")
+    known = nodes.select("node", "size", "bits").join(named, "node", "left")
+    known = known.select("node", "size", "bits", "root", F.coalesce("cluster", "node").alias("cluster"), F.coalesce("members", F.lit(1)).alias("members"))
+    slots = packed_segments(known, 0, ring.segments, parts, ring).groupBy("slot")
+    met = persist(slots.applyInPandas(lambda rows: meetings(rows, ring, settings), "key long, u long, v long"), "ring-meetings")
+    # Few in every segment can be many in all.
+    often = F.max(F.col("v") == -2) | (F.count_distinct("v") > FEW)
+    asks = persist(met.where("key >= 0 and v <> -1").groupBy("u", "key").agg(often.alias("often")).where("often").select("u", "key"), "asks")
+    others = met.where("v >= 0").join(asks, ["u", "key"], "left_anti")
+    others = persist(others.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct(), "pairs")
+    pairs = persist(near_pairs(others, nodes, ring), "near-pairs")
+    keyed = met.where("v = -1").select(F.col("u").alias("node"), "key")
+    asked = clusters.join(asks.select(F.col("key").alias("cluster")).distinct(), "cluster").select("node")
+    wanted = pairs.select(F.explode(F.array("u", "v")).alias("node"))
+    sets = sets_of(wanted.union(asks.select(F.col("u").alias("node"))).union(asked).union(keyed.select("node")))
+    links = similar_pairs(pairs, sets, settings).union(roots.select(F.col("node").alias("u"), F.col("root").alias("v")))
+    links = links.union(asked_links(asks, known, sets, settings))
+    if not keyed.isEmpty():
+        keyed = keyed.join(known.select("node", "size", F.coalesce("root", "node").alias("root")), "node")
+        links = links.union(crowded_links(keyed, sets, settings))
+    linked = connected_components(links)
+    release(met, asks, others, pairs, sets, clusters, roots, named)
+    return linked
 
 
 def _similar(rows: DataFrame, settings: Settings | None) -> DataFrame:

@@ -160,3 +160,40 @@ def test_rings_miss_no_similar_pair():
                 met = [not differ[k : k + ring.width].any() and differ[k : k + 64].sum() <= ring.chain for k in at]
                 shares.append(np.mean(met))
         assert min(shares) > 0 and np.mean(shares) * ring.segments >= -np.log(settings.missed)
+
+
+def test_near_copies_below_the_similarity_make_few_rows(spark, monkeypatch):
+    # Many texts that resemble one another, but less than asked for: rows between steps follow the texts, not their pairs.
+    pick = random.Random(11)
+    vocabulary = [f"w{k}" for k in range(3000)]
+    base = [pick.choice(vocabulary) for _ in range(120)]
+    texts = [edited(pick, base, pick.choice([0.01, 0.03, 0.045])) for _ in range(500)]
+    sets = [shingles(t) for t in texts]
+    want = classes(sets, lambda a, b: len(a & b) / len(a | b) >= 0.8)
+    written = {}
+
+    def persist(df, what):
+        out = kept(df, what)
+        written[what] = max(written.get(what, 0), out.count())
+        return out
+
+    kept = wide.persist
+    monkeypatch.setattr(wide, "persist", persist)
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    group = {r["doc_id"]: r["group"] for r in wide.similar_documents(docs, ["doc_id"]).collect()}
+    assert classes([group[k] for k in range(500)], lambda a, b: a == b) == want and 50 < len(set(want)) < 450
+    assert max(written.values()) <= 20 * len(texts), written
+
+
+def test_clusters_are_asked_once():
+    # A node that meets more than a few members of a cluster asks it; fewer are pairs, under the cluster's number.
+    ring = wide.Ring(5, 16, 59, 80, 4096)
+    n, settings = 12, wide.Settings()
+    roots = np.array([0] * 8 + [8, 8, 10, 11])
+    members = np.array([8] * 8 + [2, 2, 1, 1])
+    rows = pd.DataFrame({"slot": [3], "nodes": [np.diff(range(n), prepend=0).tobytes()], "roots": [(roots - np.arange(n)).tobytes()], "members": [members.tobytes()], "words": [np.full(n, 7, "<u8").tobytes()]})
+    got = set(wide.meetings(rows, ring, settings).itertuples(index=False, name=None))
+    assert got == {(0, k, -2) for k in (8, 9, 10, 11)} | {(8, k, v) for k in (10, 11) for v in (8, 9)} | {(-2, 10, 11)}
+    # The same with more rows in the segment than a crowd has.
+    crowd = set(wide.meetings(rows, ring, wide.Settings(crowd=5)).itertuples(index=False, name=None))
+    assert crowd == got

@@ -61,6 +61,8 @@ NEIGHBOURS = 8
 FEW = 2
 MEETINGS = 1 << 28
 PART_ROWS = 1 << 19
+MET_ROWS = 1 << 16
+COMPARED = 1 << 18
 SHINGLE_FP = [f"s{k}" for k in range(LANES)]
 _SET = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1, bitorder="little").astype(np.int64)
 _PLACES = np.arange(8 * LANES, dtype=np.int64) * 256
@@ -229,9 +231,9 @@ class Sets:
         self.nodes, sets = rows["node"].to_numpy(), rows["shingles"].tolist()
         self.sizes = np.array([len(x) for x in sets], np.int64)
         self.starts = np.cumsum(self.sizes) - self.sizes
-        _, self.ids = np.unique(np.concatenate(sets), return_inverse=True)
+        self.ids = np.unique(np.concatenate(sets), return_inverse=True)[1].astype(np.int32)
         self.fps = rows[SHINGLE_FP].to_numpy(np.int64).view(np.uint64)
-        self.marked = np.zeros(len(self.ids), np.int64)
+        self.marked = np.zeros(len(self.ids), bool)
 
     def similar(self, k: int, rest: np.ndarray) -> np.ndarray:
         """Those of ``rest`` whose similarity to the k-th set is at least the one asked for."""
@@ -241,10 +243,13 @@ class Sets:
         if not len(rest):
             return rest
         own = self.ids[starts[k] : starts[k] + sizes[k]]
-        self.marked[own] = 1
-        first = np.cumsum(sizes[rest]) - sizes[rest]
-        common = np.add.reduceat(self.marked[self.ids[np.repeat(starts[rest] - first, sizes[rest]) + np.arange(sizes[rest].sum())]], first)
-        self.marked[own] = 0
+        self.marked[own] = True
+        common, ends = np.empty(len(rest), np.int64), np.cumsum(sizes[rest])
+        for at in np.split(np.arange(len(rest)), np.flatnonzero(np.diff(ends // COMPARED)) + 1):
+            some = rest[at]
+            first = np.cumsum(sizes[some]) - sizes[some]
+            common[at] = np.add.reduceat(self.marked[self.ids[np.repeat(starts[some] - first, sizes[some]) + np.arange(sizes[some].sum())]], first, dtype=np.int64)
+        self.marked[own] = False
         return rest[common / (sizes[rest] + sizes[k] - common) >= least]
 
 
@@ -263,15 +268,17 @@ def verified_links(rows: pd.DataFrame, settings: Settings) -> np.ndarray:
 
 
 def probed_links(rows: pd.DataFrame, settings: Settings) -> np.ndarray:
-    """(probe, node) of rows of different components of which one is a probe, by exact similarity of their sets; one node of a component."""
+    """(probe, node) that join the components among rows of which one is a probe, by exact similarity of their sets; fewer than components."""
     rows = rows.sort_values(["node", "probe"], ascending=[True, False]).drop_duplicates("node")
-    sets, roots = Sets(rows, settings), rows["root"].to_numpy()
-    out = [np.empty((0, 2), np.int64)]
+    sets = Sets(rows, settings)
+    _, label = np.unique(rows["root"].to_numpy(), return_inverse=True)
+    out = []
     for k in np.flatnonzero(rows["probe"].to_numpy()):
-        found = sets.similar(k, np.flatnonzero(roots != roots[k]))
-        found = sets.nodes[found[np.unique(roots[found], return_index=True)[1]]]
-        out.append(np.stack([np.full(len(found), sets.nodes[k]), found], axis=1))
-    return np.concatenate(out)
+        found = sets.similar(k, np.flatnonzero(label != label[k]))
+        joined, first = np.unique(label[found], return_index=True)
+        out.extend((sets.nodes[k], sets.nodes[f]) for f in found[first])
+        label[np.isin(label, joined)] = label[k]
+    return np.array(out, np.int64).reshape(-1, 2)
 
 
 def _blocks_of(rows: str, shingles: str, settings: Settings):
@@ -374,6 +381,9 @@ class Slot:
     segment: np.ndarray
     rest: np.ndarray
 
+    def between(self, start: int, end: int) -> Slot:
+        return Slot(*(x[start:end] for x in (self.nodes, self.roots, self.members, self.segment, self.rest)))
+
     def near(self, a, b, ring: Ring):
         return (np.bitwise_count(self.rest[a] ^ self.rest[b]) <= ring.chain) & (self.roots[a] != self.roots[b])
 
@@ -415,10 +425,19 @@ def meetings(rows: pd.DataFrame, ring: Ring, settings: Settings, most: int | Non
     most = settings.crowd if most is None else most
     number = int(rows["slot"].iloc[0])
     slot = _slot(rows, ring)
+    # Segments don't meet: a few at a time, so that what they meet is thinned before the next are compared.
+    ends = np.r_[np.flatnonzero(slot.segment[1:] != slot.segment[:-1]) + 1, len(slot.segment)]
+    cuts = np.r_[0, ends[np.flatnonzero(np.diff(ends // MET_ROWS)) + 1], ends[-1]]
+    found = [np.empty((0, 3), np.int64), *(_met(slot.between(a, b), number, ring, settings, most) for a, b in zip(cuts[:-1], cuts[1:]) if a < b)]
+    return pd.DataFrame(np.concatenate(found), columns=["key", "u", "v"])
+
+
+def _met(slot: Slot, number: int, ring: Ring, settings: Settings, most: int) -> np.ndarray:
+    """Rows (key, u, v) of `meetings` of whole segments."""
     nodes, roots, members, segment = slot.nodes, slot.roots, slot.members, slot.segment
     starts = np.flatnonzero(np.r_[True, segment[1:] != segment[:-1]][: len(segment)])
     counts = np.diff(np.r_[starts, len(segment)])
-    pairs, met, shared = [np.empty((0, 2), np.int64)], [np.empty((0, 3), np.int64)], [np.empty(0, np.int64)]
+    pairs, met, shared = [np.empty((0, 2), np.int64)], [np.empty((0, 3), np.int64)], np.zeros(len(nodes), bool)
 
     def meet(a, b):
         near = slot.near(a, b, ring)
@@ -443,7 +462,7 @@ def meetings(rows: pd.DataFrame, ring: Ring, settings: Settings, most: int | Non
         apart = place != np.argmax(sizes)
         outside = start + np.flatnonzero(apart)
         if len(outside) * count > MEETINGS:
-            shared.append(np.arange(start, start + count))
+            shared[start : start + count] = True
             continue
         # Two outsiders meet once. What one of them meets is thinned at once, so that rows held stay linear.
         first = len(pairs)
@@ -452,21 +471,20 @@ def meetings(rows: pd.DataFrame, ring: Ring, settings: Settings, most: int | Non
             others = others[(others > k) | ~apart]
             meet(np.full(len(others), k), others)
             if len(pairs[-1]) > most:
-                shared.append(np.unique(pairs.pop()))
+                shared[pairs.pop()] = True
             met[-1] = _asked(met[-1])
         both = np.unique(np.concatenate([pairs[0], *pairs[first:]]))
         if len(both) > most:
-            shared.append(both)
+            shared[both] = True
             del pairs[first:]
-    pairs, shared = np.concatenate(pairs), np.concatenate(shared)
-    often = np.bincount(pairs.ravel(), minlength=len(nodes)) > most
-    often[shared] = True
+    pairs = np.concatenate(pairs)
+    often = shared | (np.bincount(pairs.ravel(), minlength=len(nodes)) > most)
     many = often[pairs].any(axis=1)
-    crowded = np.unique(np.concatenate([shared, pairs[many].ravel()]))
+    shared[pairs[many].ravel()] = True
+    crowded = np.flatnonzero(shared)
     alone = np.sort(nodes[pairs[~many]], axis=1)
     keys = number << 32 | segment[crowded].astype(np.int64)
-    found = np.concatenate([np.insert(alone, 0, -2, axis=1), _asked(np.concatenate(met)), np.stack([keys, nodes[crowded], np.full(len(crowded), -1)], axis=1)])
-    return pd.DataFrame(found, columns=["key", "u", "v"])
+    return np.concatenate([np.insert(alone, 0, -2, axis=1), _asked(np.concatenate(met)), np.stack([keys, nodes[crowded], np.full(len(crowded), -1)], axis=1)])
 
 
 def _asked(met: np.ndarray) -> np.ndarray:

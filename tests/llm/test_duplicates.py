@@ -206,3 +206,17 @@ def test_drop_exact(spark, docs):
     texts = [r["text"] or "" for r in kept.collect()]
     assert len(texts) == len(set(texts)) == len({t or "" for _, t, *_ in DOCS})
     assert exact_dedup.drop_exact_duplicates(docs.limit(0)).count() == 0
+
+
+def test_components_of_parts(spark, monkeypatch):
+    # Edges of one part need no star step; of many parts, forests and star steps give the same.
+    pick = random.Random(13)
+    edges = [(pick.randint(0, 900), pick.randint(0, 900)) for _ in range(380)] + [(k, k + 1) for k in range(1000, 1200)] + [(2000, k) for k in range(1500, 1600)]
+    pick.shuffle(edges)
+    want = classes(edges, {n for e in edges for n in e})
+    df = spark.createDataFrame(edges, "u long, v long").repartition(5)
+    for most in (50, 7):
+        got = [tuple(r) for r in components.connected_components(df, part_edges=most).collect()]
+        assert dict(got) == want and len(got) == len(want)
+    monkeypatch.setattr(components, "large_star", None)
+    assert {r["node"]: r["root"] for r in components.connected_components(df).collect()} == want

@@ -197,3 +197,37 @@ def test_clusters_are_asked_once():
     # The same with more rows in the segment than a crowd has.
     crowd = set(wide.meetings(rows, ring, wide.Settings(crowd=5)).itertuples(index=False, name=None))
     assert crowd == got
+
+
+def test_rows_held_for_a_crowded_segment_are_linear():
+    # Rows near one another that no cluster has: what each of them meets is not held for all of them at once.
+    import tracemalloc
+
+    ring, n = wide.Ring(5, 16, 59, 80, 4096), 4000
+    rows = pd.DataFrame({"slot": [3], "nodes": [np.diff(range(n), prepend=0).tobytes()], "roots": [bytes(8 * n)], "words": [np.full(n, 7, "<u8").tobytes()]})
+    tracemalloc.start()
+    got = wide.meetings(rows, ring, wide.Settings())
+    held = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert set(got["u"]) == set(range(n)) and set(got["v"]) == {-1} and len(got) == n
+    assert held < 2000 * n, held
+
+
+def test_probes_join_components_once():
+    # All rows are similar to all: edges are fewer than rows, whatever the number of probes.
+    n = 60
+    rows = pd.DataFrame({"node": range(n), "root": range(n), "probe": True, "shingles": [np.arange(40)] * n} | {name: 0 for name in wide.SHINGLE_FP})
+    links = wide.probed_links(rows, wide.Settings())
+    assert len(links) == n - 1 and set(links.ravel()) == set(range(n))
+
+
+def test_sets_are_compared_in_pieces(monkeypatch):
+    pick = np.random.default_rng(2)
+    base = np.arange(200)
+    sets = [np.unique(np.r_[base[: pick.integers(120, 200)], pick.integers(1000, 9000, pick.integers(1, 40))]) for _ in range(50)] + [np.arange(5000, 5003)]
+    rows = pd.DataFrame({"node": range(51), "shingles": sets} | {name: 0 for name in wide.SHINGLE_FP})
+    monkeypatch.setattr(wide, "COMPARED", 300)
+    held = wide.Sets(rows, wide.Settings())
+    for k in range(51):
+        want = [j for j in range(51) if j != k and len(set(sets[k]) & set(sets[j])) / len(set(sets[k]) | set(sets[j])) >= 0.8]
+        assert held.similar(k, np.array([j for j in range(51) if j != k])).tolist() == want
